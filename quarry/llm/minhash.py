@@ -8,9 +8,9 @@ name candidate buckets; every link is confirmed on the full sets.
 Work is kept linear where groups are large: documents of equal sets are one
 class; each bucket first compares its members with its least one only; and
 members that are then in one component are never compared again. What is left
-(pairs of one bucket, in different components, that neither the sizes nor the
-distances to the bucket's least member rule out) is compared in full, so no
-candidate pair is lost.
+(pairs that met one such member, are in different components, and that neither
+the sizes nor the distances to that member rule out) is compared in full, so
+no candidate pair is lost.
 
 Defined results
     null, empty or wordless text: size 0, linked with nothing, kept.
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     heads = member.where("id = rep").select("id", "s1", "s2")
 
     # buckets of two classes at least; the least (document, set) of each is its hub
-    slots = sig.join(heads, ["id", "s1", "s2"]).select(F.col("id").alias("rep"), "n", "s1", F.explode("bands").alias("bh")).distinct()
+    slots = sig.join(heads, ["id", "s1", "s2"]).select(F.col("id").alias("rep"), "n", "s1", F.explode("bands").alias("bh"))
     hubs = slots.groupBy("bh").agg(F.min(F.struct("rep", "s1", "n")).alias("hub"), F.max(F.struct("rep", "s1")).alias("last")).where("hub.rep <> last.rep or hub.s1 <> last.s1").select("bh", "hub")
     bucket = materialize(slots.join(hubs, "bh").select("bh", "rep", "n", "s1", F.col("hub.rep").alias("hub"), F.col("hub.s1").alias("hub_s1"), F.col("hub.n").alias("hub_n")), "buckets")
 
@@ -182,15 +182,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     links = links.union(member.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     comp = materialize(components(links), "components")
 
-    # then what is in one bucket but in several components
-    named = bucket.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = named.groupBy("bh").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bh")
-    dist = stars.select("hub", "hub_s1", "rep", "s1", (1 - F.col("both") / (F.col("hub_n") + F.col("n") - F.col("both"))).alias("d"))
-    rest = named.join(mixed, "bh").join(dist, ["hub", "hub_s1", "rep", "s1"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    rest = materialize(rest.select("bh", "rep", "s1", "n", "comp", "d").join(right, ["rep", "s1"]), "mixed")
+    # then what met one hub but is in several components
+    seen = stars.select("hub", "hub_s1", "rep", "s1", "n", (1 - F.col("both") / (F.col("hub_n") + F.col("n") - F.col("both"))).alias("d"))
+    own = stars.select("hub", "hub_s1", F.col("hub").alias("rep"), F.col("hub_s1").alias("s1"), F.col("hub_n").alias("n"), F.lit(0.0).alias("d")).distinct()
+    named = materialize(seen.union(own).join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "named")
+    mixed = named.groupBy("hub", "hub_s1").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("hub", "hub_s1")
+    rest = materialize(named.join(mixed, ["hub", "hub_s1"]).join(right, ["rep", "s1"]), "mixed")
     pairs = rest.alias("p").join(
         rest.alias("q"),
-        (F.col("p.bh") == F.col("q.bh")) & (F.col("p.comp") < F.col("q.comp")) & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n"))
+        (F.col("p.hub") == F.col("q.hub")) & (F.col("p.hub_s1") == F.col("q.hub_s1")) & (F.col("p.comp") < F.col("q.comp"))
+        & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n"))
         & (F.abs(F.col("p.d") - F.col("q.d")) <= 1 - percent / 100 + 1e-9)  # the Jaccard distance is a metric
         & _linked(F.size(F.array_intersect("p.y", "q.y")), F.col("p.n"), F.col("q.n"), percent),
     ).select(F.col("p.comp").alias("a"), F.col("q.comp").alias("b"))
