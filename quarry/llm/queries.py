@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, sstable
+from . import decontam, langid, minhash, quality, sstable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,3 +54,9 @@ def tokenizer_path() -> str:
 @query
 def op8_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.rate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
