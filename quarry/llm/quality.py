@@ -26,7 +26,7 @@ WINDOW = 3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 REACH, MIN_GROUP, SKETCH_K = 3.0, 100, 400
 #: Measures with the least spread a fence allows for.
-MEASURES = {"symbol_share": 0.01, "dup_line_share": 0.05, "repeat_share": 0.05, "mean_word_chars": 0.5}
+MEASURES = {"symbol_share": 0.01, "dup_line_share": 0.2, "repeat_share": 0.15, "mean_word_chars": 0.5}
 
 
 def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
