@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, pii, quality, sstable
+from . import decontam, langid, licenses, linededup, minhash, mixing, pii, quality, sstable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +69,93 @@ def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.clean(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op1_line_dedup"] = f"""
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos, source from documents where text is not null),
+boilerplate as (
+  select lower(trim(line, ' ')) as k from lines where length(trim(line, ' ')) >= {linededup.MIN_CHARS} and source is not null group by 1 having count(distinct source) >= {linededup.MIN_SITES}),
+marked as (
+  select doc_id, line, pos, length(trim(line, ' ')) >= {linededup.MIN_CHARS} and lower(trim(line, ' ')) in (select k from boilerplate) as cut from lines),
+cleaned as (
+  select doc_id, count(*) as n_lines, count(*) filter (cut) as n_cut, coalesce(string_agg(line, chr(10) order by pos) filter (not cut), '') as text from marked group by doc_id)
+select d.doc_id, coalesce(c.n_lines, 0) as n_lines, coalesce(c.n_cut, 0) as n_cut, c.text from documents d left join cleaned c using (doc_id)
+"""
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+ORACLE["op3_license_scan"] = f"""
+with given(template, license, body) as (values {', '.join(f'({k}, {_quoted(n)}, {_quoted(t)})' for k, (n, t) in enumerate(licenses.TEMPLATES))}),
+units as (
+  select doc_id, unnest(string_split(text, chr(10))) as unit, unnest(range(len(string_split(text, chr(10))))) as line from documents where text is not null
+  union all select doc_id, text, -1 from documents where contains(text, chr(10))),
+words as (select doc_id, line, list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as w from units),
+t_words as (select template, license, list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as w from given),
+u as (select doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from words where len(w) > 1 and len(w) < 400),
+t as (select template, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from t_words),
+scored as (
+  select doc_id, line, license, 2 * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) as dice
+  from u join t on len(u.g) <= {(2 - licenses.THRESHOLD) / licenses.THRESHOLD!r} * len(t.g) and len(t.g) <= {(2 - licenses.THRESHOLD) / licenses.THRESHOLD!r} * len(u.g)),
+best as (select doc_id, line, license, dice from scored where dice >= {licenses.THRESHOLD} qualify row_number() over (partition by doc_id, line order by dice desc, license) = 1)
+select doc_id, list_sort(list(distinct license)) as licenses, first(license order by dice desc, license) as best, round(max(dice), 6) as best_dice, count(*) as n_units from best group by doc_id
+"""
+
+#: Weights of the mix: source families, then languages, then single sources.
+MIX_WEIGHTS = [("web", 4), ("books", 3), ("code", 2), ("talk", 1), *((f"{d}/en", 3) for d in ("web", "books", "code", "talk")), ("web/en/src0", 2), ("talk/en/src19", 0)]
+MIX_EPOCHS, MIX_SEED = 2, 1
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """A domain for each source by its number; the tables have none."""
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    return docs.withColumn("domain", F.element_at(F.array(*map(F.lit, ("web", "books", "code", "talk"))), (number % 4 + 1).cast("int")))
+
+
+@query
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = spark.createDataFrame(MIX_WEIGHTS, "path string, weight long")
+    return mixing.mix(with_domain(table(spark, sf_dir, "documents")), weights, epochs=MIX_EPOCHS, seed=MIX_SEED).drop("h")
+
+
+def _mix_sql() -> str:
+    levels = ["domain", "lang", "source"]
+    steps = []
+    for depth in (1, 2, 3):
+        keys, above = levels[:depth], levels[: depth - 1]
+        over = f"partition by {', '.join(above)}" if above else ""
+        tokens, source = ("tokens", "leaf") if depth == 1 else ("l.tokens", f"leaf l join share{depth - 1} p using ({', '.join(above)})")
+        steps.append(f"""
+node{depth} as (select {', '.join(keys)}, sum({tokens}) as tokens, {'(select sum(tokens) from leaf)' if depth == 1 else 'min(p.share)'} as given, {" || '/' || ".join(keys)} as path from {source} group by {', '.join(keys)}),
+cap{depth} as (select n.*, coalesce(w.weight, 1) as w, case when coalesce(w.weight, 1) > 0 then n.tokens * {MIX_EPOCHS} else 0 end as cap from node{depth} n left join weights w using (path)),
+run{depth} as (select *, sum(cap) over (a rows unbounded preceding) as cap_upto, sum(w) over (a rows unbounded preceding) as w_upto, sum(w) over (b) as w_all from cap{depth}
+  window a as ({over} order by case when w > 0 then cap / w else -1 end, path), b as ({over})),
+full{depth} as (select *, cap_upto * w + cap * (w_all - w_upto) <= given * w or w <= 0 as filled from run{depth}),
+rest{depth} as (select *, sum(case when filled then cap else 0 end) over (b) as cap_full, sum(case when filled then 0 else w end) over (b) as w_rest from full{depth} window b as ({over})),
+share{depth} as (select {', '.join(keys)}, cast(case when filled then cap else least(cap, ((given - cap_full) * w) // w_rest) end as bigint) as share from rest{depth})""")
+    names = ", ".join(_quoted(x) for x in ("web", "books", "code", "talk"))
+    return f"""
+with weights(path, weight) as (values {', '.join(f'({_quoted(p)}, {w})' for p, w in MIX_WEIGHTS)}),
+docs as (select doc_id, lang, source, [{names}][cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4 + 1] as domain, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as tokens from documents),
+leaf as (select domain, lang, source, cast(sum(tokens) as bigint) as tokens from docs group by all), {','.join(steps)},
+planned as (select l.*, s.share, least({MIX_EPOCHS}, coalesce(s.share // nullif(l.tokens, 0), 0)) as whole from leaf l join share3 s using (domain, lang, source)),
+ordered as (select d.doc_id, d.domain, d.lang, d.source, d.tokens, p.share, p.whole, p.share - p.whole * p.tokens as spare,
+  sum(d.tokens) over (partition by d.domain, d.lang, d.source order by md5('{MIX_SEED}|' || p.whole || '|' || d.doc_id) rows unbounded preceding) as upto from docs d join planned p using (domain, lang, source))
+select domain, lang, source, doc_id, tokens, share, cast(whole + case when whole < {MIX_EPOCHS} and upto <= spare and spare > 0 then 1 else 0 end as bigint) as copies from ordered
+"""
+
+
+ORACLE["op5_source_mixing"] = _mix_sql()
