@@ -81,9 +81,9 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.col(text).alias("unit")))).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
     rows_of = docs.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.concat(lines, whole).alias("all"))
     units = rows_of.select("doc_id", "row", F.explode("all").alias("u"))
-    units = units.select("doc_id", "row", "u.line", normal_words(F.col("u.unit")).alias("words"))
-    units = units.where(F.size("words") - 1 >= low)
-    units = units.select("doc_id", "row", "line", bigrams(F.col("words")).alias("grams")).withColumn("size", F.size("grams")).where(F.col("size").between(low, high))
+    # explode(array(x)) keeps a filter on x from being moved below and evaluated anew for each element
+    units = units.select("doc_id", "row", "u.line", F.explode(F.array(normal_words(F.col("u.unit")))).alias("words")).where(F.size("words") - 1 >= low)
+    units = units.select("doc_id", "row", "line", F.explode(F.array(bigrams(F.col("words")))).alias("grams")).withColumn("size", F.size("grams")).where(F.col("size").between(low, high))
     posting = F.broadcast(known.select("template", "license", F.col("size").alias("t_size"), F.explode("grams").alias("gram")))
     met = units.select("doc_id", "row", "line", "size", F.explode("grams").alias("gram")).join(posting, "gram").where((F.col("size") <= bound * F.col("t_size")) & (F.col("t_size") <= bound * F.col("size")))
     both = met.groupBy("row", "doc_id", "line", "size", "template", "license", "t_size").agg(F.count(F.lit(1)).alias("both"))
