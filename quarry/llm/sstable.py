@@ -26,6 +26,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import struct
 import uuid
 import zlib
@@ -193,9 +194,6 @@ class Encoder:
     def __init__(self, tokenizer_path: str, end_id: int):
         self.tokenizer_path, self.end_id, self.tokenizer = tokenizer_path, end_id, None
 
-    def __getstate__(self):
-        return {"tokenizer_path": self.tokenizer_path, "end_id": self.end_id, "tokenizer": None}
-
     def load(self) -> Encoder:
         if self.tokenizer is None:
             import json
@@ -251,6 +249,12 @@ class Encoder:
         return out
 
 
+@functools.cache
+def encoder_of(tokenizer_path: str, end_id: int) -> Encoder:
+    """One encoder a Python worker, so that its memo serves all the worker's tasks."""
+    return Encoder(tokenizer_path, end_id).load()
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
     """Writes the shards under ``path``; one row for each: (shard, path, documents, ids, base), base the ids before it."""
     spark = docs.sparkSession
@@ -258,8 +262,6 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, doc_
     if shards is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // SHARD_BYTES))
-    encoder = Encoder(tokenizer_path, end_id)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = sink = None
         store, folder = fs.FileSystem.from_uri(path)
@@ -269,7 +271,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, doc_
             if writer is None:
                 store.create_dir(folder, recursive=True)
                 sink = store.open_output_stream(mine)
-                writer = Writer(sink, encoder.load().width)
+                encoder = encoder_of(tokenizer_path, end_id)
+                writer = Writer(sink, encoder.width)
             for i, value in zip(batch.column(0).to_pylist(), encoder(batch.column(1).to_pylist())):
                 writer.add(key_of(i), value)
         if writer is not None:
