@@ -38,6 +38,8 @@ from .graph import components
 #: Chance that a pair right at the threshold shares no band.
 MISS = 1e-6
 MEMO = 200_000
+#: Most bits (as a power of two) of the bitmap of candidates that goes to every task.
+MAP_BITS = 29
 
 
 def banding(threshold: float, rows: int | None = None) -> tuple[int, int]:
@@ -131,14 +133,32 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, doc_id: str = "do
     return source.mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, k: int, doc_id: str = "id", text: str = "text") -> DataFrame:
-    """(id, s1, shingles array<long>), s1 as signatures() has it"""
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits of the hashes of a column ``id``: 16 a row or more, but MAP_BITS at most, so 64 MB bound it."""
+    n = 1 << max(23, min(MAP_BITS, int(ids.count() * 16).bit_length()))
+    place = ids.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("p"))
+    rows = place.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    out = np.zeros(n // 8 + 4096, np.uint8)
+    for r in rows:  # a bucket holds 32768 bits; the first starts at place 1
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def shingle_sets(docs: DataFrame, k: int, ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, s1, shingles array<long>) of the documents whose id may be in ``ids``; s1 as signatures() has it."""
+    bits = bitmap(ids)
+    n = (len(bits) - 4096) * 8
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    place = F.pmod(F.xxhash64("id"), F.lit(n))
+    source = rows.select("id", "text", ((F.bitmap_bucket_number(place) - 1) * 32768 + F.bitmap_bit_position(place)).alias("bit"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for batch in small_batches(batches, 500):
+            bit = batch.column(2).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((shared.value[bit >> 3] >> (bit & 7) & 1).astype(bool)))
             found = [shingler(t.as_py()).view(np.int64) for t in batch.column(1)]
             s1 = pa.array([_halves(x)[0] for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), s1, list_column(np.concatenate(found) if found else [], map(len, found), pa.int64())], names=["id", "s1", "shingles"])
@@ -167,8 +187,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
     # the full sets of the candidates
     ids = materialize(bucket.select(F.col("rep").alias("id"), "s1").distinct(), "candidates")
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids.select("id").distinct(), "id", "left_semi")
-    sets = materialize(shingle_sets(texts, k).join(ids, ["id", "s1"]).dropDuplicates(["id", "s1"]), "sets")
+    sets = shingle_sets(docs.where(F.col(doc_id).isNotNull()), k, ids, doc_id, text)
+    sets = materialize(sets.join(ids, ["id", "s1"]).dropDuplicates(["id", "s1"]), "sets")
 
     # first each member with its bucket's hub
     stars = bucket.where("rep <> hub or s1 <> hub_s1").select("hub", "hub_s1", "hub_n", "rep", "s1", "n").distinct()
