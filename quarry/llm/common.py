@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +90,25 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+#: Most bits, as a power of two, of a bitmap that goes to every task: 64 MB.
+MAP_BITS = 29
+
+
+def bitmap(rows: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """(bytes, bits): the places ``column`` mod ``bits`` that occur, as a bit each.
+
+    16 bits a row or more, but 2 ** MAP_BITS at most: beyond that it lets more
+    pass, and never fewer.
+    """
+    n = 1 << max(23, min(MAP_BITS, int(rows.count() * 16).bit_length()))
+    place = rows.select(F.pmod(F.col(column), F.lit(n)).alias("p"))
+    bucket = place.select(F.expr("p div 32768").alias("k"), F.expr("cast(p % 32768 as bigint)").alias("b"))
+    out = np.zeros(n // 8, np.uint8)
+    for r in bucket.groupBy("k").agg(F.bitmap_construct_agg("b").alias("bits")).collect():
+        out[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out, n
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows, so that what is made from one stays small."""
     for batch in batches:

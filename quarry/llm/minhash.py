@@ -29,17 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import list_column, materialize, small_batches, utf8
+from .common import bitmap, list_column, materialize, small_batches, utf8
 from .graph import components
 
 #: Chance that a pair right at the threshold shares no band.
 MISS = 1e-6
 MEMO = 200_000
-#: Most bits (as a power of two) of the bitmap of candidates that goes to every task.
-MAP_BITS = 29
 
 
 def banding(threshold: float, rows: int | None = None) -> tuple[int, int]:
@@ -133,25 +131,11 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, doc_id: str = "do
     return source.mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, bands array<long>")
 
 
-def bitmap(ids: DataFrame) -> np.ndarray:
-    """Bits of the hashes of a column ``id``: 16 a row or more, but MAP_BITS at most, so 64 MB bound it."""
-    n = 1 << max(23, min(MAP_BITS, int(ids.count() * 16).bit_length()))
-    place = ids.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("p"))
-    rows = place.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    out = np.zeros(n // 8 + 4096, np.uint8)
-    for r in rows:  # a bucket holds 32768 bits; the first starts at place 1
-        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
-
-
 def shingle_sets(docs: DataFrame, k: int, ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, s1, shingles array<long>) of the documents whose id may be in ``ids``; s1 as signatures() has it."""
-    bits = bitmap(ids)
-    n = (len(bits) - 4096) * 8
+    bits, n = bitmap(ids.select(F.xxhash64("id").alias("h")), "h")
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    place = F.pmod(F.xxhash64("id"), F.lit(n))
-    source = rows.select("id", "text", ((F.bitmap_bucket_number(place) - 1) * 32768 + F.bitmap_bit_position(place)).alias("bit"))
+    source = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(n)).alias("bit"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,3 +215,19 @@ def _linked(both, n, m, percent: int):
     both, n, m = (F.col(x) if isinstance(x, str) else x for x in (both, n, m))
     return 100 * both >= percent * (n + m - both)
 
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are the first of their component; of repeated ids the least text stays.
+
+    Rows without an id stay.
+    """
+    found = materialize(near_duplicates(docs, k, percent, doc_id, text).select(F.col(doc_id).alias("dropped_id"), "kept"), "verdicts")
+    out = docs.join(found.where(~F.col("kept")).select("dropped_id"), docs[doc_id] == F.col("dropped_id"), "left_anti")
+    again = found.where("kept and dropped_id is not null").groupBy("dropped_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    if again.isEmpty():
+        return out
+    order = Window.partitionBy(doc_id).orderBy(text)
+    name = "place"
+    while name in docs.columns:
+        name += "_"
+    return out.withColumn(name, F.row_number().over(order)).where(F.col(doc_id).isNull() | (F.col(name) == 1)).select(*docs.columns)

@@ -74,10 +74,10 @@ def budgets(totals: DataFrame, levels: list[str], weights: DataFrame, budget: in
     return tree
 
 
-def mix(docs: DataFrame, weights: DataFrame, budget: int | None = None, epochs: int = 2, seed: int = 1, levels: tuple[str, ...] = ("domain", "lang", "source"), doc_id: str = "doc_id", text: str = "text", default: int = 1) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame, budget: int | None = None, epochs: int = 2, seed: int = 1, levels: tuple[str, ...] = ("domain", "lang", "source"), doc_id: str = "doc_id", text: str = "text", default: int = 1, part: float = 1.0) -> DataFrame:
     """The rows of ``docs`` with tokens, share and copies: how often each is taken (0: not).
 
-    ``budget`` None asks for as many tokens as there are.
+    ``budget`` None asks for ``part`` of all the tokens there are.
     """
     levels = list(levels)
     rows = docs.withColumn("tokens", F.size(words_col(F.col(text))).cast("long"))
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights: DataFrame, budget: int | None = None, epochs:
     small = materialize(small, "tokens")
     totals = materialize(leaves(small, levels), "leaves")
     if budget is None:
-        budget = totals.agg(F.sum("tokens")).first()[0] or 0
+        budget = int((totals.agg(F.sum("tokens")).first()[0] or 0) * part)
     plan = materialize(budgets(totals, levels, weights, budget, epochs, default), "budgets")
     plan = plan.withColumn("whole", F.least(F.lit(epochs), F.expr("coalesce(share div nullif(tokens, 0), 0)")).cast("long"))
     plan = plan.withColumn("left", F.col("share") - F.col("whole") * F.col("tokens"))
@@ -108,10 +108,10 @@ def mix(docs: DataFrame, weights: DataFrame, budget: int | None = None, epochs:
     return s.select(*levels, "doc_id", "h", "tokens", "share", copies.cast("long").alias("copies")).withColumnRenamed("doc_id", doc_id)
 
 
-def select_rows(docs: DataFrame, weights: DataFrame, budget: int | None = None, epochs: int = 1, seed: int = 1, levels: tuple[str, ...] = ("domain", "lang", "source"), doc_id: str = "doc_id", text: str = "text", columns: list[str] | None = None) -> DataFrame:
+def select_rows(docs: DataFrame, weights: DataFrame, budget: int | None = None, epochs: int = 1, seed: int = 1, levels: tuple[str, ...] = ("domain", "lang", "source"), doc_id: str = "doc_id", text: str = "text", columns: list[str] | None = None, part: float = 1.0) -> DataFrame:
     """The rows taken, each as often as it is taken, in ``columns`` (all of them by default)."""
     columns = columns or docs.columns
-    taken = mix(docs, weights, budget, epochs, seed, levels, doc_id, text).where("copies > 0")
+    taken = mix(docs, weights, budget, epochs, seed, levels, doc_id, text, part=part).where("copies > 0")
     taken = taken.select(F.col(doc_id).alias("taken_id"), F.col("h").alias("taken_h"), F.col("copies").alias("taken_copies"))
     taken = taken.groupBy("taken_id", "taken_h").agg(F.max("taken_copies").alias("taken_copies"))
     on = docs[doc_id].eqNullSafe(taken["taken_id"]) & F.xxhash64(docs[text]).eqNullSafe(taken["taken_h"])

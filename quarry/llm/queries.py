@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, linededup, minhash, mixing, pii, quality, sstable
+from . import decontam, langid, licenses, linededup, minhash, mixing, pii, quality, sstable, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -119,10 +119,10 @@ MIX_WEIGHTS = [("web", 4), ("books", 3), ("code", 2), ("talk", 1), *((f"{d}/en",
 MIX_EPOCHS, MIX_SEED = 2, 1
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
+def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
     """A domain for each source by its number; the tables have none."""
     number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
-    return docs.withColumn("domain", F.element_at(F.array(*map(F.lit, ("web", "books", "code", "talk"))), (number % 4 + 1).cast("int")))
+    return docs.withColumn(name, F.element_at(F.array(*map(F.lit, ("web", "books", "code", "talk"))), (number % 4 + 1).cast("int")))
 
 
 @query
@@ -159,3 +159,8 @@ select domain, lang, source, doc_id, tokens, share, cast(whole + case when whole
 
 
 ORACLE["op5_source_mixing"] = _mix_sql()
+
+
+@query
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.passages(table(spark, sf_dir, "documents"))
