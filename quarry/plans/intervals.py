@@ -29,7 +29,7 @@ def overlap_pairs_binned(spark, d):
 
 
 @query(f"""with {_IV}, c as (select a.day, a.user_id, a.event_id as a, b.event_id as b from iv a join iv b on a.user_id = b.user_id and a.day = b.day and a.event_id < b.event_id and a.s < b.e and b.s < a.e and a.event_type <> b.event_type)
-select day, count(*) as n_clashes, list_sort(list((a, b)))[1:6] as first_six from c group by 1""")
+select day, count(*) as n_clashes, list(a || '-' || b order by a, b)[1:6] as first_six from c group by 1""")
 def clash_report(spark, d):
     iv = _intervals(spark, d)
     kinds = iv.select("event_id", "event_type")
@@ -37,7 +37,7 @@ def clash_report(spark, d):
     pairs = pairs.join(kinds.select(F.col("event_id").alias("a"), F.col("event_type").alias("ka")), "a").join(kinds.select(F.col("event_id").alias("b"), F.col("event_type").alias("kb")), "b").where("ka <> kb")
     w = Window.partitionBy("day").orderBy("a", "b")
     ranked = pairs.withColumn("rn", F.row_number().over(w))
-    return ranked.groupBy("day").agg(F.count(F.lit(1)).alias("n_clashes"), F.sort_array(F.collect_list(F.when(F.col("rn") <= 6, F.struct("a", "b")))).alias("first_six"))
+    return ranked.groupBy("day").agg(F.count(F.lit(1)).alias("n_clashes"), F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= 6, F.struct("a", "b")))), lambda x: F.concat_ws("-", x["a"], x["b"])).alias("first_six"))
 
 
 @query(f"""with {_IV}, days as (select distinct user_id, day from iv where user_id < 40), slots as (select user_id, day, h * 60 as slot_start, h * 60 + 60 as slot_end from days, range(24) t(h))

@@ -1 +1,39 @@
-"""."""
+"""Batch twins of the streaming operators; the streams themselves are run in the tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import windows as st
+from ..tables import load
+from .registry import query
+
+
+def _events(spark, d):
+    return load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 3) as total from events group by 1, 2")
+def stream_daily(spark, d):
+    return st.tumbling(_events(spark, d), "1 day", "2 hours", ["event_type"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 3).alias("total"))
+
+
+@query("""select to_timestamp((epoch(ts)::bigint // 3600 - k) * 3600)::timestamp as start, event_type, count(*) as n from events, range(0, 3) r(k) group by 1, 2""")
+def stream_sliding(spark, d):
+    return st.sliding(_events(spark, d), "3 hours", "1 hour", "2 hours", ["event_type"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end as opens from events), s as (select *, sum(opens) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+select min(ts) as start, max(ts) + interval 6 hour as "end", user_id, count(*) as n from s group by user_id, k""")
+def stream_session(spark, d):
+    return st.sessions(_events(spark, d), "6 hours", "1 day", "user_id").select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
+
+
+@query("select user_id, arg_max(event_type, (ts, event_id)) as event_type, max(ts) as ts from events group by 1")
+def stream_latest(spark, d):
+    return st.latest(_events(spark, d), ["user_id"], "event_type", "event_id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query()
+def rate_limit(spark, d):
+    return st.rate_limit(_events(spark, d), "event_type")
