@@ -18,7 +18,7 @@ def stream_daily(spark, d):
     return st.tumbling(_events(spark, d), "1 day", "2 hours", ["event_type"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 3).alias("total"))
 
 
-@query("""select to_timestamp((epoch(ts)::bigint // 3600 - k) * 3600)::timestamp as start, event_type, count(*) as n from events, range(0, 3) r(k) group by 1, 2""")
+@query("""select date_trunc('hour', ts)::timestamp - to_hours(k::int) as start, event_type, count(*) as n from events, range(0, 3) r(k) group by 1, 2""")
 def stream_sliding(spark, d):
     return st.sliding(_events(spark, d), "3 hours", "1 hour", "2 hours", ["event_type"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
