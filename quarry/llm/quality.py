@@ -71,7 +71,7 @@ def fences(m: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP, k: in
 
     def level(keys: list[str]) -> DataFrame:
         merged = fine.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(x, k).alias(x) for x in MEASURES))
-        q = lambda x, p: F.kll_sketch_get_quantile_double(x, F.lit(p))
+        q = lambda x, p: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(x, F.lit(p)))  # noqa: E731  an empty sketch has none
         return merged.select(*keys, "n", *((q(x, 0.75) + reach * F.greatest(q(x, 0.75) - q(x, 0.25), F.lit(floor))).alias(f"max_{x}") for x, floor in MEASURES.items()))
 
     groups, langs, whole = fine.select("lang", "source"), level(["lang"]), level([])
