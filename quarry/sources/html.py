@@ -67,5 +67,5 @@ def sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
     text = page_text(pages, key, html)
     parts = text.select(key, F.posexplode(F.split(F.concat(F.lit("\n"), "text"), "\n(?=#)")).alias("ord", "part"))
     heading = F.regexp_extract("part", "^#+ *([^\n]*)", 1)
-    body = F.trim(F.regexp_replace("part", "^#[^\n]*\n?", ""))
+    body = F.regexp_replace(F.regexp_replace("part", "^#[^\n]*\n?", ""), "^\\s+|\\s+$", "")
     return parts.select(key, "ord", heading.alias("heading"), body.alias("body")).where((F.col("heading") != "") | (F.col("body") != ""))
