@@ -24,7 +24,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, small_batches
 
 #: The training sample is bounded: texts a language, code points a text, bytes a dictionary.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICT_BYTES = 400, 2000, 65536
@@ -63,6 +63,7 @@ def _least(rows: DataFrame, k: int) -> DataFrame:
     counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
     # a hash bound that leaves about 4k rows of each language (all, if it has fewer)
     bounds = counts.withColumn("bound", F.when(F.col("n") <= 4 * k, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(2.0**64) * 4 * k / F.col("n")).cast("long")))
+    bounds = materialize(bounds, "languages")  # a row a language: its size is known, so it is broadcast if small
     near = rows.join(bounds, "l").where("h <= bound").groupBy("l", "n", "h").agg(F.min("t").alias("t"))  # copies once
     return near.groupBy("l", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "t"))), 1, k).alias("s"))
 
