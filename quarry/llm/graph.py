@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node reachable, for every node of ``edges(a, b)``.
 
     Each round hangs the larger neighbours of a node, then the smaller ones,
     on its least neighbour. Edges become stars in a logarithmic number of
-    rounds; no group is collected, only its minimum.
+    rounds, and rounds go on until one changes nothing; no group is collected,
+    only its minimum.
     """
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
