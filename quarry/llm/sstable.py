@@ -48,7 +48,7 @@ FOOTER = struct.Struct("<6Q2I8s")
 BLOCK_BYTES = 32 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 SHARD_BYTES = 64 << 20
-MEMO = 150_000
+MEMO = 200_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -189,6 +189,10 @@ class Encoder:
     memo holds it, many in a row: the ids of the next piece begin at the next
     token that starts with a space, as a piece has no other. Texts with other
     spacing go to the tokenizer whole.
+
+    The memo has two generations of about MEMO pieces: a full one becomes the
+    older, and a piece met there moves to the newer, so frequent pieces stay
+    however many rare ones pass.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int):
@@ -205,6 +209,7 @@ class Encoder:
             self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 and self.end_id < 65536 else 4
             self.end = self.end_id.to_bytes(self.width, "little")
             self.memo: dict[str, bytes] = {}
+            self.older: dict[str, bytes] = {}
             self.rare = re.compile(r"[^\S \n]")
             self.odd = re.compile(r"^ |\s | \s| $|[\x1c-\x1f\x85]")
             opens = {i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")}
@@ -235,16 +240,24 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         self.load()
         if len(self.memo) > MEMO:
-            self.memo.clear()
+            self.memo, self.older = {}, self.memo
         plain = [bool(t) and self.pieces and self._plain(t) for t in texts]
         split = [t.split(" ") if p else None for t, p in zip(texts, plain)]
         heads = self._whole([x[0] if p else t or "" for t, x, p in zip(texts, split, plain)])
         get, out = self.memo.get, []
         found = [list(map(get, x[1:])) if x else [] for x in split]
-        self._learn(list({w for x, f in zip(split, found) if None in f for w, v in zip(x[1:], f) if v is None}))
-        for head, x, f in zip(heads, split, found):
-            if None in f:
-                f = list(map(get, x[1:]))
+        gaps = [[k for k, v in enumerate(f) if v is None] for f in found]
+        new = []
+        for w in {x[k + 1] for x, gap in zip(split, gaps) for k in gap}:
+            ids = self.older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self.memo[w] = ids
+        self._learn(new)
+        for head, x, f, gap in zip(heads, split, found, gaps):
+            for k in gap:
+                f[k] = get(x[k + 1])
             out.append(b"".join([head, *f, self.end]))
         return out
 
