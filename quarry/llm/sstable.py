@@ -48,7 +48,7 @@ FOOTER = struct.Struct("<6Q2I8s")
 BLOCK_BYTES = 32 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 SHARD_BYTES = 64 << 20
-MEMO = 200_000
+MEMO = 75_000
 
 
 def key_of(doc_id: int | None) -> bytes:
