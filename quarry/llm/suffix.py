@@ -3,13 +3,15 @@
 Only suffixes at minimisers are kept: the k-gram of least hash in every SPAN
 consecutive ones, so the choice depends on content alone and two copies of a
 passage keep the same places. A suffix is filed under the hash of its first
-CORE words, with CONTEXT words to its left and right. Suffixes whose core occurs
-once are dropped. The others are sorted across the cluster twice, by core, left
-words, right words and by core, right words, left words; neighbours (those at
-partition borders too) are compared and their match extended left and right.
-A match of ``min_words`` words is a repeated passage. With SPAN + CORE <=
-min_words + 1 each passage of min_words has a minimiser with CORE words of it to
-the right, and between minimisers the context is long enough for exact ends.
+CORE words, with the words to its left and right that a passage can reach.
+Suffixes whose core occurs once are dropped; the others are sorted across the
+cluster by core, left words, right words. Equal rows are copies and need one
+representative. The different contexts of a core are compared with each other
+while they are FEW. Where a core has more (or lies at a partition border) each
+context gives a hash for every window of ``min_words`` words around its core,
+and equal windows meet in a second sort: a repeated window is found whatever
+stands between its places, without pairs. With SPAN + CORE <= min_words + 1
+each passage of min_words has a minimiser with CORE words of it to the right.
 
 Words are those between ASCII white space, in ASCII lower case.
 
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import bitmap, materialize, small_batches, utf8
 
-MIN_WORDS, GRAM, SPAN, CORE, CONTEXT = 50, 5, 20, 31, 20
+MIN_WORDS, GRAM, SPAN, CORE = 50, 5, 20, 31
+#: Contexts of a core that are compared with each other; more meet by window hashes.
+FEW = 8
 MEMO = 200_000
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -75,18 +79,18 @@ class Suffixes:
         key ^= key >> np.uint64(31)
         return places, key.view(np.int64), h
 
-    def contexts(self, places: np.ndarray, h: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    def contexts(self, places: np.ndarray, h: np.ndarray, context: int) -> tuple[list[bytes], list[bytes]]:
         """The words left of each place (nearest first) and right of its core, 16 bits of hash a word."""
         short = (h >> np.uint64(48)).astype(">u2")
         left, right, back = [], [], short[::-1].tobytes()
         data, n = short.tobytes(), len(h)
         for q in places.tolist():
-            left.append(back[2 * (n - q) : 2 * (n - q + CONTEXT)])
-            right.append(data[2 * (q + CORE) : 2 * (q + CORE + CONTEXT)])
+            left.append(back[2 * (n - q) : 2 * (n - q + context)])
+            right.append(data[2 * (q + CORE) : 2 * (q + CORE + context)])
         return left, right
 
 
-def suffixes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def suffixes(docs: DataFrame, doc_id: str, text: str, context: int) -> DataFrame:
     """(id, place, key, left_words, right_words) of the suffixes whose core occurs twice or more."""
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
@@ -109,7 +113,7 @@ def suffixes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 bit = key & (n - 1)
                 keep = (shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                 q, key = q[keep], key[keep]
-                a, b = make.contexts(q, h)
+                a, b = make.contexts(q, h, context)
                 ids += [i] * len(q)
                 places.append(q)
                 cores.append(key)
@@ -132,60 +136,155 @@ def _common(a: bytes, b: bytes) -> int:
     return k // 2
 
 
-def _spans(p: tuple, q: tuple, min_words: int) -> list[tuple]:
-    """The two places of the match of two suffixes (id, place, key, left, right), if it is long enough."""
-    if p[2] != q[2]:
-        return []
-    left, right = _common(p[3], q[3]), _common(p[4], q[4])
-    if left + CORE + right < min_words:
-        return []
-    return [(x[0], x[1] - left, x[1] + CORE + right, y[0], (y[0], y[1]) < (x[0], x[1])) for x, y in ((p, q), (q, p))]
+def _reach(reps: list[tuple], min_words: int) -> Iterator[tuple]:
+    """(id, start, end, partner, later): what each of a core's contexts (left, right, id, place) shares with the others."""
+    for p in reps:
+        reach: dict[bool, tuple] = {}
+        for q in reps:
+            left, right = _common(p[0], q[0]), _common(p[1], q[1])
+            if p is q or left + CORE + right < min_words:
+                continue
+            later = q[2:] < p[2:]
+            a, b, c = reach.get(later, (0, 0, q[2]))
+            reach[later] = max(a, left), max(b, right), min(c, q[2])  # all hold the core, so they are one span
+        for later, (a, b, c) in reach.items():
+            yield p[2], p[3] - a, p[3] + CORE + b, c, later
 
 
-def neighbours(rows: DataFrame, order: list[str], min_words: int) -> DataFrame:
-    """(id, start, end, partner, later): matches of neighbours in this order of all suffixes."""
-    spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "place", "key", "left_words", "right_words")
-    border_type = pa.struct([("id", pa.int64()), ("place", pa.int64()), ("key", pa.int64()), ("left_words", pa.binary()), ("right_words", pa.binary())])
+SPANS = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("partner", pa.int64()), ("later", pa.bool_())])
+OPEN = pa.schema([("key", pa.int64()), ("left_words", pa.binary()), ("right_words", pa.binary()), ("id", pa.int64()), ("place", pa.int64())])
+_spans_type = "id long, start long, end long, partner long, later boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, None
-        part = TaskContext.get().partitionId()
 
-        def out(spans, borders):
-            rows = [*spans, *[(None,) * 5] * len(borders)]
-            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
-            names = ("id", "place", "key", "left_words", "right_words")
-            edge = pa.array([None] * len(spans) + [dict(zip(names, b)) for b in borders], border_type)
-            return pa.RecordBatch.from_arrays([*cols, pa.array([part] * len(rows), pa.int32()), edge], names=["id", "start", "end", "partner", "later", "part", "border"])
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(schema), schema.types)], schema=schema)
+
+
+def contexts(rows: DataFrame, min_words: int) -> DataFrame:
+    """A span (id, start, end, partner, later) or a context (key, left_words, right_words, at, place) a row: spans of suffixes that their own partition decides, or a context left to the windows."""
+    order = ["key", "left_words", "right_words", "id", "place"]
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rep, reps, spread, alone = None, None, [], True, True  # a partition's first core may go on from the one before
 
         for batch in small_batches(batches, 10_000):
-            spans = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if last is not None:
-                    spans += _spans(last, row, min_words)
+            spans, wide = [], []
+            for k, left, right, i, place in zip(*(c.to_pylist() for c in batch.columns)):
+                if k == key and left == rep[0] and right == rep[1]:
+                    a, b = place - len(left) // 2, place + CORE + len(right) // 2
+                    if b - a >= min_words:
+                        if alone:
+                            spans.append((rep[2], rep[3] - len(left) // 2, rep[3] + CORE + len(right) // 2, i, False))
+                            alone = False
+                        spans.append((i, a, b, rep[2], (i, place) != rep[2:]))
+                    continue
+                if k != key:
+                    if not spread and len(reps) > 1:
+                        spans += _reach(reps, min_words)
+                    spread = key is None
+                    key, reps = k, []
+                rep, alone = (left, right, i, place), True
+                if not spread:
+                    reps.append(rep)
+                    if len(reps) > FEW:
+                        wide += [(k, *r) for r in reps]
+                        spread, reps = True, []
                 else:
-                    first = row
-                last = row
-            yield out(spans, [])
+                    wide.append((k, *rep))
+            yield from both(spans, wide)
+        yield from both([], [(key, *r) for r in reps])  # the last core may go on in the next partition
+
+    def both(spans, wide):
+        n, m = len(spans), len(wide)
+        s, w = _batch(spans, SPANS), _batch(wide, OPEN)
+        cols = [pa.concat_arrays([c, pa.nulls(m, c.type)]) for c in s.columns] + [pa.concat_arrays([pa.nulls(n, c.type), c]) for c in w.columns]
+        yield pa.RecordBatch.from_arrays(cols, names=[*SPANS.names, "key", "left_words", "right_words", "at", "place"])
+
+    made = ordered.mapInArrow(run, f"{_spans_type}, key long, left_words binary, right_words binary, at long, place long")
+    return materialize(made, "contexts")
+
+
+def windows(wide: DataFrame, min_words: int) -> DataFrame:
+    """(h, id, start): each window of ``min_words`` around the core of each context."""
+    free = min_words - CORE
+    salt = np.random.default_rng(7).integers(1, 2**63, 2 * free + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def sums(column: pa.Array, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the hashed words, from none to ``free`` of them, and how many there are."""
+        have = [x.as_py() for x in column]
+        words = np.frombuffer(b"".join(x[: 2 * free].ljust(2 * free, b"\0") for x in have), ">u2").reshape(-1, free).astype(np.uint64) + np.uint64(1)
+        out = np.zeros((len(have), free + 1), np.uint64)
+        np.cumsum(words * by, axis=1, out=out[:, 1:])
+        return out, np.array([len(x) // 2 for x in have], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 10_000):
+            (a, n), (b, m) = sums(batch.column(1), salt[:free]), sums(batch.column(2), salt[free:-1])
+            key = batch.column(0).to_numpy().view(np.uint64) * salt[-1]
+            for l in range(free + 1):  # noqa: E741
+                has = (n >= l) & (m >= free - l)
+                h = key + a[:, l] + b[:, free - l] + np.uint64(l) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(32)
+                h *= np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[has].view(np.int64)), batch.column(3).filter(pa.array(has)), pa.array(batch.column(4).to_numpy()[has] - l)], names=["h", "id", "start"])
+
+    return materialize(wide.select("key", "left_words", "right_words", F.col("at").alias("id"), "place").mapInArrow(run, "h long, id long, start long"), "windows")
+
+
+def _meet(h: np.ndarray, i: np.ndarray, s: np.ndarray, min_words: int) -> list[np.ndarray]:
+    """The spans of rows, in order, whose hash is that of the row before."""
+    k = np.flatnonzero(h[1:] == h[:-1])
+    other = (i[k] != i[k + 1]) | (s[k] != s[k + 1])
+    start = np.concatenate([s[k], s[k + 1]])
+    return [np.concatenate([i[k], i[k + 1]]), start, start + min_words, np.concatenate([i[k + 1], i[k]]), np.concatenate([np.zeros(len(k), bool), other])]
+
+
+def repeated(rows: DataFrame, min_words: int) -> DataFrame:
+    """(id, start, end, partner, later): the windows whose hash occurs twice or more."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    order = ["h", "id", "start"]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first = None, None
+        part = TaskContext.get().partitionId()
+        names = [*SPANS.names, "part", "h"]
+
+        def border(row):  # its id and start stand in the span's columns
+            return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip((row[1], row[2], None, None, None), SPANS.types)), pa.array([part], pa.int32()), pa.array([row[0]], pa.int64())], names=names)
+
+        for batch in small_batches(batches, 100_000):
+            cols = [c.to_numpy() for c in batch.columns]
+            if last is None:
+                first = [int(c[0]) for c in cols]
+            else:
+                cols = [np.concatenate([[x], c]) for x, c in zip(last, cols)]
+            last = [int(c[-1]) for c in cols]
+            out = [pa.array(c, t) for c, t in zip(_meet(*cols, min_words), SPANS.types)]
+            yield pa.RecordBatch.from_arrays([*out, pa.nulls(len(out[0]), pa.int32()), pa.nulls(len(out[0]), pa.int64())], names=names)
         if first is not None:
-            yield out([], [first, last])
+            yield border(first)
+            yield border(last)
 
-    schema = "id long, start long, end long, partner long, later boolean, part int, border struct<id:long,place:long,key:long,left_words:binary,right_words:binary>"
-    made = materialize(ordered.mapInArrow(run, schema), "neighbours")
-    # the last suffix of a partition against the first of the next: two rows a partition
-    by = Window.orderBy("part", *(F.col(f"border.{c}") for c in order))
-    edges = made.where("border is not null").select("part", "border", F.lag("border").over(by).alias("before"), F.lag("part").over(by).alias("part_before")).where("part_before < part and before.key = border.key")
+    made = materialize(ordered.mapInArrow(run, f"{_spans_type}, part int, h long"), "repeated")
+    # the last window of a partition against the first of the next: two rows a partition
+    by = Window.orderBy("part", "h", "id", "start")
+    edges = made.where("part is not null").select("part", "h", "id", "start", *(F.lag(c).over(by).alias(f"{c}0") for c in ("part", "h", "id", "start"))).where("part0 < part and h0 = h")
+    end = lambda c: F.col(c) + min_words
+    one = edges.select(F.col("id0").alias("id"), F.col("start0").alias("start"), end("start0").alias("end"), F.col("id").alias("partner"), F.lit(False).alias("later"))
+    two = edges.select("id", "start", end("start").alias("end"), F.col("id0").alias("partner"), F.expr("id0 <> id or start0 <> start").alias("later"))
+    return made.where("part is null").select(*SPANS.names).union(one).union(two)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("id", "place", "key", "left_words", "right_words")
-        for batch in batches:
-            spans = [s for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in _spans(tuple(a[n] for n in names), tuple(b[n] for n in names), min_words)]
-            yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in spans], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["id", "start", "end", "partner", "later"])
 
-    plain = "id long, start long, end long, partner long, later boolean"
-    return made.where("border is null").select("id", "start", "end", "partner", "later").union(edges.select("before", "border").mapInArrow(meet, plain))
+def islands(found: DataFrame) -> DataFrame:
+    """(id, start, end, partner, copy): the spans of each document merged."""
+    order = Window.partitionBy("id").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = found.withColumn("opens", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner"), F.bool_or("later").alias("copy")).drop("island")
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,13 +294,9 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
     """
     if min_words < MIN_WORDS:
         raise ValueError(f"a passage has {MIN_WORDS} words at least")
-    rows = suffixes(docs, doc_id, text)
-    found = neighbours(rows, ["key", "left_words", "right_words", "id", "place"], min_words).union(neighbours(rows, ["key", "right_words", "left_words", "id", "place"], min_words))
-    order = Window.partitionBy("id").orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = found.withColumn("opens", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = marked.groupBy("id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner"), F.bool_or("later").alias("copy"))
-    return out.select(F.col("id").alias(doc_id), "start", "end", "partner", "copy")
+    made = contexts(suffixes(docs, doc_id, text, min_words - CORE + 1), min_words)
+    found = made.where("key is null").select(*SPANS.names).union(repeated(windows(made.where("key is not null"), min_words), min_words))
+    return islands(found).select(F.col("id").alias(doc_id), "start", "end", "partner", "copy")
 
 
 def remove(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -324,6 +324,21 @@ def test_passages_edges(spark, odd, none):
     assert suffix.remove(odd).columns == odd.columns and suffix.remove(odd).count() == 11
 
 
+def test_passages_between_other_contexts(spark):
+    """Two copies that share words on both sides of a core, with one-sided matches sorted between them."""
+    core, left, right = prose(500, 31), prose(501, 10), prose(502, 9)
+    texts = {k: f"{prose(510 + k, 30)} {left} {core} {right} {prose(520 + k, 30)}" for k in range(2)}
+    for k in range(40):
+        texts[10 + k] = f"{prose(600 + k, 30)} {left} {core} {' '.join(right.split()[: k % 4])} {prose(700 + k, 30)}"
+        texts[60 + k] = f"{prose(800 + k, 30)} {' '.join(left.split()[10 - k % 4 :])} {core} {right} {prose(900 + k, 30)}"
+    for k in range(150):  # excerpts of one text in other prose
+        rng = np.random.default_rng(k)
+        a, n = rng.integers(0, 60), rng.integers(40, 61)
+        texts[200 + k] = f"{prose(1000 + k, 20)} {' '.join(prose(503, 120).split()[a : a + n])} {prose(1300 + k, 20)}"
+    got = covered(suffix.passages(frame(spark, [(k, t, "en", "a") for k, t in texts.items()])).collect())
+    assert got == brute_repeats(texts)
+
+
 # 10 personal data
 def test_pii(spark, docs, odd, none):
     text = 'mail a.b@c.org. ip 1.2.3.4 and 1.2.3.400 card 4539 1488 0343 6467, tel +1 (555) 010-9999 token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" in 2024 km 17'
