@@ -18,8 +18,9 @@ Words are those between ASCII white space, in ASCII lower case.
 Defined results
     null, empty or shorter text than min_words: no passage. A passage repeated
     within one document counts. Repeated rows are copies of one another.
-    ``copy`` is true where an earlier place (by doc_id, then word) has the same
-    words; ties (repeated rows) are no copies. Null doc_id: skipped. Extra
+    ``copy`` is true for the words of matches with an earlier place (by doc_id,
+    then word); the other words of a passage are spans of their own, which may
+    be shorter than min_words; ties (repeated rows) are no copies. Null doc_id: skipped. Extra
     columns are not read. Very long texts are one row of many suffixes.
 """
 
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, materialize, small_batches, utf8
+from .common import bitmap, materialize, merge_spans, small_batches, utf8
 
 MIN_WORDS, GRAM, SPAN, CORE = 50, 5, 20, 31
 #: Contexts of a core that are compared with each other; more meet by window hashes.
@@ -280,11 +281,42 @@ def repeated(rows: DataFrame, min_words: int) -> DataFrame:
 
 
 def islands(found: DataFrame) -> DataFrame:
-    """(id, start, end, partner, copy): the spans of each document merged."""
-    order = Window.partitionBy("id").orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = found.withColumn("opens", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner"), F.bool_or("later").alias("copy")).drop("island")
+    """(id, start, end, partner, copy): the words of each document's later spans merged, and the rest of all its spans."""
+    ordered = found.repartition("id").sortWithinPartitions("id", "start").select(*SPANS.names)
+
+    def of(i: int, spans: list[tuple]) -> Iterator[tuple]:
+        copies = merge_spans((a, b) for a, b, _, later in spans if later)
+        rest, k = [], 0
+        for a, b in merge_spans((a, b) for a, b, _, _ in spans):
+            while k < len(copies) and copies[k][0] < b:  # a copy lies within one island of all spans
+                rest.append((a, copies[k][0]))
+                a, k = copies[k][1], k + 1
+            rest.append((a, b))
+        for parts, copy in ((copies, True), ([x for x in rest if x[0] < x[1]], False)):
+            k = 0
+            for a, b in parts:
+                while k < len(spans) and spans[k][0] < a and spans[k][1] <= a:
+                    k += 1
+                partner, j = None, k
+                while j < len(spans) and spans[j][0] < b:
+                    if spans[j][1] > a and spans[j][3] >= copy and (partner is None or spans[j][2] < partner):
+                        partner = spans[j][2]
+                    j += 1
+                yield i, a, b, partner, copy
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, spans = None, []
+        for batch in small_batches(batches, 10_000):
+            out = []
+            for i, *span in zip(*(c.to_pylist() for c in batch.columns)):
+                if i != at:
+                    out += of(at, spans)
+                    at, spans = i, []
+                spans.append(tuple(span))
+            yield _batch(out, SPANS)
+        yield _batch(list(of(at, spans)), SPANS)
+
+    return ordered.mapInArrow(run, _spans_type).withColumnRenamed("later", "copy")
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

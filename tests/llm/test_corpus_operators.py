@@ -339,6 +339,16 @@ def test_passages_between_other_contexts(spark):
     assert got == brute_repeats(texts)
 
 
+def test_passages_partial_copies(spark):
+    """Only words that an earlier place has too are copies: a short earlier match leaves the rest its first place."""
+    t = prose(530, 200).split()
+    df = frame(spark, [(1, " ".join(t[:60]), "en", "a"), (2, " ".join(t), "en", "a"), (3, " ".join(t), "en", "a")])
+    got = sorted((r["doc_id"], r["start"], r["end"], r["copy"]) for r in suffix.passages(df).collect())
+    assert got == [(1, 0, 60, False), (2, 0, 60, True), (2, 60, 200, False), (3, 0, 200, True)]
+    left = {r["doc_id"]: r["text"].split() for r in suffix.remove(df).collect()}
+    assert left == {1: t[:60], 2: t[60:], 3: []}
+
+
 # 10 personal data
 def test_pii(spark, docs, odd, none):
     text = 'mail a.b@c.org. ip 1.2.3.4 and 1.2.3.400 card 4539 1488 0343 6467, tel +1 (555) 010-9999 token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" in 2024 km 17'
