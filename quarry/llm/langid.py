@@ -29,8 +29,8 @@ from .common import materialize, small_batches
 #: The training sample is bounded: texts a language, code points a text, bytes a dictionary.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICT_BYTES = 400, 2000, 65536
 BLOCK = 4096
-#: A text is rejected if the runner-up needs less than this share more bytes, and fewer than MARGIN_BYTES.
-MARGIN, MARGIN_BYTES = 0.004, 1
+#: A text is rejected if the runner-up needs less than this share more bytes.
+MARGIN = 0.004
 UND = "und"
 
 _letters = re.compile(r"[^\W\d_]+")
@@ -88,7 +88,7 @@ def classify(text: str | None, models: list[tuple[str, zstd.ZstdCompressor]], ma
     second = min(s for k, s in enumerate(sizes) if k != best)
     gap = second - sizes[best]
     score = 1.0 - 0.5 ** (1 + 20.0 * gap / max(second, 1))
-    return models[best][0], score, bool(gap <= MARGIN_BYTES and gap < margin * second)
+    return models[best][0], score, bool(gap < margin * second)
 
 
 class Classifier:

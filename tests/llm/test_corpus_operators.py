@@ -80,6 +80,17 @@ def test_language_id(docs, odd, none):
     assert langid.accept(odd, trained).columns == odd.columns
 
 
+def test_language_id_rejects_long_junk_and_mixtures(docs):
+    model = langid.Classifier(langid.train(docs))
+    rng = np.random.default_rng(0)
+    junk = [" ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 10)))) for _ in range(1000)) for _ in range(40)]
+    assert sum(model(x)[2] for x in junk) >= 28
+    clean = [r["text"] for r in docs.where("n_chars between 100 and 2000").orderBy("doc_id").limit(100).collect()]
+    assert sum(model(x)[2] for x in clean) <= 5
+    wide = langid.Classifier(model.trained, margin=0.5)
+    assert all(wide(x)[2] for x in junk)  # the margin alone decides
+
+
 # 3 licences
 def test_licences(spark, odd, none):
     assert licenses.scan(none).count() == 0
