@@ -59,10 +59,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_texts:
 
 
 def _least(rows: DataFrame, k: int) -> DataFrame:
-    """The k rows of least hash of each language; a hash bound from its count leaves about 4k to group."""
-    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-    # a hash bound that leaves about 4k rows of each language (all, if it has fewer)
-    bounds = counts.withColumn("bound", F.when(F.col("n") <= 4 * k, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(2.0**64) * 4 * k / F.col("n")).cast("long")))
+    """The k texts of least hash of each language; a hash bound from its count of different texts leaves about 4k to group."""
+    pairs = rows.groupBy("l", "h").agg(F.count(F.lit(1)).alias("c"))
+    counts = pairs.groupBy("l").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"))  # n rows, d different texts
+    # all texts, if a language has no more than 4k; fewer than k of 4k expected hashes under the bound is out of the question
+    bounds = counts.select("l", "n", F.when(F.col("d") <= 4 * k, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(2.0**64) * 4 * k / F.col("d")).cast("long")).alias("bound"))
     bounds = materialize(bounds, "languages")  # a row a language: its size is known, so it is broadcast if small
     near = rows.join(bounds, "l").where("h <= bound").groupBy("l", "n", "h").agg(F.min("t").alias("t"))  # copies once
     return near.groupBy("l", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "t"))), 1, k).alias("s"))

@@ -91,6 +91,14 @@ def test_language_id_rejects_long_junk_and_mixtures(docs):
     assert all(wide(x)[2] for x in junk)  # the margin alone decides
 
 
+def test_language_sample_counts_different_texts(spark):
+    """Copies share a hash: they must not take the other texts' places in the sample."""
+    rows = spark.createDataFrame([("en", f"t{max(k, 2940)}") for k in range(3000)], "l string, t string").selectExpr("l", "xxhash64(t) as h", "t")
+    got = langid._least(rows, 12).collect()
+    want = [r["t"] for r in rows.distinct().orderBy("h").limit(12).collect()]
+    assert [(r["l"], r["n"], [x["t"] for x in r["s"]]) for r in got] == [("en", 3000, want)]
+
+
 # 3 licences
 def test_licences(spark, odd, none):
     assert licenses.scan(none).count() == 0
