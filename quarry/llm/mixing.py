@@ -1,8 +1,8 @@
 """Mixing sources to target weights.
 
 The corpus is a tree of levels (domain, language, source by default). A budget
-of tokens goes down it by weights. A child can take no more than its tokens
-times the epochs allowed; what it can't take goes to its siblings by their
+of tokens goes down it by weights. A child can take no more than the tokens of
+its leaves without a weight of 0 on their path, times the epochs allowed; what it can't take goes to its siblings by their
 weights, and only what a whole family can't take goes to the families above.
 With children in order of capacity / weight the level at which the rest share
 is found from running sums, so a level needs one window over its nodes.
@@ -53,9 +53,13 @@ def budgets(totals: DataFrame, levels: list[str], weights: DataFrame, budget: in
     """
     name = lambda k: F.concat_ws("/", *(F.coalesce(F.col(x).cast("string"), F.lit("null")) for x in levels[:k]))
     given = F.lit(int(budget)).cast("long")
-    tree = totals.withColumn("share", given)
+    # a node can give what its leaves can that have no weight of 0 on their path: capacities go up before budgets go down
+    tree = totals.withColumns({"share": given, "usable": F.col("tokens")})
     for depth in range(1, len(levels) + 1):
-        node = tree.groupBy(*levels[:depth]).agg(F.sum("tokens").alias("node_tokens"), F.min("share").alias("given")).withColumn("path", name(depth))
+        of = weights.select(F.col("path").alias("of"), F.col("weight").alias("of_weight"))
+        tree = tree.join(of, name(depth) == F.col("of"), "left").withColumn("usable", F.when(F.coalesce(F.col("of_weight"), F.lit(default)) > 0, F.col("usable")).otherwise(F.lit(0))).drop("of", "of_weight")
+    for depth in range(1, len(levels) + 1):
+        node = tree.groupBy(*levels[:depth]).agg(F.sum("usable").alias("node_tokens"), F.min("share").alias("given")).withColumn("path", name(depth))
         node = node.join(weights.select("path", "weight"), "path", "left").withColumn("w", F.coalesce(F.col("weight"), F.lit(default)).cast("long"))
         node = node.withColumn("cap", F.when(F.col("w") > 0, F.col("node_tokens") * epochs).otherwise(F.lit(0)).cast("long"))
         family = Window.partitionBy(*levels[: depth - 1]) if depth > 1 else Window.partitionBy(F.lit(0))  # the nodes under one parent
@@ -71,7 +75,7 @@ def budgets(totals: DataFrame, levels: list[str], weights: DataFrame, budget: in
         node = node.withColumn("share", F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), rest.cast("long"))))
         below = node.select(*levels[:depth], "share")
         tree = tree.drop("share").alias("t").join(below.alias("n"), _same("t", "n", levels[:depth])).select("t.*", "n.share")
-    return tree
+    return tree.drop("usable")
 
 
 def mix(docs: DataFrame, weights: DataFrame, budget: int | None = None, epochs: int = 2, seed: int = 1, levels: tuple[str, ...] = ("domain", "lang", "source"), doc_id: str = "doc_id", text: str = "text", default: int = 1, part: float = 1.0) -> DataFrame:

@@ -155,6 +155,14 @@ def test_mixing_redistributes_among_siblings_first(spark):
     assert got == {("x", "p"): 10, ("y", "r"): 390}  # only what the family can't take goes up
 
 
+def test_mixing_zero_weight_below_takes_nothing(spark):
+    """What a family can't take, because a source below has weight 0, goes to its siblings."""
+    w = spark.createDataFrame([("a", 1), ("b", 1), ("a/p", 0)], "path string, weight long")
+    totals = spark.createDataFrame([("a", "p", 1, 100), ("b", "q", 1, 100)], "domain string, source string, docs long, tokens long")
+    got = {r["domain"]: r["share"] for r in mixing.budgets(totals, ["domain", "source"], w, 100, 1).collect()}
+    assert got == {"a": 0, "b": 100}
+
+
 def test_mixing_rows(spark, odd, none):
     w = spark.createDataFrame([("en", 2)], "path string, weight long")
     got = mixing.mix(odd, w, epochs=2, levels=("lang", "source")).collect()
