@@ -15,9 +15,9 @@ order is id order; a null id has the empty key and stands first. Values: the
 ids, 2 bytes each if the vocabulary allows, else 4.
 
 Shards hold consecutive ranges of ids in the order of their names, so reading
-them in turn gives the corpus in ascending order. A task writes to a name of
-its own and renames at the end: a task that runs again overwrites its file
-with equal bytes.
+them in turn gives the corpus in ascending order. Each attempt of a task writes
+a file of its own, and the row it returns names it: what a lost or doubled
+attempt leaves in the folder is in no row, and no file is renamed or replaced.
 
 Defined results
     null or empty text: only the end id. Repeated ids: an entry each, ordered
@@ -27,6 +27,8 @@ Defined results
 from __future__ import annotations
 
 import functools
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -35,6 +37,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
@@ -48,7 +52,8 @@ FOOTER = struct.Struct("<6Q2I8s")
 BLOCK_BYTES = 32 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 SHARD_BYTES = 64 << 20
-MEMO = 75_000
+#: Units held at most, and characters encoded at a time.
+UNITS, BATCH_CHARS = 400_000, 1_000_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -180,19 +185,90 @@ def open_shard(path: str) -> Reader:
     return Reader(store.open_input_file(name))
 
 
+#: Fixed value: how a byte-level tokenizer cuts text before its merges.
+_UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_LETTER = regex.compile(r"\p{L}")
+#: The characters that stand for bytes in such a vocabulary: printable ones for themselves, the others from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def _ragged(values: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows ``at`` of a ragged table (flat values, length of each row), as such a table."""
+    starts = np.cumsum(lengths) - lengths
+    n = lengths[at]
+    place = np.arange(int(n.sum())) + np.repeat(starts[at] - (np.cumsum(n) - n), n)
+    return values[place], n
+
+
+def _strings(column: pa.StringArray) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist()
+
+
+def _tails(texts: pa.StringArray, heads: pa.StringArray) -> pa.StringArray:
+    """What follows ``heads`` in ``texts``."""
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    size = ends[1:] - ends[:-1] - pc.binary_length(heads).to_numpy()
+    upto = np.concatenate([[0], np.cumsum(size)])
+    flat = data[np.arange(upto[-1]) + np.repeat(ends[1:] - upto[1:], size)]
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes()))
+
+
+def _spelled(unit: str) -> str:
+    """The characters that stand for the unit's bytes."""
+    word = unit[1:]
+    if unit[:1] == " " and word.isascii() and word.isalpha():
+        return _BYTE[32] + word
+    return "".join([_BYTE[b] for b in unit.encode()])
+
+
+#: Characters after a word that make a unit of their own.
+_STOPS = ".,;:!?"
+
+
+class Units:
+    """The ids of the units met: strings in one Arrow array and ids in one numpy
+    array, some 30 bytes a unit. Beyond UNITS of them the half met longest ago goes."""
+
+    def __init__(self, model, dtype: str):
+        self.model, self.names, self.ids = model, pa.array([], pa.string()), np.empty(0, dtype)
+        self.lengths, self.used, self.round = np.empty(0, np.int64), np.empty(0, np.int64), 0
+
+    def __call__(self, wanted: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """A ragged table of the ids of each unit."""
+        self.round += 1
+        found = pc.index_in(wanted, value_set=self.names)
+        new = wanted.filter(found.is_null())
+        made = [[t.id for t in self.model.tokenize(_spelled(unit))] for unit in _strings(new)]
+        known = len(self.names)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = np.arange(known, known + len(new))
+        self.names = pa.concat_arrays([self.names, new])
+        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, made), np.int64, len(made))])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in made for i in ids), self.ids.dtype)])
+        self.used = np.concatenate([self.used, np.zeros(len(made), np.int64)])
+        self.used[at] = self.round
+        out = _ragged(self.ids, self.lengths, at)
+        if len(self.names) > UNITS:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: UNITS // 2])
+            (self.ids, self.lengths), self.names, self.used = _ragged(self.ids, self.lengths, keep), self.names.take(pa.array(keep)), self.used[keep]
+        return out
+
+
 class Encoder:
-    """A text's ids as bytes, with the end id.
-
-    The byte-level pre-tokenizer always starts a token at a single space
-    between two characters that are not white space, so pieces cut there
-    encode alike in any text. The tokenizer sees each piece once while the
-    memo holds it, many in a row: the ids of the next piece begin at the next
-    token that starts with a space, as a piece has no other. Texts with other
-    spacing go to the tokenizer whole.
-
-    The memo has two generations of about MEMO pieces: a full one becomes the
-    older, and a piece met there moves to the newer, so frequent pieces stay
-    however many rare ones pass.
+    """Texts' ids as bytes, with the end id.
+
+    A byte-level tokenizer cuts a text into units and merges inside them, so
+    its model is asked once for each unit while it is held. Where every space
+    stands between two characters that are not white space, units never reach
+    over a space, so a batch's texts are split there and each different piece
+    is cut once.
+
+    The tokenizer's own cut is compared with the pattern here for every
+    character met, beside each kind of neighbour. Texts with a character that
+    they take differently, texts with an added token, and all texts of a
+    tokenizer of another kind go to the tokenizer whole.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int):
@@ -200,65 +276,87 @@ class Encoder:
 
     def load(self) -> Encoder:
         if self.tokenizer is None:
-            import json
-            import re
-
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.tokenizer_path)
             self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 and self.end_id < 65536 else 4
-            self.end = self.end_id.to_bytes(self.width, "little")
-            self.memo: dict[str, bytes] = {}
-            self.older: dict[str, bytes] = {}
-            self.rare = re.compile(r"[^\S \n]")
+            self.dtype = f"<u{self.width}"
+            made = json.loads(self.tokenizer.to_str())
+            cut = made.get("pre_tokenizer") or {}
+            self.by_unit = made["model"]["type"] == "BPE" and made.get("normalizer") is None and cut.get("type") == "ByteLevel" and bool(cut.get("use_regex", True)) and not cut.get("add_prefix_space")
+            self.added = [t["content"] for t in made.get("added_tokens", [])]
+            self.units = Units(self.tokenizer.model, self.dtype)
             self.odd = re.compile(r"^ |\s | \s| $|[\x1c-\x1f\x85]")
-            opens = {i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")}
-            self.opens = np.array([i in opens for i in range(self.tokenizer.get_vocab_size())])
-            pre = json.loads(self.tokenizer.to_str())
-            self.pieces = pre.get("normalizer") is None and (pre.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not pre["pre_tokenizer"].get("add_prefix_space") and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in pre.get("added_tokens", []))
+            self.rare = re.compile(r"[^\S \n]")
+            self.alike: set[str] = set()
+            self.unlike: set[str] = set()
         return self
 
-    def _plain(self, text: str) -> bool:
+    def _compare(self, characters: set[str]) -> None:
+        new = sorted(characters - self.alike - self.unlike)
+        for c, letter in zip(new, pc.utf8_is_alpha(pa.array(new, pa.string())).to_pylist()):
+            text = f"a{c}a1{c}1!{c}! {c}"
+            own = [m.span() for m in _UNIT.finditer(text)]
+            same = own == [at for _, at in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] and letter == bool(_LETTER.match(c))
+            (self.alike if same else self.unlike).add(c)
+
+    def _spaced(self, text: str) -> bool:
         """Whether every space stands between two characters that are not white space."""
         if self.rare.search(text):
             return not self.odd.search(text)
         return not ("  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ")
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Adds pieces that follow a space to the memo."""
-        for k in range(0, len(pieces), 1000):
-            part = pieces[k : k + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, f"<u{self.width}")
-            data = ids.tobytes()
-            at = (np.flatnonzero(self.opens[ids]) * self.width).tolist()
-            for p, a, b in zip(part, at, [*at[1:], len(data)], strict=True):
-                self.memo[p] = data[a:b]
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype) for t in texts]
+        return np.concatenate([np.empty(0, self.dtype), *ids]), np.array([len(x) for x in ids], np.int64)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         self.load()
-        if len(self.memo) > MEMO:
-            self.memo, self.older = {}, self.memo
-        plain = [bool(t) and self.pieces and self._plain(t) for t in texts]
-        split = [t.split(" ") if p else None for t, p in zip(texts, plain)]
-        heads = self._whole([x[0] if p else t or "" for t, x, p in zip(texts, split, plain)])
-        get, out = self.memo.get, []
-        found = [list(map(get, x[1:])) if x else [] for x in split]
-        gaps = [[k for k, v in enumerate(f) if v is None] for f in found]
-        new = []
-        for w in {x[k + 1] for x, gap in zip(split, gaps) for k in gap}:
-            ids = self.older.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                self.memo[w] = ids
-        self._learn(new)
-        for head, x, f, gap in zip(heads, split, found, gaps):
-            for k in gap:
-                f[k] = get(x[k + 1])
-            out.append(b"".join([head, *f, self.end]))
+        whole = [k for k, t in enumerate(texts) if t and (not self.by_unit or any(x in t for x in self.added))]
+        held = set(whole)
+        cut = [k for k, t in enumerate(texts) if t and k not in held]
+        split = pc.split_pattern(pa.array([texts[k] if self._spaced(texts[k]) else "" for k in cut], pa.large_string()), " ")
+        pieces = split.flatten().dictionary_encode()
+        known, opens = pieces.dictionary.cast(pa.string()), split.offsets.to_numpy()[:-1]
+        # a text's first piece, or the whole text if it has other spacing, is cut by itself: it follows no space
+        first = _strings(pieces.take(pa.array(opens)).cast(pa.string())) if len(opens) else []
+        first = [f or texts[k] for k, f in zip(cut, first)]
+        self._compare(set().union(*_strings(known), *first))
+        if self.unlike:
+            strange = [k for k in cut if not self.unlike.isdisjoint(texts[k])]
+            if strange:
+                odd = set(strange)
+                out = self([None if k in odd else t for k, t in enumerate(texts)])
+                values, lengths = self._whole([texts[k] for k in strange])
+                for k, b, n in zip(strange, np.cumsum(lengths).tolist(), lengths.tolist()):
+                    out[k] = values[b - n : b].tobytes() + out[k]
+                return out
+        # most pieces are letters and then stops: two units, the second perhaps empty; the pattern cuts the others
+        stem = pc.utf8_rtrim(known, characters=_STOPS)
+        plain = pc.utf8_is_alpha(stem)
+        stop = _tails(known.filter(plain), stem.filter(plain))
+        found = [*(_UNIT.findall(" " + p) for p in _strings(known.filter(pc.invert(plain)))), *map(_UNIT.findall, first)]
+        n = len(stop)
+        units = pa.concat_arrays([pc.binary_join_element_wise("", stem.filter(plain), " "), stop, pa.array([u for f in found for u in f], pa.string())]).dictionary_encode()
+        at_unit = units.indices.to_numpy()
+        at_unit = np.concatenate([np.stack([at_unit[:n], at_unit[n : 2 * n]], 1).ravel(), at_unit[2 * n :]])
+        ids, lengths = _ragged(*self.units(units.dictionary), at_unit)
+        # ids of pieces (plain ones, others, first ones), then of texts
+        ends = np.concatenate([[0], np.cumsum([2] * n + [len(f) for f in found], dtype=np.int64)])
+        lengths = np.diff(np.concatenate([[0], np.cumsum(lengths)])[ends])
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        place = np.where(is_plain, np.cumsum(is_plain) - 1, n + np.cumsum(~is_plain) - 1)
+        at = place[pieces.indices.to_numpy()]
+        at[opens] = len(known) + np.arange(len(opens))
+        ids, lengths = _ragged(ids, lengths, at)
+        upto = np.concatenate([[0], np.cumsum(lengths)])[split.offsets.to_numpy()]
+        data, end = ids.tobytes(), self.end_id.to_bytes(self.width, "little")
+        out = [end] * len(texts)
+        for k, a, b in zip(cut, (upto[:-1] * self.width).tolist(), (upto[1:] * self.width).tolist()):
+            out[k] = data[a:b] + end
+        values, lengths = self._whole([texts[k] for k in whole])
+        for k, b, n in zip(whole, np.cumsum(lengths).tolist(), lengths.tolist()):
+            out[k] = values[b - n : b].tobytes() + end
         return out
 
 
@@ -268,6 +366,21 @@ def encoder_of(tokenizer_path: str, end_id: int) -> Encoder:
     return Encoder(tokenizer_path, end_id).load()
 
 
+def _by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts, of BATCH_CHARS characters and one text more at most."""
+    ids, texts, size = [], [], 0
+    for batch in small_batches(batches, 500):
+        for i, t in zip(batch.column(0).to_pylist(), _strings(batch.column(1))):
+            ids.append(i)
+            texts.append(t)
+            size += len(t or "")
+            if size >= BATCH_CHARS:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
     """Writes the shards under ``path``; one row for each: (shard, path, documents, ids, base), base the ids before it."""
     spark = docs.sparkSession
@@ -275,23 +388,22 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, doc_
     if shards is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // SHARD_BYTES))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = sink = None
         store, folder = fs.FileSystem.from_uri(path)
-        name = f"{folder}/shard-{TaskContext.get().partitionId():06d}.sst"
-        mine = f"{folder}/.{uuid.uuid4().hex}.tmp"
-        for batch in small_batches(batches, 500):
+        name = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.sst"
+        for ids, texts in _by_size(batches):
             if writer is None:
                 store.create_dir(folder, recursive=True)
-                sink = store.open_output_stream(mine)
+                sink = store.open_output_stream(name)
                 encoder = encoder_of(tokenizer_path, end_id)
                 writer = Writer(sink, encoder.width)
-            for i, value in zip(batch.column(0).to_pylist(), encoder(batch.column(1).to_pylist())):
+            for i, value in zip(ids, encoder(texts)):
                 writer.add(key_of(i), value)
         if writer is not None:
             writer.finish()
             sink.close()
-            store.move(mine, name)
             base = path[: len(path) - len(folder)] if path.endswith(folder) else ""
             yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [base + name], "documents": pa.array([len(writer.keys)], pa.int64()), "ids": pa.array([writer.ids], pa.int64())})
 
