@@ -1,11 +1,20 @@
 """Quality rules whose thresholds come from the corpus.
 
 Each document's measures are taken inside its row. KLL sketches of each
-measure, one for a language and source, merge across tasks; their quartiles
-give each group its own upper fence (third quartile plus ``REACH`` times the
-spread, which is at least a floor), and documents are joined with the fences of
-their group. Groups of fewer than MIN_GROUP documents take the fences of their
-language, and those of rare languages the fences of all.
+measure, one for a language and source, merge across tasks, and documents are
+joined with the fences of their group, in two rounds:
+
+    shape   measures that every document has (mean word length, marks a word
+            character): a fence lies REACH times the distance of the quartiles
+            beyond each of them, sketched over what passes the base rules.
+    tails   shares that are 0 in most documents (symbols, repeated lines,
+            repeated words): the fence is the TAIL quantile and as far again
+            above the median, sketched over what is within the shape fences,
+            so that junk does not set it.
+
+No threshold is fixed: a spread of 0 alone is raised, to LEAST. Groups of fewer
+than MIN_GROUP documents take the fences of their language, and those of rare
+languages the fences of all.
 
 Defined results
     null, empty or wordless text: no words, all counts 0, base_failed.
@@ -22,11 +31,13 @@ from pyspark.sql import functions as F
 from .common import materialize, words_col
 
 SYMBOLS = r"[#*$%&|<>]"
+#: What is neither letter, digit nor white space.
+MARKS = r"[^\p{L}\p{N}\s]"
 WINDOW = 3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-REACH, MIN_GROUP, SKETCH_K = 3.0, 100, 400
-#: Measures with the least spread a fence allows for.
-MEASURES = {"symbol_share": 0.01, "dup_line_share": 0.2, "repeat_share": 0.15, "mean_word_chars": 0.5}
+REACH, TAIL, LEAST, MIN_GROUP, SKETCH_K = 4.0, 0.99, 0.001, 500, 400
+SHAPE = ["mean_word_chars", "mark_share"]
+TAILS = ["symbol_share", "dup_line_share", "repeat_share"]
 
 
 def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -51,6 +62,7 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         "doc_id", "lang", "source", "n_words",
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.regexp_count("text", F.lit(MARKS)).cast("long").alias("n_marks"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.size(lines).cast("long").alias("n_lines"),
         covered.alias("n_repeat_words"),
@@ -59,39 +71,63 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 def shares(m: DataFrame) -> DataFrame:
     per = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
-    return m.withColumns({"symbol_share": per("n_symbols", "word_chars"), "dup_line_share": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words"), "mean_word_chars": per("word_chars", "n_words")})
+    return m.withColumns({"symbol_share": per("n_symbols", "word_chars"), "mark_share": per("n_marks", "word_chars"), "dup_line_share": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words"), "mean_word_chars": per("word_chars", "n_words")})
 
 
-def fences(m: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP, k: int = SKETCH_K) -> DataFrame:
-    """Upper fences of each language and source, from merged sketches of the documents that pass the base rules."""
-    base = m.where(~F.col("base_failed"))
+def fences(m: DataFrame, names: list[str], bounds, min_group: int = MIN_GROUP, k: int = SKETCH_K) -> DataFrame:
+    """(f_lang, f_source, min_x and max_x of each measure x) from merged sketches of the rows of ``m``.
+
+    ``bounds`` gives the lower and upper fence from a function of a quantile.
+    """
     # sketches of parts of a group first, so a hot group's rows meet as a few sketches
-    fine = base.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(x, k).alias(x) for x in MEASURES))
+    fine = m.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(x, k).alias(x) for x in names))
     fine = materialize(fine, "sketches")
+    columns = [f"{side}_{x}" for x in names for side in ("min", "max")]
 
     def level(keys: list[str]) -> DataFrame:
-        merged = fine.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(x, k).alias(x) for x in MEASURES))
-        q = lambda x, p: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(x, F.lit(p)))  # noqa: E731  an empty sketch has none
-        return merged.select(*keys, "n", *((q(x, 0.75) + reach * F.greatest(q(x, 0.75) - q(x, 0.25), F.lit(floor))).alias(f"max_{x}") for x, floor in MEASURES.items()))
-
-    groups, langs, whole = fine.select("lang", "source"), level(["lang"]), level([])
-    own = level(["lang", "source"])
-    bounds = [f"max_{x}" for x in MEASURES]
-    g = groups.alias("g").join(own.alias("o"), F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")) & (F.col("o.n") >= min_group), "left")
-    g = g.select("g.lang", "g.source", *(F.col(f"o.{b}").alias(f"o_{b}") for b in bounds))
-    g = g.alias("g").join(langs.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("l.n") >= min_group), "left")
-    g = g.select("g.lang", "g.source", *(F.col(f"g.o_{b}") for b in bounds), *(F.col(f"l.{b}").alias(f"l_{b}") for b in bounds)).crossJoin(F.broadcast(whole.select(*bounds)))  # one row
-    return g.select("lang", "source", *(F.coalesce(f"o_{b}", f"l_{b}", b).alias(b) for b in bounds))
-
-
-def rate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", reach: float = REACH, min_group: int = MIN_GROUP) -> DataFrame:
-    """Each row's measures, base_failed, and kept: whether it is within every fence of its group."""
+        merged = fine.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(x, k).alias(x) for x in names))
+        out = []
+        for x in names:
+            q = lambda p, x=x: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(x, F.lit(p)))  # noqa: E731  an empty sketch has none
+            out += [b.alias(f"{side}_{x}") for side, b in zip(("min", "max"), bounds(q))]
+        return merged.select(*keys, "n", *out)
+
+    own, langs, whole = level(["lang", "source"]), level(["lang"]), level([])
+    g = fine.select("lang", "source").alias("g").join(own.alias("o"), F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")) & (F.col("o.n") >= min_group), "left")
+    g = g.join(langs.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("l.n") >= min_group), "left").crossJoin(F.broadcast(whole.alias("w")))  # one row
+    return materialize(g.select(F.col("g.lang").alias("f_lang"), F.col("g.source").alias("f_source"), *(F.coalesce(f"o.{c}", f"l.{c}", f"w.{c}").alias(c) for c in columns)), "fences")
+
+
+def shape_bounds(q, reach: float = REACH):
+    spread = reach * F.greatest(q(0.75) - q(0.25), F.lit(LEAST))
+    return q(0.25) - spread, q(0.75) + spread
+
+
+def tail_bounds(q, tail: float = TAIL):
+    return F.lit(0.0), q(tail) + F.greatest(q(tail) - q(0.5), F.lit(LEAST))
+
+
+def within(m: DataFrame, f: DataFrame, names: list[str], flag: str) -> DataFrame:
+    """``m`` with ``flag``: whether every measure is within its group's fences; true where there are none."""
+    inside = F.lit(True)
+    for x in names:
+        inside = inside & F.coalesce(F.col(x).between(F.col(f"min_{x}"), F.col(f"max_{x}")), F.lit(True))
+    joined = m.join(f, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
+    return joined.withColumn(flag, inside).drop("f_lang", "f_source")
+
+
+def rate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", reach: float = REACH, tail: float = TAIL, min_group: int = MIN_GROUP) -> DataFrame:
+    """Each row's measures and fences, base_failed, and kept: whether it is within every fence of its group."""
     m = measures(docs, doc_id, text, lang, source)
     m = m.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     m = materialize(shares(m), "measures")
-    f = materialize(fences(m, reach, min_group), "fences").select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"max_{x}" for x in MEASURES))
-    joined = m.join(f, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
-    within = F.lit(True)
-    for x in MEASURES:
-        within = within & F.coalesce(F.col(x) <= F.col(f"max_{x}"), F.lit(True))
-    return joined.withColumn("kept", ~F.col("base_failed") & within).drop("f_lang", "f_source").withColumnRenamed("doc_id", doc_id)
+    m = within(m, fences(m.where("not base_failed"), SHAPE, lambda q: shape_bounds(q, reach), min_group), SHAPE, "in_shape")
+    m = within(m, fences(m.where("not base_failed and in_shape"), TAILS, lambda q: tail_bounds(q, tail), min_group), TAILS, "in_tails")
+    return m.withColumn("kept", F.expr("not base_failed and in_shape and in_tails")).withColumnRenamed("doc_id", doc_id)
+
+
+def select_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, in their own columns; rows of one id and text share their verdict."""
+    tag = docs.withColumn("quality_row", F.struct(F.col(doc_id).alias("i"), F.xxhash64(text).alias("h")))
+    kept = rate(tag, "quality_row", text, **options).where("kept").select(F.col("quality_row.i").alias("kept_i"), F.col("quality_row.h").alias("kept_h")).distinct()
+    return docs.join(kept, docs[doc_id].eqNullSafe(F.col("kept_i")) & F.xxhash64(docs[text]).eqNullSafe(F.col("kept_h")), "left_semi")
