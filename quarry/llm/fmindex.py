@@ -78,16 +78,17 @@ class FMIndex:
         kept = (sa % sample == 0) | (bwt == 0)  # a walk back ends at a separator at the latest
         self.kept, self.places = np.concatenate([[0], np.cumsum(kept)]), sa[kept]
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """[low, high) rows of the suffixes that begin with each row of ``patterns``."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        live = np.arange(len(patterns))
+    def search(self, patterns: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """[low, high) rows of the suffixes that begin with each row of ``patterns``, or with those rows of it in ``only``."""
+        only = np.arange(len(patterns)) if only is None else only
+        low, high = np.zeros(len(only), np.int64), np.full(len(only), self.n, np.int64)
+        live = np.arange(len(only))
         for j in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[live, j].astype(np.int64)
+            c = patterns[only[live], j].astype(np.int64)
             a, b = (self.first[c] + self.tree.rank(c, x[live]) for x in (low, high))
             low[live], high[live] = a, b
             live = live[a < b]
-        dead = np.ones(len(patterns), bool)
+        dead = np.ones(len(only), bool)
         dead[live] = False
         high[dead] = low[dead]
         return low, high
