@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 
 KINDS = ["email", "ip", "card", "phone", "secret", "number"]
-_email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_host = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_dotted = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _card = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
@@ -55,14 +56,42 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, found from each @ outwards: no run is read twice."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        host = _host.match(text, at + 1)
+        if host:
+            start = at
+            while start > end and text[start - 1] in _local:
+                start -= 1
+            if start < at:
+                end = host.end()
+                yield start, end
+        at = text.find("@", at + 1)
+
+
+def ips(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)`` with parts of 255 at most: a chain of dotted numbers gives each four in turn."""
+    for m in _dotted.finditer(text):
+        if m[0].count(".") >= 3:
+            parts, at = m[0].split("."), m.start()
+            for k in range(0, len(parts) - 3, 4):
+                four = parts[k : k + 4]
+                size = sum(map(len, four)) + 3
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                    yield at, at + size
+                at += size + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) in order; a match that fails its test is dropped and not retried."""
     out = []
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in _email.finditer(text)]
+        out += [(a, 0, b) for a, b in emails(text)]
     if _digit.search(text):
         if text.count(".") >= 3:
-            out += [(m.start(), 1, m.end()) for m in _ip.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            out += [(a, 1, b) for a, b in ips(text)]
         for m in _card.finditer(text):
             digits = re.sub(r"[^0-9]", "", m[0]) if m.end() - m.start() >= 14 else ""
             if 14 <= len(digits) <= 19 and luhn(digits):
