@@ -41,6 +41,10 @@ from .common import bitmap, materialize, merge_spans, small_batches, utf8
 MIN_WORDS, GRAM, SPAN, CORE = 50, 5, 20, 31
 #: Contexts of a core that are compared with each other; more meet by window hashes.
 FEW = 8
+#: Bytes of a context word's hash: an extension overruns by a word once in 2 ** 32 ends.
+WIDTH = 4
+#: Repeated cores up to which a bitmap of them goes to every task; beyond, places join with them.
+MAP_CORES = 1 << 25
 MEMO = 200_000
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -81,18 +85,24 @@ class Suffixes:
         return places, key.view(np.int64), h
 
     def contexts(self, places: np.ndarray, h: np.ndarray, context: int) -> tuple[list[bytes], list[bytes]]:
-        """The words left of each place (nearest first) and right of its core, 16 bits of hash a word."""
-        short = (h >> np.uint64(48)).astype(">u2")
+        """The words left of each place (nearest first) and right of its core, WIDTH bytes of hash a word."""
+        short = (h >> np.uint64(64 - 8 * WIDTH)).astype(f">u{WIDTH}")
         left, right, back = [], [], short[::-1].tobytes()
         data, n = short.tobytes(), len(h)
         for q in places.tolist():
-            left.append(back[2 * (n - q) : 2 * (n - q + context)])
-            right.append(data[2 * (q + CORE) : 2 * (q + CORE + context)])
+            left.append(back[WIDTH * (n - q) : WIDTH * (n - q + context)])
+            right.append(data[WIDTH * (q + CORE) : WIDTH * (q + CORE + context)])
         return left, right
 
 
 def suffixes(docs: DataFrame, doc_id: str, text: str, context: int) -> DataFrame:
-    """(id, place, key, left_words, right_words) of the suffixes whose core occurs twice or more."""
+    """(id, place, key, left_words, right_words) of the suffixes whose core occurs twice or more.
+
+    While the repeated cores are MAP_CORES at most, a bitmap of them picks the
+    suffixes inside the second scan, with a few others, which meet nothing.
+    Beyond that the places themselves join with the cores, and texts with their
+    places, so no more is made than what is repeated.
+    """
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,39 +112,75 @@ def suffixes(docs: DataFrame, doc_id: str, text: str, context: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], names=["key"])
 
     twice = materialize(source.mapInArrow(keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "cores")
+    if twice.count() > MAP_CORES:
+        return materialize(_joined(source, twice, context), "suffixes")
     bits, n = bitmap(twice, "key")
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Suffixes()
         for batch in small_batches(batches, 500):
-            ids, places, cores, left, right = [], [], [], [], []
+            made = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 q, key, h = make(t.as_py())
                 bit = key & (n - 1)
                 keep = (shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-                q, key = q[keep], key[keep]
-                a, b = make.contexts(q, h, context)
-                ids += [i] * len(q)
-                places.append(q)
-                cores.append(key)
-                left += a
-                right += b
-            flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flat(places), pa.int64()), pa.array(flat(cores), pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["id", "place", "key", "left_words", "right_words"])
+                made.append((i, q[keep], key[keep], h))
+            yield _suffix_batch(make, made, context)
+
+    return materialize(source.mapInArrow(rows, _suffix_type), "suffixes")
+
+
+_suffix_type = "id long, place long, key long, left_words binary, right_words binary"
+
+
+def _suffix_batch(make: Suffixes, made: list[tuple], context: int) -> pa.RecordBatch:
+    """The suffixes of texts (id, places, cores, word hashes)."""
+    ids, left, right = [], [], []
+    for i, q, _, h in made:
+        a, b = make.contexts(q, h, context)
+        ids += [i] * len(q)
+        left += a
+        right += b
+    flat = lambda k: np.concatenate([np.empty(0, np.int64), *(x[k] for x in made)])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flat(1), pa.int64()), pa.array(flat(2), pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["id", "place", "key", "left_words", "right_words"])
+
+
+def _joined(source: DataFrame, twice: DataFrame, context: int) -> DataFrame:
+    """The suffixes of exactly the cores in ``twice``, by joins."""
+    source = source.withColumn("h", F.xxhash64("text"))
+
+    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Suffixes()
+        for batch in small_batches(batches):
+            for i, t, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                q, key, _ = make(t.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(q), pa.int64()) for x in (i, h)] + [pa.array(q, pa.int64()), pa.array(key)], names=["id", "h", "place", "key"])
+
+    places = source.mapInArrow(light, "id long, h long, place long, key long").join(twice, "key").groupBy("id", "h").agg(F.collect_set("place").alias("places"))  # as many as the text has
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Suffixes()
+        for batch in small_batches(batches, 500):
+            made = []
+            for i, t, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                q, key, h = make(t.as_py())
+                keep = np.isin(q, wanted.values.to_numpy())
+                made.append((i, q[keep], key[keep], h))
+            yield _suffix_batch(make, made, context)
 
-    return materialize(source.mapInArrow(rows, "id long, place long, key long, left_words binary, right_words binary"), "suffixes")
+    return source.join(places, ["id", "h"]).select("id", "text", "places").mapInArrow(rows, _suffix_type)
 
 
 def _common(a: bytes, b: bytes) -> int:
     """Equal words at the start of both."""
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
-        return n // 2
+        return n // WIDTH
     k = 0
-    while a[k : k + 2] == b[k : k + 2]:
-        k += 2
-    return k // 2
+    while a[k : k + WIDTH] == b[k : k + WIDTH]:
+        k += WIDTH
+    return k // WIDTH
 
 
 def _reach(reps: list[tuple], min_words: int) -> Iterator[tuple]:
@@ -174,10 +220,10 @@ def contexts(rows: DataFrame, min_words: int) -> DataFrame:
             spans, wide = [], []
             for k, left, right, i, place in zip(*(c.to_pylist() for c in batch.columns)):
                 if k == key and left == rep[0] and right == rep[1]:
-                    a, b = place - len(left) // 2, place + CORE + len(right) // 2
+                    a, b = place - len(left) // WIDTH, place + CORE + len(right) // WIDTH
                     if b - a >= min_words:
                         if alone:
-                            spans.append((rep[2], rep[3] - len(left) // 2, rep[3] + CORE + len(right) // 2, i, False))
+                            spans.append((rep[2], rep[3] - len(left) // WIDTH, rep[3] + CORE + len(right) // WIDTH, i, False))
                             alone = False
                         spans.append((i, a, b, rep[2], (i, place) != rep[2:]))
                     continue
@@ -215,10 +261,10 @@ def windows(wide: DataFrame, min_words: int) -> DataFrame:
     def sums(column: pa.Array, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Running sums of the hashed words, from none to ``free`` of them, and how many there are."""
         have = [x.as_py() for x in column]
-        words = np.frombuffer(b"".join(x[: 2 * free].ljust(2 * free, b"\0") for x in have), ">u2").reshape(-1, free).astype(np.uint64) + np.uint64(1)
+        words = np.frombuffer(b"".join(x[: WIDTH * free].ljust(WIDTH * free, b"\0") for x in have), f">u{WIDTH}").reshape(-1, free).astype(np.uint64) + np.uint64(1)
         out = np.zeros((len(have), free + 1), np.uint64)
         np.cumsum(words * by, axis=1, out=out[:, 1:])
-        return out, np.array([len(x) // 2 for x in have], np.int64)
+        return out, np.array([len(x) // WIDTH for x in have], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 10_000):
