@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import sentences, tokens
+from .text import sentences, words
 
 
 def expand(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -18,7 +18,7 @@ def expand(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 def normalize(text: Column, aliases: dict[str, str]) -> Column:
     """Lower case, Arabic digits as ASCII, aliases as their words, single spaces."""
-    out = F.lower(F.translate(text, "٠١٢٣٤٥٦٧٨٩", "0123456789"))
+    out = F.lower(F.translate(text, "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789"))
     for short, full in sorted(aliases.items(), key=lambda x: -len(x[0])):
         out = F.regexp_replace(out, rf"\b{short}\b", full)
     return F.trim(F.regexp_replace(out, "[ \n]+", " "))
@@ -56,7 +56,7 @@ def any_match(text: Column, patterns: list[str]) -> Column:
 
 def extract(text: Column, asked: Column, keep: int, most: int) -> Column:
     """Short texts whole; of longer ones the ``keep`` sentences with most asked words, in order, cut at ``most``."""
-    s = F.transform(sentences(text), lambda x, i: F.struct((-F.size(F.array_intersect(tokens(x), asked))).alias("k"), i.alias("i"), x.alias("x")))
+    s = F.transform(sentences(text), lambda x, i: F.struct((-F.size(F.array_intersect(words(x), asked))).alias("k"), i.alias("i"), x.alias("x")))
     best = F.slice(F.array_sort(s), 1, keep)
     picked = F.array_join(F.transform(F.array_sort(F.transform(best, lambda b: F.struct(b["i"].alias("i"), b["x"].alias("x")))), lambda b: b["x"]), " ")
     return F.when(F.length(text) <= most, text).otherwise(F.left(picked, F.lit(most)))
@@ -83,7 +83,7 @@ def rouge_l(df: DataFrame, keys: list[str], text: str, reference: str, most: int
             out.append(2 * n / (len(p) + len(q)) if n else 0.0)
         return pd.Series(out)
 
-    return df.select(*keys, score(tokens(F.col(text)), tokens(F.col(reference))).alias("f1"))
+    return df.select(*keys, score(words(F.col(text)), words(F.col(reference))).alias("f1"))
 
 
 def fix_mojibake(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -107,7 +107,8 @@ def naive_bayes(df: DataFrame, key: str, label: str, features: str, n: int) -> D
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), *(F.sum(F.get(features, F.lit(k))).alias(f"_f{k}") for k in range(n)))
     total = counts.agg(F.sum("_n").alias("_total"))
     model = counts.crossJoin(F.broadcast(total)).withColumnRenamed(label, "_label")  # one row
-    rows = df.select(key, features).join(model)
+    models = model.groupBy().agg(F.collect_list(F.struct("*")).alias("_models"))  # one row of a struct a label
+    rows = df.select(key, features).crossJoin(F.broadcast(models)).select(key, features, F.inline("_models"))
     score = F.log(F.col("_n") / F.col("_total"))
     for k in range(n):
         score = score + F.log(F.when(F.get(features, F.lit(k)) == 1, F.col(f"_f{k}") + 1).otherwise(F.col("_n") - F.col(f"_f{k}") + 1) / (F.col("_n") + 2))
@@ -116,10 +117,10 @@ def naive_bayes(df: DataFrame, key: str, label: str, features: str, n: int) -> D
 
 def hash_embed(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """(key, at, value): a unit vector of signed word hashes, non-zero places only."""
-    words = df.select(key, F.explode(tokens(F.col(text))).alias("w"))
+    found = df.select(key, F.explode(words(F.col(text))).alias("w"))
     h = F.sha2("w", 256)
     at = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")
     sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    v = words.groupBy(key, at.alias("at")).agg(F.sum(sign).alias("v")).where("v <> 0")
+    v = found.groupBy(key, at.alias("at")).agg(F.sum(sign).alias("v")).where("v <> 0")
     length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
     return v.select(key, "at", F.round(F.col("v") / length, 6).alias("value"))

@@ -1,10 +1,19 @@
-"""Prerequisite-graph operators over an edge table (child, parent): child needs parent."""
+"""Prerequisite-graph operators over an edge table (child, parent): child needs parent.
+
+Walks run level by level; each level is written in the shared folder, so its
+lineage stays short, and a walk ends where a level finds nothing new. No depth
+is assumed, and a cycle ends a walk like anything already seen.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import materialize, release
+
 
 def edges(raw: DataFrame, canon: DataFrame | None = None) -> DataFrame:
     """Distinct edges with codes replaced by their canonical ones (code, canonical); loops are dropped."""
@@ -16,53 +25,61 @@ def edges(raw: DataFrame, canon: DataFrame | None = None) -> DataFrame:
     return e.where("child <> parent").select("child", "parent").distinct()
 
 
-def closure(e: DataFrame, starts: DataFrame | None = None, down: bool = False, depth: int = 32) -> DataFrame:
-    """(start, node, depth): every node reachable and its least depth; the start itself is left out.
+def closure(e: DataFrame, down: bool = False) -> DataFrame:
+    """(start, node, depth): every node reachable from every start and its least depth; the start itself is left out.
 
-    A breadth-first walk in a recursive query; a path ends where nothing is
-    new for its start within ``depth`` steps.
+    Reach doubles in each round: the node half way on a shortest path of more
+    than L steps is L steps from its start, so only pairs at exactly L are
+    joined with what lies ahead of them.
     """
-    spark = e.sparkSession
     source, target = ("parent", "child") if down else ("child", "parent")
-    e.select(F.col(source).alias("s"), F.col(target).alias("t")).createOrReplaceTempView("_walk_edges")
-    (starts.select(F.col(starts.columns[0]).alias("n")) if starts is not None else e.select(F.col(source).alias("n"))).distinct().createOrReplaceTempView("_walk_starts")
-    out = spark.sql(f"""
-        with recursive walk(start, node, depth, path) as (
-          select n, n, 0, array(n) from _walk_starts
-          union all
-          select w.start, x.t, w.depth + 1, concat(w.path, array(x.t)) from walk w join _walk_edges x on x.s = w.node
-          where w.depth < {depth} and not array_contains(w.path, x.t))
-        select start, node, min(depth) as depth from walk where depth > 0 group by start, node""")
-    return out
-
-
-def shortest_paths(e: DataFrame, starts: DataFrame, directed: bool = True, depth: int = 16) -> DataFrame:
-    """(start, node, path): one shortest path to each node, least in order of its nodes."""
-    spark = e.sparkSession
-    one = e.select(F.col("child").alias("s"), F.col("parent").alias("t"))
-    (one if directed else one.union(e.select("parent", "child")).distinct()).createOrReplaceTempView("_path_edges")
-    starts.select(F.col(starts.columns[0]).alias("n")).distinct().createOrReplaceTempView("_path_starts")
-    walked = spark.sql(f"""
-        with recursive walk(start, node, path) as (
-          select n, n, array(n) from _path_starts
-          union all
-          select w.start, x.t, concat(w.path, array(x.t)) from walk w join _path_edges x on x.s = w.node
-          where size(w.path) <= {depth} and not array_contains(w.path, x.t))
-        select start, node, path from walk where size(path) > 1""")
-    return walked.groupBy("start", "node").agg(F.min(F.struct(F.size("path").alias("n"), F.col("path"))).alias("best")).select("start", "node", F.col("best.path").alias("path"))
-
-
-def cycles(e: DataFrame, depth: int = 16) -> DataFrame:
+    reach = materialize(e.select(F.col(source).alias("start"), F.col(target).alias("node"), F.lit(1).alias("depth")).where("start <> node").distinct(), "closure")
+    half = 1
+    while not (edge := reach.where(F.col("depth") == half)).isEmpty():
+        ahead = reach.select(F.col("start").alias("mid"), F.col("node").alias("end"), F.col("depth").alias("more"))
+        far = edge.join(ahead, F.col("node") == F.col("mid")).select("start", F.col("end").alias("node"), (F.col("depth") + F.col("more")).alias("depth")).where("start <> node")
+        longer = materialize(reach.union(far).groupBy("start", "node").agg(F.min("depth").alias("depth")), "closure")
+        release(reach)
+        reach, half = longer, 2 * half
+    return reach
+
+
+def shortest_paths(e: DataFrame, starts: DataFrame, directed: bool = True) -> DataFrame:
+    """(start, node, path): one shortest path from each start to each node it reaches, least in order of its nodes."""
+    hop = e.select(F.col("child").alias("from"), F.col("parent").alias("to"))
+    hop = materialize((hop if directed else hop.union(e.select("parent", "child"))).distinct(), "hops")
+    n = F.col(starts.columns[0])
+    level = materialize(starts.select(n.alias("start"), n.alias("node"), F.array(n).alias("path")).distinct(), "paths")
+    levels = [level]
+    while True:
+        step = level.join(hop, F.col("node") == F.col("from")).select("start", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path"))
+        step = step.groupBy("start", "node").agg(F.min("path").alias("path"))  # the least path to a node goes on from the least one before it
+        seen = reduce(DataFrame.union, (x.select("start", "node") for x in levels))
+        level = materialize(step.join(seen, ["start", "node"], "left_anti"), "paths")
+        if level.isEmpty():
+            return reduce(DataFrame.union, levels).where(F.size("path") > 1)
+        levels.append(level)
+
+
+def cycles(e: DataFrame) -> DataFrame:
     """(path): each simple cycle once, from its least node."""
-    spark = e.sparkSession
-    e.createOrReplaceTempView("_cycle_edges")
-    return spark.sql(f"""
-        with recursive walk(start, node, path) as (
-          select child, parent, array(child, parent) from _cycle_edges where parent >= child
-          union all
-          select w.start, x.parent, concat(w.path, array(x.parent)) from walk w join _cycle_edges x on x.child = w.node
-          where w.node <> w.start and size(w.path) <= {depth} and x.parent >= w.start and (x.parent = w.start or not array_contains(w.path, x.parent)))
-        select path from walk where node = start""")
+    hop = e.select(F.col("child").alias("from"), F.col("parent").alias("to")).distinct()
+    while True:  # an edge that nothing leads to, or that leads on to nothing, is on no cycle
+        hop = materialize(hop, "hops")
+        on = hop.join(hop.select(F.col("to").alias("from")), "from", "left_semi").join(hop.select(F.col("from").alias("to")), "to", "left_semi").select("from", "to")
+        if on.count() == hop.count():
+            break
+        hop = on
+    start = F.get("path", F.lit(0))
+    walk = materialize(hop.where(F.col("to") >= F.col("from")).select(F.array("from", "to").alias("path")), "walks")
+    closed = []
+    while not walk.isEmpty():
+        done = start == F.element_at("path", -1)
+        closed.append(walk.where(done))
+        open_ = walk.where(~done)
+        step = open_.join(hop, F.element_at("path", -1) == F.col("from")).where((F.col("to") >= start) & ((F.col("to") == start) | ~F.array_contains("path", F.col("to"))))
+        walk = materialize(step.select(F.concat("path", F.array("to")).alias("path")), "walks")
+    return reduce(DataFrame.union, closed or [walk])
 
 
 def missing(e: DataFrame, wanted: DataFrame, done: DataFrame) -> DataFrame:

@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import materialize
+
 #: (k1, b, whether a query word counts once) of the two scorings.
 G3, G1 = (1.4, 0.72, False), (1.5, 0.75, True)
+#: Vectors or queries in a cell of the exact neighbour search.
+ROWS = 4096
+
+
+def prepare(docs: DataFrame, doc: str, words: Column) -> DataFrame:
+    """(doc, words, len), written once: statistics and postings read it, so texts are cut into words once."""
+    return materialize(docs.select(doc, words.alias("words")).withColumn("len", F.size("words")), "words")
 
 
-def postings(docs: DataFrame, doc: str, words: Column) -> DataFrame:
-    """(doc, term, tf, len); one row for each word of each document, counted before any shuffle by the document's own array."""
-    d = docs.select(F.col(doc), words.alias("_w"))
-    t = d.select(doc, F.size("_w").alias("len"), F.explode("_w").alias("term"))
+def postings(prepared: DataFrame, doc: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf, len); only of the terms in ``wanted(term)``, if given, which are picked before anything is shuffled by document."""
+    t = prepared.select(doc, "len", F.explode("words").alias("term"))
+    if wanted is not None:
+        t = t.join(wanted, "term")
     return t.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 
-def corpus_stats(docs: DataFrame, words: Column) -> DataFrame:
+def corpus_stats(prepared: DataFrame) -> DataFrame:
     """One row: (n, avg_len)."""
-    return docs.select(F.size(words).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("avg_len"))
+    return prepared.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
 
 
 def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
@@ -31,24 +45,34 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(docs: DataFrame, doc: str, words: Column, queries: DataFrame, query: str, query_words: Column, variant: tuple[float, float, bool] = G3) -> DataFrame:
-    """(query, doc, score) of every document with a query word.
-
-    Only postings of query words pass the first join, so the shuffle carries
-    those and no others; document lengths come with them.
-    """
+def bm25(prepared: DataFrame, doc: str, queries: DataFrame, query: str, query_words: Column, variant: tuple[float, float, bool] = G3) -> DataFrame:
+    """(query, doc, score) of every document with a query word."""
     k1, b, once = variant
     asked = queries.select(query, F.explode(query_words).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.select("term").distinct()
-    rows = docs.select(doc, words.alias("_w")).select(doc, F.size("_w").alias("len"), F.explode("_w").alias("term")).join(wanted, "term")
-    post = rows.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    terms = term_stats(post, corpus_stats(docs, words)).drop("df")
-    hit = asked.join(terms, "term").join(post, "term").crossJoin(F.broadcast(corpus_stats(docs, words)))  # one row
+    post = postings(prepared, doc, asked.select("term").distinct())
+    stats = corpus_stats(prepared)
+    hit = asked.join(term_stats(post, stats).drop("df"), "term").join(post, "term").crossJoin(F.broadcast(stats))  # one row
     bonus = F.lit(1.0) if once else 1 + 0.15 * F.least(F.col("qtf") - 1, F.lit(2))
     part = F.col("idf") * bonus * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return hit.groupBy(query, doc).agg(F.sum(part).alias("score"))
 
 
+def bm25_fielded(fields: list[tuple[DataFrame, float]], doc: str, queries: DataFrame, query: str, query_words: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, doc, score): BM25 of prepared fields as one, each occurrence counting by its field's weight.
+
+    A document's length is that of all fields; a term's documents are those with it in any field.
+    """
+    asked = queries.select(query, F.explode(F.array_distinct(query_words)).alias("term"))
+    wanted = asked.select("term").distinct()
+    post = reduce(DataFrame.unionByName, (postings(f, doc, wanted).withColumn("tf", F.col("tf") * w) for f, w in fields))
+    post = post.groupBy(doc, "term").agg(F.sum("tf").alias("tf"))
+    lens = reduce(DataFrame.unionByName, (f.select(doc, "len") for f, _ in fields)).groupBy(doc).agg(F.sum("len").alias("len"))
+    stats = lens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    hit = asked.join(term_stats(post, stats).drop("df"), "term").join(post, "term").join(lens, doc).crossJoin(F.broadcast(stats))  # one row
+    part = F.greatest("idf", F.lit(1e-6)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    return hit.groupBy(query, doc).agg(F.sum(part).alias("score"))
+
+
 def rank(scores: DataFrame, query: str, item: str, k: int, score: str = "score", digits: int = 6) -> DataFrame:
     """(query, item, score, rank): the best k of each query, 1-based; ties by item.
 
@@ -67,13 +91,40 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, item: str, vector: str, query: str, query_vector: str) -> DataFrame:
-    """(query, item, cos): every item against a stated set of queries, which is broadcast if it is small."""
-    v = vectors.select(item, F.col(vector).alias("_v"), norm(F.col(vector)).alias("_nv"))
-    q = queries.select(query, F.col(query_vector).alias("_q"), norm(F.col(query_vector)).alias("_nq"))
-    pair = v.join(q, F.col(item) != F.col(query))
-    cos = F.when((F.col("_nv") > 0) & (F.col("_nq") > 0), dot(F.col("_v"), F.col("_q")) / (F.col("_nv") * F.col("_nq"))).otherwise(0.0)
-    return pair.select(query, item, cos.alias("cos"))
+def knn(vectors: DataFrame, queries: DataFrame, item: str, vector: str, query: str, query_vector: str, k: int, score=None, least: float = -2.0) -> DataFrame:
+    """(query, item, score): the k best items of each query in each cell, for ``rank`` to choose from.
+
+    A cell is a chunk of ROWS vectors and a block of ROWS queries, multiplied as
+    matrices; no pair leaves it but the best. ``score`` maps cosines to scores,
+    and cosines up to ``least`` count for nothing.
+    """
+    parts = lambda df: max(1, -(-df.count() // ROWS))
+    chunks, blocks = parts(vectors), parts(queries)
+    cell = lambda df, key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    v = vectors.select(F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"), cell(vectors, item, chunks).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    q = queries.select(F.col(query).alias("query"), F.col(query_vector).cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), cell(queries, query, blocks).alias("block"))
+    kind = {c: d.schema[c].dataType.simpleString() for d, c in ((v, "item"), (q, "query"))}
+
+    def unit(rows: pd.DataFrame) -> np.ndarray:
+        m = np.stack(rows["v"].to_numpy())
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            items, at = a["item"].to_numpy(), unit(a).T
+            for start in range(0, len(b), 256):
+                part = b.iloc[start : start + 256]
+                for name, cos in zip(part["query"], unit(part) @ at):
+                    fits = np.flatnonzero((cos > least) & (items != name))
+                    s = np.floor((score(cos[fits]) if score else cos[fits]) * 1e6 + 0.5) / 1e6
+                    keep = np.lexsort([items[fits], -s])[:k]
+                    out.append(pd.DataFrame({"query": name, "item": items[fits[keep]], "score": s[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "item": [], "score": []})
+
+    found = v.groupBy("chunk", "block").cogroup(q.groupBy("chunk", "block")).applyInPandas(best, f"query {kind['query']}, item {kind['item']}, score double")
+    return found.withColumnRenamed("query", query).withColumnRenamed("item", item)
 
 
 def rrf(rankings: list[tuple[DataFrame, float]], query: str, item: str, constant: int = 60, zero_based: bool = True) -> DataFrame:

@@ -49,25 +49,58 @@ def pages_failed(spark, d):
     return load(spark, d, "pages").where(~F.col("url").rlike("^https") | F.col("url").isNull()).select("page_id", "url")
 
 
-@query("""with t as (select vec_id, label from embeddings where vec_id < 200), p as (select a.vec_id as a, b.vec_id as b from t a join t b on a.label = b.label and a.vec_id < b.vec_id where abs(a.vec_id - b.vec_id) <= 12) select a, b from p""")
+@query("""with t as (select vec_id, label from embeddings), p as (select a.vec_id as a, b.vec_id as b from t a join t b on a.label = b.label and a.vec_id < b.vec_id where abs(a.vec_id - b.vec_id) <= 12) select a, b from p""")
 def close_pairs(spark, d):
-    t = load(spark, d, "embeddings").where("vec_id < 200").select("vec_id", "label")
-    a, b = t.withColumnRenamed("vec_id", "a"), t.withColumnRenamed("vec_id", "b")
-    return a.join(b, "label").where("a < b and b - a <= 12").select("a", "b")
+    t = load(spark, d, "embeddings").select("vec_id", "label")
+    # ids at most 12 apart are in the same range of 13 or in neighbouring ones, so no label's pairs are made
+    cell = F.expr("vec_id div 13")
+    a = t.select("label", F.col("vec_id").alias("a"), F.explode(F.array(cell, cell + 1)).alias("cell"))
+    b = t.select("label", F.col("vec_id").alias("b"), cell.alias("cell"))
+    return a.join(b, ["label", "cell"]).where("a < b and b - a <= 12").select("a", "b")
 
 
-@query("""with n as (select lower(s_name) as w from supplier where s_suppkey < 30) select a.w as a, b.w as b from n a join n b on a.w < b.w where levenshtein(a.w, b.w) <= 1 and least(length(a.w), length(b.w)) >= 5""")
+@query("""with n as (select lower(s_name) as w from supplier) select a.w as a, b.w as b from n a join n b on a.w < b.w where levenshtein(a.w, b.w) <= 1 and least(length(a.w), length(b.w)) >= 5""")
 def close_names(spark, d):
-    n = load(spark, d, "supplier").where("s_suppkey < 30").select(F.lower("s_name").alias("w"))  # the query set
-    near = (F.col("a") < F.col("b")) & (F.least(F.length("a"), F.length("b")) >= 5) & (F.levenshtein("a", "b", 1) >= 0)
-    return n.withColumnRenamed("w", "a").join(n.withColumnRenamed("w", "b"), near)
-
-
-@query("""select item_id, text || case when regexp_matches(lower(text), '\\bthe\\b') then ' article' else '' end || case when regexp_matches(lower(text), '\\b(in|on|of)\\b') then ' preposition' else '' end as expanded from benchmark where length(text) = strlen(text)""")
+    """Names one edit apart: such names are equal, or have a common form with one letter left out."""
+    n = load(spark, d, "supplier").select(F.lower("s_name").alias("w")).where(F.length("w") >= 5)
+    shorter = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.left("w", i - 1), F.substr("w", i + 1)))
+    form = n.select("w", F.explode(F.array_distinct(F.concat(F.array("w"), shorter))).alias("form"))
+    met = form.withColumnRenamed("w", "a").join(form.withColumnRenamed("w", "b"), "form").where("a < b").select("a", "b").distinct()
+    return met.where(F.levenshtein("a", "b", 1) >= 0)
+
+
+# Student wording and the wording of the regulations that is added to it.
+SYNONYMS = [
+    (r"(start|starts|starting|begin|begins|beginning)", "commence commences commencement"),
+    (r"(end|ends|ending|finish)", "ends conclude"),
+    (r"(final|finals|final exams?)", "terminal examination exams"),
+    (r"(mid ?terms?|mids?)", "sessional mid-term"),
+    (r"(exam|exams)", "examination"),
+    (r"(deadline|last day)", "last date"),
+    (r"(hod|head of (the )?department|chairman|chair)", "chairperson"),
+    (r"(teacher|teachers|sir|madam|lecturer|instructor)", "faculty instructor taught"),
+    (r"(subject|subjects)", "course courses"),
+    (r"(pre ?req|pre-?requisites?|prereqs?)", "prerequisites"),
+    (r"(cgpa|gpa)", "grade point average cgpa"),
+    (r"(freeze|freezing|defer|deferment)", "freezing semester"),
+    (r"(drop|withdraw)", "dropping change courses"),
+    (r"(fail|failed|failing)", "repeat probation"),
+    (r"(credit hours?|cr\.? ?hrs?|credits)", "credit hours"),
+    (r"(fees?|tuition)", "fee structure dues"),
+    (r"(apply|applying|application)", "admission apply online"),
+    (r"(eligib\w+|requirements?|qualif\w+)", "eligibility minimum admission requirements"),
+    (r"(phone|call|number)", "phone contact"),
+    (r"(mail|email|e-mail)", "email"),
+    (r"(office|room|sit|sits|sitting)", "office room"),
+    (r"(timetable|time ?table|schedule)", "timetable schedule"),
+    (r"(on|in|of)", "preposition"),
+]
+_BORDER = "(^|[^\\p{L}\\p{N}_])%s($|[^\\p{L}\\p{N}_])"  # a word border that every engine takes alike
+
+
+@query("select item_id, text || " + " || ".join(f"case when regexp_matches(lower(text), '{_BORDER % p}') then ' {words}' else '' end" for p, words in SYNONYMS) + " as expanded from benchmark")
 def expand_query(spark, d):
-    rules = [(r"\bthe\b", "article"), (r"\b(in|on|of)\b", "preposition")]
-    plain = load(spark, d, "benchmark").where(F.length("text") == F.octet_length("text"))  # word borders differ between engines beyond ASCII
-    return plain.select("item_id", an.expand(F.col("text"), rules).alias("expanded"))
+    return load(spark, d, "benchmark").select("item_id", an.expand(F.col("text"), [(_BORDER % p, words) for p, words in SYNONYMS]).alias("expanded"))
 
 
 @query("""select item_id, trim(regexp_replace(regexp_replace(lower(translate(text, '٠١٢٣٤٥٦٧٨٩', '0123456789')), '\\bu\\b', 'you', 'g'), '[ \\n]+', ' ', 'g'), ' ') as question from benchmark""")
@@ -75,13 +108,14 @@ def normalize_query(spark, d):
     return load(spark, d, "benchmark").select("item_id", an.normalize(F.col("text"), {"u": "you"}).alias("question"))
 
 
-@query(f"""with e as (select {_W} as w from documents where doc_id = 0), b as (select item_id, list_distinct(list_filter({_W}, lambda x: length(x) >= 4)) as t from benchmark)
-select item_id, len(t) as n, round(len(list_intersect(t, w)) / len(t), 6) as support from b, e where len(t) >= 3""")
+@query(f"""with e as (select doc_id, {_W} as w from documents), b as (select item_id, list_distinct(list_filter({_W}, lambda x: length(x) >= 4)) as t from benchmark)
+select item_id, doc_id, len(t) as n, round(len(list_intersect(t, w)) / len(t), 6) as support from b join e on doc_id % 400 = item_id % 400 where len(t) >= 3""")
 def support_ratio(spark, d):
-    e = load(spark, d, "documents").where("doc_id = 0").select(tx.tokens(F.col("text")).alias("evidence"))
-    t = F.array_distinct(F.filter(tx.tokens(F.col("text")), lambda x: F.length(x) >= 4))
-    b = load(spark, d, "benchmark").select("item_id", t.alias("t")).where("size(t) >= 3").crossJoin(F.broadcast(e))  # one row
-    return b.select("item_id", F.size("t").cast("long").alias("n"), F.round(F.size(F.array_intersect("t", "evidence")) / F.size("t"), 6).alias("support"))
+    """How much of an item's words its evidence has; the evidence of an item is the documents of its number, modulo 400."""
+    e = load(spark, d, "documents").select("doc_id", (F.col("doc_id") % 400).alias("k"), tx.words(F.col("text")).alias("evidence"))
+    t = F.array_distinct(F.filter(tx.words(F.col("text")), lambda x: F.length(x) >= 4))
+    b = load(spark, d, "benchmark").select("item_id", (F.col("item_id") % 400).alias("k"), t.alias("t")).where("size(t) >= 3").join(e, "k")
+    return b.select("item_id", "doc_id", F.size("t").cast("long").alias("n"), F.round(F.size(F.array_intersect("t", "evidence")) / F.size("t"), 6).alias("support"))
 
 
 @query("""with n as (select doc_id, source, list_distinct(regexp_extract_all(text, '[0-9]+')) as nums from documents), e as (select doc_id, nums, lag(nums) over (partition by source order by doc_id) as before from n)
@@ -93,10 +127,10 @@ def numeric_provenance(spark, d):
     return e.where("size(nums) > 0").select("doc_id", F.sort_array(F.array_except("nums", F.coalesce("before", F.array().cast("array<string>")))).alias("unsupported"))
 
 
-@query("select event_id, case when event_id % 3 = 0 then '[1][2]' when event_id % 3 = 1 then '[2]' else '' end as citations from events where event_id < 300")
+@query("select event_id, case when event_id % 3 = 0 then '[1][2]' when event_id % 3 = 1 then '[2]' else '' end as citations from events")
 def citations(spark, d):
     raw = F.when(F.col("event_id") % 3 == 0, "see [1, 2] and [9]").when(F.col("event_id") % 3 == 1, "see [2][7]").otherwise("see nothing")
-    return load(spark, d, "events").where("event_id < 300").select("event_id", an.citations(raw, 5).alias("citations"))
+    return load(spark, d, "events").select("event_id", an.citations(raw, 5).alias("citations"))
 
 
 @query()
@@ -135,7 +169,7 @@ def fix_mojibake(spark, d):
 def code_aliases(spark, d):
     up = F.upper("source")
     alias = [up, F.replace(up, F.lit("SRC"), F.lit("SRC-")), F.replace(up, F.lit("SRC"), F.lit("SRC "))]
-    return load(spark, d, "documents").select("doc_id", F.size(F.array_distinct(tx.tokens(F.col("text")))).cast("long").alias("n_terms"), F.array(*alias).alias("aliases"))
+    return load(spark, d, "documents").select("doc_id", F.size(F.array_distinct(tx.words(F.col("text")))).cast("long").alias("n_terms"), F.array(*alias).alias("aliases"))
 
 
 @query("""select event_id, case when h = 0 then 12 when h > 12 then h - 12 else h end || ':' || lpad(m::varchar, 2, '0') || case when h < 12 then ' AM' else ' PM' end as shown from (select event_id, hour(ts) as h, minute(ts) as m from events)""")
@@ -172,14 +206,14 @@ def eval_by_cat(spark, d):
     return j.groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("quality") == 1).alias("passed"), F.round(F.avg("quality"), 6).alias("share"))
 
 
-@query("""with recursive e as (select p_partkey as child, p_partkey // 2 as parent from part where p_partkey between 1 and 255), w(start, node, depth) as (select child, parent, 1 from e union all select w.start, e.parent, w.depth + 1 from w join e on e.child = w.node where w.depth < 10),
-g as (select l_partkey as node, max(l_discount) as best from lineitem where l_suppkey = 1 group by 1) select start, count(*) as n, count(*) filter (coalesce(best, -1) < 0.05) as failing from w left join g using (node) group by 1""")
+@query("""with recursive e as (select p_partkey as child, p_partkey // 2 as parent from part where p_partkey >= 1), w(start, node) as (select child, parent from e union all select w.start, e.parent from w join e on e.child = w.node),
+g as (select l_partkey as node, max(l_discount) as best from lineitem group by 1) select start, count(*) as n, count(*) filter (coalesce(best, -1) < 0.05) as failing from w left join g using (node) group by 1""")
 def grade_check(spark, d):
     from ..operators import graph
 
-    e = load(spark, d, "part").where("p_partkey between 1 and 255").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent"))
-    g = load(spark, d, "lineitem").where("l_suppkey = 1").groupBy(F.col("l_partkey").alias("node")).agg(F.max("l_discount").alias("best"))
-    c = graph.closure(e, depth=10).join(g, "node", "left")
+    e = load(spark, d, "part").where("p_partkey >= 1").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent"))
+    g = load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.max("l_discount").alias("best"))
+    c = graph.closure(e).join(g, "node", "left")
     return c.groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("best", F.lit(-1.0)) < 0.05).alias("failing"))
 
 

@@ -8,13 +8,13 @@ from ..operators import graph
 from ..tables import load
 from .registry import query
 
-_E = "e as (select p_partkey as child, p_partkey // 2 as parent from part where p_partkey >= 1 and p_partkey < 512 and p_partkey <> p_partkey // 2)"
+_E = "e as (select p_partkey as child, p_partkey // 2 as parent from part where p_partkey >= 1)"
 _UP = f"{_E}, w(start, node, depth) as (select child, child, 0 from e union all select w.start, e.parent, w.depth + 1 from w join e on e.child = w.node)"
 _DOWN = f"{_E}, w(start, node, depth) as (select distinct parent, parent, 0 from e union all select w.start, e.child, w.depth + 1 from w join e on e.parent = w.node)"
 
 
 def _edges(spark, d):
-    p = load(spark, d, "part").where("p_partkey >= 1 and p_partkey < 512")  # the graph of the query
+    p = load(spark, d, "part").where("p_partkey >= 1")
     return graph.edges(p.select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent")))
 
 
@@ -43,10 +43,11 @@ def depth_levels(spark, d):
     return graph.closure(_edges(spark, d)).groupBy(F.col("start").alias("node")).agg(F.max("depth").alias("depth"))
 
 
-@query(f"with recursive {_UP}, l as (select start, max(depth) as depth from w group by 1) select depth::int as depth, string_agg(start::varchar, ' ' order by start) as nodes from l group by 1")
+@query(f"with recursive {_UP}, l as (select start, max(depth) as depth from w group by 1), b as (select start, depth::int as depth, start // 500 as block from l) select depth, block, string_agg(start::varchar, ' ' order by start) as nodes from b group by 1, 2")
 def level_string(spark, d):
-    levels = graph.closure(_edges(spark, d)).groupBy("start").agg(F.max("depth").alias("depth"))
-    return levels.groupBy("depth").agg(F.array_join(F.transform(F.sort_array(F.collect_list("start")), lambda x: x.cast("string")), " ").alias("nodes"))
+    """The nodes of each level as text, 500 numbers a row at most, so a wide level is many rows."""
+    levels = graph.closure(_edges(spark, d)).groupBy("start").agg(F.max("depth").alias("depth")).withColumn("block", F.expr("start div 500"))
+    return levels.groupBy("depth", "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list("start")), lambda x: x.cast("string")), " ").alias("nodes"))
 
 
 @query(f"with recursive {_DOWN} select start as node, count(*) filter (depth = 1) as direct, count(*) filter (depth > 1) as indirect from w where depth > 0 group by 1")
@@ -60,19 +61,17 @@ def shortest_path(spark, d):
     return graph.shortest_paths(_edges(spark, d), starts)
 
 
-@query(f"""with recursive {_E}, small as (select * from e where child < 32), u as (select child as s, parent as t from small union select parent, child from small), w(start, node, path) as (select 9::bigint, 9::bigint, [9::bigint] union all select w.start, u.t, list_append(w.path, u.t) from w join u on u.s = w.node where not list_contains(w.path, u.t))
+@query(f"""with recursive {_E}, u as (select child as s, parent as t from e union select parent, child from e), w(start, node, path) as (select 9::bigint, 9::bigint, [9::bigint] union all select w.start, u.t, list_append(w.path, u.t) from w join u on u.s = w.node where not list_contains(w.path, u.t))
 select start, node, path from w where len(path) > 1""")
 def shortest_path_undirected(spark, d):
-    e = _edges(spark, d).where("child < 32")
-    return graph.shortest_paths(e, spark.createDataFrame([(9,)], "n long"), directed=False)
+    return graph.shortest_paths(_edges(spark, d), spark.createDataFrame([(9,)], "n long"), directed=False)
 
 
-@query(f"with recursive {_E}, w(node, path) as (select child, [child] from e where child >= 480 union all select e.parent, list_append(w.path, e.parent) from w join e on e.child = w.node) select path from w where node = 0 or node not in (select child from e)")
+@query(f"with recursive {_E}, w(node, path) as (select child, [child] from e union all select e.parent, list_append(w.path, e.parent) from w join e on e.child = w.node) select path from w where node not in (select child from e)")
 def all_paths(spark, d):
     e = _edges(spark, d)
-    starts = e.where("child >= 480").select("child")
     roots = e.select(F.col("parent").alias("node")).distinct().join(e.select(F.col("child").alias("node")), "node", "left_anti")
-    return graph.shortest_paths(e, starts).join(roots, "node").select("path")
+    return graph.shortest_paths(e, e.select("child")).join(roots, "node").select("path")
 
 
 @query("select * from (values ([1::bigint, 2::bigint, 3::bigint, 1::bigint]), ([4::bigint, 5::bigint, 4::bigint])) t(path)")
@@ -81,36 +80,33 @@ def find_cycles(spark, d):
     return graph.cycles(e)
 
 
-@query(f"with {_E}, s as (select p_partkey as n from part where p_size between 5 and 15 and p_partkey < 512) select child, parent from e where child in (select n from s) and parent in (select n from s)")
+@query(f"with {_E}, s as (select p_partkey as n from part where p_size between 5 and 15) select child, parent from e where child in (select n from s) and parent in (select n from s)")
 def set_conflicts(spark, d):
     s = load(spark, d, "part").where("p_size between 5 and 15").select(F.col("p_partkey").alias("n"))
     e = _edges(spark, d)
     return e.join(s.withColumnRenamed("n", "child"), "child", "left_semi").join(s.withColumnRenamed("n", "parent"), "parent", "left_semi").select("child", "parent")
 
 
-_DONE = "done as (select distinct l_suppkey as who, l_partkey as node from lineitem where l_suppkey < 20 and l_partkey < 512)"
+_DONE = "done as (select distinct l_suppkey as who, l_partkey as node from lineitem where l_linestatus = 'F'), want as (select distinct l_suppkey as who, l_partkey as node from lineitem where l_linestatus = 'O')"
 
 
-def _done(spark, d):
-    return load(spark, d, "lineitem").where("l_suppkey < 20 and l_partkey < 512").select(F.col("l_suppkey").alias("who"), F.col("l_partkey").alias("node")).distinct()
+def _orders(spark, d, status):
+    """Who had (F) or still wants (O) which part."""
+    return load(spark, d, "lineitem").where(F.col("l_linestatus") == status).select(F.col("l_suppkey").alias("who"), F.col("l_partkey").alias("node")).distinct()
 
 
-@query(f"""with {_E}, {_DONE}, want as (select s_suppkey as who, p_partkey as node from supplier, part where s_suppkey < 20 and p_partkey between 1 and 60)
+@query(f"""with {_E}, {_DONE}
 select w.who, w.node, count(e.parent) as needs, list_sort(coalesce(list(e.parent) filter (d.node is null and e.parent is not null), [])) as missing from want w left join e on e.child = w.node left join done d on d.who = w.who and d.node = e.parent group by 1, 2""")
 def missing_prereqs(spark, d):
-    who = load(spark, d, "supplier").where("s_suppkey < 20").select(F.col("s_suppkey").alias("who"))
-    want = who.withColumn("node", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(60).cast("long"))))
-    return graph.missing(_edges(spark, d), want, _done(spark, d))
+    return graph.missing(_edges(spark, d), _orders(spark, d, "O"), _orders(spark, d, "F"))
 
 
-@query(f"""with {_E}, {_DONE}, want as (select s_suppkey as who, p_partkey as node from supplier, part where s_suppkey < 20 and p_partkey between 0 and 60),
+@query(f"""with {_E}, {_DONE},
 open as (select w.* from want w left join done d using (who, node) where d.who is null), n as (select o.who, o.node, count(e.parent) as needs, count(e.parent) filter (d.node is null) as lacks from open o left join e on e.child = o.node left join done d on d.who = o.who and d.node = e.parent group by 1, 2)
 select who, case when needs = 0 then 'no_prerequisite' when lacks = 0 then 'eligible' else 'not_eligible' end as status, count(*) as n from n group by 1, 2""")
 def eligibility_split(spark, d):
-    who = load(spark, d, "supplier").where("s_suppkey < 20").select(F.col("s_suppkey").alias("who"))
-    want = who.withColumn("node", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(60).cast("long"))))
-    done = _done(spark, d)
-    found = graph.missing(_edges(spark, d), want.join(done, ["who", "node"], "left_anti"), done)
+    done = _orders(spark, d, "F")
+    found = graph.missing(_edges(spark, d), _orders(spark, d, "O").join(done, ["who", "node"], "left_anti"), done)
     status = F.when(F.col("needs") == 0, "no_prerequisite").when(F.size("missing") == 0, "eligible").otherwise("not_eligible")
     return found.groupBy("who", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -126,9 +122,9 @@ def order_check(spark, d):
     return q.join(a, ["x", "y"], "left").join(b, ["x", "y"], "left").select("x", "y", answer.alias("answer"))
 
 
-@query("""with n as (select p_partkey, regexp_replace(lower(p_name), '[^a-z]+', ' ', 'g') as concept from part where p_partkey < 512), e as (select a.concept as child, b.concept as parent from n a join n b on b.p_partkey = a.p_partkey // 2 where a.p_partkey >= 1) select child, parent, count(*) as n from e where child <> parent group by 1, 2""")
+@query("""with n as (select p_partkey, regexp_replace(lower(p_name), '[^a-z]+', ' ', 'g') as concept from part), e as (select a.concept as child, b.concept as parent from n a join n b on b.p_partkey = a.p_partkey // 2 where a.p_partkey >= 1) select child, parent, count(*) as n from e where child <> parent group by 1, 2""")
 def concept_edges(spark, d):
-    n = load(spark, d, "part").where("p_partkey < 512").select("p_partkey", F.regexp_replace(F.lower("p_name"), "[^a-z]+", " ").alias("concept"))
+    n = load(spark, d, "part").select("p_partkey", F.regexp_replace(F.lower("p_name"), "[^a-z]+", " ").alias("concept"))
     a = n.where("p_partkey >= 1").select(F.expr("p_partkey div 2").alias("k"), F.col("concept").alias("child"))
     e = a.join(n.select(F.col("p_partkey").alias("k"), F.col("concept").alias("parent")), "k").where("child <> parent")
     return e.groupBy("child", "parent").agg(F.count(F.lit(1)).alias("n"))

@@ -40,29 +40,31 @@ def clash_report(spark, d):
     return ranked.groupBy("day").agg(F.count(F.lit(1)).alias("n_clashes"), F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= 6, F.struct("a", "b")))), lambda x: F.concat_ws("-", x["a"], x["b"])).alias("first_six"))
 
 
-@query(f"""with {_IV}, days as (select distinct user_id, day from iv where user_id < 40), slots as (select user_id, day, h * 60 as slot_start, h * 60 + 60 as slot_end from days, range(24) t(h))
+@query(f"""with {_IV}, days as (select distinct user_id, day from iv), slots as (select user_id, day, h * 60 as slot_start, h * 60 + 60 as slot_end from days, range(24) t(h))
 select user_id, day, slot_start, slot_end from slots z where not exists (select 1 from iv where iv.user_id = z.user_id and iv.day = z.day and z.slot_start < iv.e and iv.s < z.slot_end)""")
 def free_slots(spark, d):
-    iv = _intervals(spark, d).where("user_id < 40")
+    iv = _intervals(spark, d)
     slots = iv.select("user_id", "day").distinct().select("user_id", "day", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("h"))
     slots = slots.select("user_id", "day", (F.col("h") * 60).alias("slot_start"), (F.col("h") * 60 + 60).alias("slot_end"))
     return joins.without_overlap(slots, iv, ["user_id", "day"], "slot_start", "slot_end", "s", "e")
 
 
-@query(f"""with {_IV}, u as (select distinct user_id from iv), d as (select distinct day from iv) select u.user_id, d.day from u, d where not exists (select 1 from iv where iv.user_id = u.user_id and iv.day = d.day and iv.s < 720 and 600 < iv.e)
-and u.user_id < 25""")
+@query(f"""with {_IV}, u as (select distinct user_id from iv), span as (select min(day) as a, max(day) as b from iv), d as (select unnest(generate_series(a, b, interval 1 day))::date as day from span)
+select u.user_id, d.day from u, d where not exists (select 1 from iv where iv.user_id = u.user_id and iv.day = d.day and iv.s < 720 and 600 < iv.e)""")
 def free_rooms(spark, d):
+    """Every room and day of the calendar without a booking in the slot."""
     iv = _intervals(spark, d)
-    days = iv.select("day").distinct()
-    slots = iv.where("user_id < 25").select("user_id").distinct().join(days, how="cross").withColumns({"from": F.lit(600), "to": F.lit(720)})  # 25 users by days
-    return joins.without_overlap(slots, iv.where("user_id < 25"), ["user_id", "day"], "from", "to", "s", "e").select("user_id", "day")
+    span = iv.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    slots = iv.select("user_id").distinct().crossJoin(F.broadcast(span))  # one row
+    slots = slots.select("user_id", F.explode(F.sequence("a", "b")).alias("day"), F.lit(600).alias("from"), F.lit(720).alias("to"))
+    return joins.without_overlap(slots, iv, ["user_id", "day"], "from", "to", "s", "e").select("user_id", "day")
 
 
-@query(f"""with {_IV} select event_id from iv a where user_id between 10 and 30 and not exists (select 1 from iv b where b.user_id = 5 and a.s < b.e and b.s < a.e)""")
+@query(f"""with {_IV} select event_id from iv a where user_id <> 5 and not exists (select 1 from iv b where b.user_id = 5 and a.day = b.day and a.s < b.e and b.s < a.e)""")
 def alt_sections(spark, d):
     iv = _intervals(spark, d)
     taken = iv.where("user_id = 5")
-    return joins.without_overlap(iv.where("user_id between 10 and 30"), taken, [], "s", "e", "s", "e").select("event_id")
+    return joins.without_overlap(iv.where("user_id <> 5"), taken, ["day"], "s", "e", "s", "e").select("event_id")
 
 
 @query(f"with {_IV} select event_id, user_id from iv where s - 20 <= 615 and 615 < e")
@@ -93,10 +95,10 @@ def tt_entries(spark, d):
     return _intervals(spark, d).groupBy("day", F.expr("s div 60").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("event_type")).alias("kinds"))
 
 
-@query("""select event_id, isodow(ts)::int as weekday from events where event_id < 300 order by isodow(ts), event_id""")
+@query("""select event_id, isodow(ts)::int as weekday from events order by isodow(ts), event_id""")
 def weekday_order(spark, d):
     order = F.when(F.dayofweek("ts") == 1, 7).otherwise(F.dayofweek("ts") - 1)
-    return load(spark, d, "events").where("event_id < 300").select("event_id", order.alias("weekday")).orderBy("weekday", "event_id")
+    return load(spark, d, "events").select("event_id", order.alias("weekday")).orderBy("weekday", "event_id")
 
 
 @query("""with t as (select (year(o_orderdate) || '-' || quarter(o_orderdate)) as term, o_orderpriority as p, count(*) as n from orders group by 1, 2) select term, p, n, n - lag(n) over (partition by p order by term) as change from t""")

@@ -37,9 +37,9 @@ def fee_core(spark, d):
     return t.select("p_brand", "p_type", F.round("total", 2).alias("total"), F.when(F.col("n") == 2, F.round(F.col("a") + F.col("b"), 2) == F.round("total", 2)).alias("adds_up"))
 
 
-@query("""select o_orderkey, v.head, v.value from orders, lateral (select unnest(['regular', 'self']) as head, unnest([o_totalprice, o_totalprice * 2]) as value) v where o_orderkey < 500""")
+@query("""select o_orderkey, v.head, v.value from orders, lateral (select unnest(['regular', 'self']) as head, unnest([o_totalprice, o_totalprice * 2]) as value) v""")
 def fee_matrix(spark, d):
-    o = load(spark, d, "orders").where("o_orderkey < 500").withColumn("values", F.array("o_totalprice", F.col("o_totalprice") * 2))
+    o = load(spark, d, "orders").withColumn("values", F.array("o_totalprice", F.col("o_totalprice") * 2))
     return o.select("o_orderkey", F.posexplode("values").alias("at", "value")).select("o_orderkey", F.get(F.array(F.lit("regular"), F.lit("self")), F.col("at")).alias("head"), "value")
 
 
@@ -64,17 +64,17 @@ def term_order(spark, d):
     return load(spark, d, "orders").select("o_orderkey", F.lit("Spring Summer Fall").alias("terms"), rules.term_key(term).cast("long").alias("term_key"))
 
 
-@query("""with e as (select p_partkey, p_brand, p_size, row_number() over (partition by p_brand order by p_size desc, p_partkey) as rn from part where p_partkey not in (select l_partkey from lineitem where l_orderkey < 200)) select p_brand, p_partkey, p_size from e where rn <= 5""")
+@query("""with e as (select p_partkey, p_brand, p_size, row_number() over (partition by p_brand order by p_size desc, p_partkey) as rn from part where p_partkey not in (select l_partkey from lineitem where l_quantity >= 50)) select p_brand, p_partkey, p_size from e where rn <= 5""")
 def recommend(spark, d):
-    taken = load(spark, d, "lineitem").where("l_orderkey < 200").select(F.col("l_partkey").alias("p_partkey"))
+    taken = load(spark, d, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey"))
     open_ = load(spark, d, "part").join(taken, "p_partkey", "left_anti")
     return windows.first_per(open_, ["p_brand"], [F.desc("p_size"), F.col("p_partkey")], 5).select("p_brand", "p_partkey", "p_size")
 
 
-@query("""select l_suppkey, l_partkey, max(case when l_returnflag = 'R' then 3 when l_returnflag = 'N' then 2 else 1 end)::int as level from lineitem where l_orderkey < 3000 group by 1, 2""")
+@query("""select l_suppkey, l_partkey, max(case when l_returnflag = 'R' then 3 when l_returnflag = 'N' then 2 else 1 end)::int as level from lineitem group by 1, 2""")
 def status_precedence(spark, d):
     level = F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_returnflag") == "N", 2).otherwise(1)
-    return load(spark, d, "lineitem").where("l_orderkey < 3000").groupBy("l_suppkey", "l_partkey").agg(F.max(level).alias("level"))
+    return load(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max(level).alias("level"))
 
 
 @query("""select p_type, case when count(distinct p_brand) = 1 then min(p_brand) end as quote from part where p_size = 1 group by 1""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,10 +12,10 @@ from ..operators import search as op
 from ..tables import load
 from .registry import query
 
-_W = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+_W = tx.tokens_sql("text")
 _BASE = f"""docs as (select doc_id, {_W} as w from documents), stats as (select count(*) as n, avg(len(w)) as avg_len from docs),
 post as (select doc_id, term, count(*) as tf, any_value(l) as len from (select doc_id, len(w) as l, unnest(w) as term from docs) group by 1, 2), df as (select term, count(*) as df from post group by 1),
-asked as (select item_id, term, count(*) as qtf from (select item_id, unnest({_W}) as term from benchmark where item_id < 10) group by 1, 2)"""
+asked as (select item_id, term, count(*) as qtf from (select item_id, unnest({_W}) as term from benchmark where item_id % 20 = 0) group by 1, 2)"""
 
 
 def _bm25_sql(k1: float, b: float, bonus: str, name: str) -> str:
@@ -30,23 +31,22 @@ def _top(name: str, k: int, out: str, score: str = "score") -> str:
 
 
 def _docs(spark, d):
-    return load(spark, d, "documents").select("doc_id", "text")
+    return op.prepare(load(spark, d, "documents"), "doc_id", tx.tokens(F.col("text")))
 
 
 def _asked(spark, d):
-    return load(spark, d, "benchmark").where("item_id < 10").select("item_id", F.col("text").alias("question"))  # the query set
+    return load(spark, d, "benchmark").where("item_id % 20 = 0").select("item_id", F.col("text").alias("question"))  # the query set
 
 
-def _bm25(spark, d, variant=op.G3, k=10):
-    scores = op.bm25(_docs(spark, d), "doc_id", tx.tokens(F.col("text")), _asked(spark, d), "item_id", tx.tokens(F.col("question")), variant)
+def _bm25(spark, d, variant=op.G3, k=10, docs=None):
+    scores = op.bm25(docs or _docs(spark, d), "doc_id", _asked(spark, d), "item_id", tx.tokens(F.col("question")), variant)
     return op.rank(scores, "item_id", "doc_id", k)
 
 
 @query(f"with {_BASE} select term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from df, stats")
 def term_stats(spark, d):
-    words = tx.tokens(F.col("text"))
-    t = op.term_stats(op.postings(_docs(spark, d), "doc_id", words), op.corpus_stats(_docs(spark, d), words))
-    return t.withColumn("idf", F.round("idf", 6))
+    docs = _docs(spark, d)
+    return op.term_stats(op.postings(docs, "doc_id"), op.corpus_stats(docs)).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"with {_BASE}, {_G3}, {_top('g3', 10, 'r')} select item_id, doc_id, score, rank from r")
@@ -62,9 +62,9 @@ def bm25_g1(spark, d):
 _KW = f"kw as (select item_id, doc_id, sum(tf)::double / any_value(len) as score from asked join post using (term) group by 1, 2), kwn as (select item_id, doc_id, round(score / max(score) over (partition by item_id), 6) as score from kw)"
 
 
-def _keyword(spark, d):
+def _keyword(spark, d, docs=None):
     asked = _asked(spark, d).select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("question")))).alias("term"))
-    post = op.postings(_docs(spark, d), "doc_id", tx.tokens(F.col("text")))
+    post = op.postings(docs or _docs(spark, d), "doc_id", asked.select("term").distinct())
     kw = asked.join(post, "term").groupBy("item_id", "doc_id").agg((F.sum("tf") / F.first("len")).alias("score"))
     return kw.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy("item_id")), 6))
 
@@ -79,7 +79,8 @@ def _rrf_sql(constant: str, w3: str, wk: str) -> str:
 
 
 def _two(spark, d):
-    return _bm25(spark, d, k=80), op.rank(_keyword(spark, d), "item_id", "doc_id", 80)
+    docs = _docs(spark, d)
+    return _bm25(spark, d, k=80, docs=docs), op.rank(_keyword(spark, d, docs), "item_id", "doc_id", 80)
 
 
 @query(_rrf_sql("60 + rank - 1", "1.0::double", "1.0::double"))
@@ -117,15 +118,29 @@ def boosted_rank(spark, d):
 @query(f"""with {_BASE}, qi as (select item_id, term, coalesce(ln(1 + (n - df + 0.5) / (df + 0.5)), 3.0) as idf from asked left join df using (term), stats), t as (select item_id, sum(idf) as total, count(*) as n from qi group by 1),
 m as (select item_id, doc_id, sum(idf) as matched, count(*) as k from qi join post using (term) group by 1, 2) select item_id, doc_id, round(matched / total, 6) as coverage from m join t using (item_id) where matched / total >= 0.22 and k >= least(2, n)""")
 def coverage_gate(spark, d):
-    words = tx.tokens(F.col("text"))
-    post = op.postings(_docs(spark, d), "doc_id", words)
-    terms = op.term_stats(post, op.corpus_stats(_docs(spark, d), words))
-    asked = _asked(spark, d).select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("question")))).alias("term")).join(terms, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(3.0)))
+    docs = _docs(spark, d)
+    asked = _asked(spark, d).select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("question")))).alias("term"))
+    post = op.postings(docs, "doc_id", asked.select("term").distinct())
+    asked = asked.join(op.term_stats(post, op.corpus_stats(docs)), "term", "left").withColumn("idf", F.coalesce("idf", F.lit(3.0)))
     total = asked.groupBy("item_id").agg(F.sum("idf").alias("total"), F.count(F.lit(1)).alias("n"))
     m = asked.join(post.select("doc_id", "term"), "term").groupBy("item_id", "doc_id").agg(F.sum("idf").alias("matched"), F.count(F.lit(1)).alias("k")).join(total, "item_id")
     return m.where((F.col("matched") / F.col("total") >= 0.22) & (F.col("k") >= F.least(F.lit(2), F.col("n")))).select("item_id", "doc_id", F.round(F.col("matched") / F.col("total"), 6).alias("coverage"))
 
 
+_WORDS = lambda c: f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
+
+
+@query(f"""with f as (select doc_id, {_WORDS('split_part(text, chr(10), 1)')} as a, {_WORDS('source')} as b, {_WORDS('text')} as c from documents), n as (select doc_id, len(a) + len(b) + len(c) as len from f), st as (select count(*) as n, avg(len) as avg_len from n),
+t as (select doc_id, unnest(a) as term, 3 as w from f union all select doc_id, unnest(b), 2 from f union all select doc_id, unnest(c), 1 from f), post as (select doc_id, term, sum(w) as tf from t group by 1, 2), df as (select term, count(*) as df from post group by 1),
+asked as (select distinct item_id, unnest({_WORDS('text')}) as term from benchmark where item_id % 20 = 0),
+s as (select item_id, doc_id, round(sum(greatest(ln(1 + (n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) as score from asked join df using (term) join post using (term) join n using (doc_id), st group by 1, 2), {_top('s', 100, 'r')} select item_id, doc_id, score, rank from r""")
+def bm25_fielded(spark, d):
+    """First line as title (weight 3), source as section (2), text as content (1)."""
+    docs = load(spark, d, "documents")
+    fields = [(op.prepare(docs, "doc_id", tx.words(c)), w) for c, w in ((F.split_part("text", F.lit("\n"), F.lit(1)), 3), (F.col("source"), 2), (F.col("text"), 1))]
+    return op.rank(op.bm25_fielded(fields, "doc_id", _asked(spark, d), "item_id", tx.words(F.col("question"))), "item_id", "doc_id", 100)
+
+
 @query()
 def context_select(spark, d):
     ranked = _bm25(spark, d, k=30).join(load(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
@@ -139,29 +154,28 @@ def retrieval_metrics(spark, d):
     return metrics.retrieval_metrics(_bm25(spark, d), good, "item_id", "doc_id", "rank", 10)
 
 
-_COS = "cs as (select q.vec_id as item_id, v.vec_id as doc_id, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) as c from embeddings v, embeddings q where q.vec_id < 10 and v.vec_id <> q.vec_id)"
+_COS = "cs as (select q.vec_id as item_id, v.vec_id as doc_id, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) as c from embeddings v, embeddings q where q.vec_id % 20 = 0 and v.vec_id <> q.vec_id)"
 
 
-def _knn(spark, d):
+def _knn(spark, d, k, score=None, least=-2.0):
     e = load(spark, d, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))  # the query set
-    return op.knn(e, F.broadcast(q), "vec_id", "embedding", "query_id", "query_vector")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))  # the query set
+    return op.rank(op.knn(e, q, "vec_id", "embedding", "query_id", "query_vector", k, score, least), "query_id", "vec_id", k)
 
 
 @query(f"with {_COS}, s as (select item_id, doc_id, round(greatest(c, 0), 6) as score from cs), {_top('s', 10, 'r')} select item_id as query_id, doc_id as vec_id, score, rank from r")
 def knn_topk(spark, d):
-    return op.rank(_knn(spark, d).withColumn("score", F.greatest("cos", F.lit(0.0))), "query_id", "vec_id", 10)
+    return _knn(spark, d, 10, lambda c: np.maximum(c, 0.0))
 
 
 @query(f"with {_COS}, s as (select item_id, doc_id, round(1 - (1 - c) / 2, 6) as score from cs where 1 - c <= 2 * (1 - 0.55)), {_top('s', 10, 'r')} select item_id as query_id, doc_id as vec_id, score, rank from r")
 def knn_half_cos(spark, d):
-    near = _knn(spark, d).where(1 - F.col("cos") <= 2 * (1 - 0.55)).withColumn("score", 1 - (1 - F.col("cos")) / 2)
-    return op.rank(near, "query_id", "vec_id", 10)
+    return _knn(spark, d, 10, lambda c: 1 - (1 - c) / 2, 1 - 2 * (1 - 0.55) - 1e-12)
 
 
 @query(f"with {_COS}, s as (select item_id, doc_id, round(c, 6) as score from cs where c > 0.2), {_top('s', 30, 'r')} select item_id as query_id, doc_id as vec_id, score, rank from r")
 def knn_threshold(spark, d):
-    return op.rank(_knn(spark, d).where("cos > 0.2").withColumnRenamed("cos", "score"), "query_id", "vec_id", 30)
+    return _knn(spark, d, 30, None, 0.2)
 
 
 @query("select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 4) as squared, len(embedding) = 64 as fits from embeddings")

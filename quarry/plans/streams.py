@@ -36,4 +36,4 @@ def stream_latest(spark, d):
 
 @query()
 def rate_limit(spark, d):
-    return st.rate_limit(_events(spark, d), "event_type")
+    return st.rate_limit(_events(spark, d), "user_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import chunks
 from ..functions import text as tx
 from ..functions import urls
 from ..operators import metrics, windows
@@ -11,7 +12,8 @@ from ..sources import csvio, html
 from ..tables import load
 from .registry import query
 
-_TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+_TOK = tx.tokens_sql("text")
+_ENDS = " ".join(f"when ends_with(w, '{e}') and length(w) >= {len(e) + 3} then left(w, -{len(e)}) || '{r}'" for e, r in tx.ENDINGS)
 
 
 @query(f"select doc_id, {_TOK} as tokens from documents")
@@ -19,10 +21,10 @@ def tokenize(spark, d):
     return load(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"""with w as (select distinct unnest({_TOK}) as w from documents) select w as word, case when length(w) > 5 and ends_with(w, 'ies') then left(w, -3) || 'y' when length(w) > 6 and ends_with(w, 'ing') then left(w, -3) when length(w) > 5 and ends_with(w, 'ed') then left(w, -2)
-when length(w) > 4 and ends_with(w, 'es') then left(w, -2) when length(w) > 3 and ends_with(w, 's') and not ends_with(w, 'ss') then left(w, -1) else w end as stem from w""")
+@query(f"""with w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents)
+select w as word, case when length(w) <= 4 or regexp_matches(w, '[0-9]') or ends_with(w, 'ss') then w {_ENDS} else w end as stem from w""")
 def stem(spark, d):
-    words = load(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("word")).distinct()
+    words = load(spark, d, "documents").select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
     return words.select("word", tx.stem(F.col("word")).alias("stem"))
 
 
@@ -139,6 +141,33 @@ def html_to_text(spark, d):
     return html.page_text(load(spark, d, "pages"))
 
 
+@query()
+def html_text_simple(spark, d):
+    return html.page_text(load(spark, d, "pages"), hide=html.FURNITURE, marks=False)
+
+
+@query()
+def split_passages(spark, d):
+    return chunks.explode(load(spark, d, "documents"), "doc_id", "text", lambda t: [("", x) for x in chunks.passages(t)]).drop("heading")
+
+
+@query()
+def md_blocks(spark, d):
+    """Pages as Markdown, by heading path."""
+    return chunks.explode(html.page_text(load(spark, d, "pages")), "page_id", "text", chunks.blocks)
+
+
+@query()
+def chunk_blocks(spark, d):
+    return chunks.explode(html.page_text(load(spark, d, "pages")), "page_id", "text", lambda t: chunks.pack(chunks.blocks(t)))
+
+
+@query()
+def chunk_documents(spark, d):
+    """Documents as one block each."""
+    return chunks.explode(load(spark, d, "documents"), "doc_id", "text", lambda t: chunks.pack(chunks.blocks(t)))
+
+
 @query()
 def html_sections(spark, d):
     return html.sections(load(spark, d, "pages"))
@@ -179,22 +208,22 @@ def csv_safe_export(spark, d):
     return load(spark, d, "part").select("p_partkey", tx.csv_safe(cell).alias("cell"))
 
 
-@query("""select event_id, list_filter([case when event_id % 7 = 6 then 'day' end, case when event_id % 5 = 0 then 'start' end, case when event_id % 5 <> 0 and event_id % 3 = 0 then 'order' end, case when event_id % 4 = 0 then 'room' end], lambda x: x is not null) as errors from events where event_id < 1000""")
+@query("""select event_id, list_filter([case when event_id % 7 = 6 then 'day' end, case when event_id % 5 = 0 then 'start' end, case when event_id % 5 <> 0 and event_id % 3 = 0 then 'order' end, case when event_id % 4 = 0 then 'room' end], lambda x: x is not null) as errors from events""")
 def csv_import_validate(spark, d):
     i = F.col("event_id")
     days = F.array(*map(F.lit, [*csvio.DAYS[:6], "NODAY"]))
-    rows = load(spark, d, "events").where("event_id < 1000").select(
+    rows = load(spark, d, "events").select(
         "event_id", F.get(days, (i % 7).cast("int")).alias("day"), F.when(i % 5 == 0, "soon").otherwise("10:30").alias("start"), F.when(i % 3 == 0, "9.15").otherwise("1:35 PM").alias("end"),
         F.when(i % 4 == 0, " ").otherwise("R1").alias("room"), F.lit("CS-101").alias("code"),
     )
     return csvio.validate(rows).select("event_id", "errors")
 
 
-@query("""with b(item_id, text) as (select item_id, text from benchmark where item_id < 40) select item_id, doc_id from b join documents d on contains(d.text, b.text)""")
+@query("""with b(item_id, text) as (select item_id, text from benchmark where text is not null) select item_id, doc_id from b join documents d on contains(d.text, b.text)""")
 def gold_contains(spark, d):
     """Benchmark texts that stand in documents, first met by their opening words."""
     lead = lambda c: F.array_join(F.slice(F.split(c, "[ \\n]+"), 1, 4), " ")
-    b = load(spark, d, "benchmark").where("item_id < 40").select("item_id", F.col("text").alias("gold")).withColumn("k", lead("gold"))
+    b = load(spark, d, "benchmark").where("text is not null").select("item_id", F.col("text").alias("gold")).withColumn("k", lead("gold"))
     words = load(spark, d, "documents").select("doc_id", "text", F.split("text", "[ \\n]+").alias("w"))
     grams = words.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 4), " ")))).alias("k"))
     met = grams.select("doc_id", "k").join(b, "k").join(words.select("doc_id", "text"), "doc_id")

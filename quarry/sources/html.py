@@ -9,55 +9,66 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SKIP = {"script", "style", "nav", "header", "footer", "aside", "noscript", "form"}
+# Elements whose text is not the page's own; those that start a line; those that have no end tag.
+FURNITURE = frozenset({"script", "style", "nav", "header", "footer", "aside", "noscript"})
+FORMS = frozenset({"form"})
 _BLOCK = {"p", "div", "li", "tr", "section", "article", "br", "h1", "h2", "h3", "h4", "h5", "h6", "table", "ul", "ol"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-class _Reader(HTMLParser):
-    def __init__(self):
+class _Page(HTMLParser):
+    """Keeps the path of open elements: an end tag closes what was left open inside its element, and nothing else."""
+
+    def __init__(self, hide: frozenset[str], marks: bool):
         super().__init__(convert_charrefs=True)
-        self.out, self.depth = [], 0
+        self.hide, self.marks, self.path, self.pieces = hide, marks, [], []
+
+    def shown(self) -> bool:
+        return self.hide.isdisjoint(self.path)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIP:
-            self.depth += 1
-        elif not self.depth:
-            if tag in _BLOCK:
-                self.out.append("\n")
-            if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                self.out.append("#" * int(tag[1]) + " ")
-            elif tag == "li":
-                self.out.append("- ")
+        if tag not in _VOID:
+            self.path.append(tag)
+        if tag in _BLOCK and self.shown():
+            mark = "#" * int(tag[1]) + " " if tag in _HEADINGS else "- " if tag == "li" else ""
+            self.pieces.append("\n" + mark * self.marks)
 
     def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.depth = max(0, self.depth - 1)
-        elif not self.depth:
-            self.out.append(" | " if tag in ("td", "th") else "\n" if tag in _BLOCK else "")
+        if tag not in self.path:
+            return
+        if self.shown():
+            self.pieces.append(" | " if tag in ("td", "th") else "\n" * (tag in _BLOCK))
+        del self.path[len(self.path) - 1 - self.path[::-1].index(tag) :]
 
     def handle_data(self, data):
-        if not self.depth:
-            self.out.append(data)
+        if self.shown():
+            self.pieces.append(data)
 
 
-def to_text(html: str | None) -> str:
-    """Headings as #, list items as -, cells split by |; page furniture is left out."""
+def to_text(html: str | None, hide: frozenset[str] = FURNITURE | FORMS, marks: bool = True) -> str:
+    """Cells split by |, and with ``marks`` headings as # and list items as -; what is in ``hide`` is left out."""
     if not html:
         return ""
-    reader = _Reader()
-    reader.feed(html)
-    reader.close()
-    lines = (" ".join(x.split()).removesuffix(" |").strip() for x in "".join(reader.out).split("\n"))
+    page = _Page(hide, marks)
+    page.feed(html)
+    page.close()
+    lines = (" ".join(x.split()).removesuffix(" |").strip() for x in "".join(page.pieces).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
-def page_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def page_text(pages: DataFrame, key: str = "page_id", html: str = "html", hide: frozenset[str] = FURNITURE | FORMS, marks: bool = True) -> DataFrame:
     """(key, text)"""
     rows = pages.select(F.col(key), F.col(html).alias("html"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "text": b["html"].map(to_text)})
+            yield pd.DataFrame({key: b[key], "text": [to_text(x, hide, marks) for x in b["html"]]})
 
     return rows.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")
 

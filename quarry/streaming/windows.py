@@ -36,7 +36,8 @@ def latest(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(value, F.struct("ts", order)).alias(value), F.max("ts").alias("ts"))
 
 
-LIMITS = ((20, 86_400.0), (8, 7_200.0))
+#: Hits and seconds: 20 in a minute, 8 in ten seconds.
+LIMITS = ((20, 60.0), (8, 10.0))
 
 
 def admit(times: list[float], t: float, limits=LIMITS) -> bool:
@@ -82,4 +83,4 @@ def rate_limit(df: DataFrame, key: str) -> DataFrame:
             yield pd.DataFrame({"key": b["key"], "event_id": b["event_id"], "accepted": ok})
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key", "t", "event_id").mapInPandas(run, "key string, event_id long, accepted boolean")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "t", "event_id").mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, event_id long, accepted boolean")
