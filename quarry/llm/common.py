@@ -2,66 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import fresh_path, materialize, release, remove, shared_dir  # noqa: F401
+
 #: ASCII white space as the contracts have it: \x20 and \x09-\x0D.
 SPACE_RE = r"[ \t\n\x0B\f\r]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/quarry-{tag}-{uuid.uuid4().hex[:12]}"
-    _written.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage, so a lost executor costs no recomputation of what came
-    before, and gives the planner the true size, so it broadcasts only what
-    is under its threshold.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            if spark.sparkContext._jsc is not None:
-                remove(spark, path)
-        except Exception:  # the session is gone; the job's shared folder goes with it
-            return
-
-
 def words_col(text) -> F.Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text column; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RE), "")
