@@ -23,7 +23,9 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, list_column, materialize, small_batches, utf8
+from .common import bitmap, list_column, materialize, release, small_batches, utf8
 from .graph import components
 
 #: Chance that a pair right at the threshold shares no band.
 MISS = 1e-6
+#: Members of a family in a chunk; two chunks are compared in a cell of their own.
+CELL = 256
 MEMO = 200_000
 
 
@@ -190,11 +194,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     seen = stars.select("hub", "hub_s1", "rep", "s1", "n", (1 - F.col("both") / (F.col("hub_n") + F.col("n") - F.col("both"))).alias("d"))
     own = stars.select("hub", "hub_s1", F.col("hub").alias("rep"), F.col("hub_s1").alias("s1"), F.col("hub_n").alias("n"), F.lit(0.0).alias("d")).distinct()
     named = materialize(seen.union(own).join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "named")
-    mixed = named.groupBy("hub", "hub_s1").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("hub", "hub_s1")
-    rest = materialize(named.join(mixed, ["hub", "hub_s1"]).join(right, ["rep", "s1"]), "mixed")
-    pairs = rest.alias("p").join(
-        rest.alias("q"),
-        (F.col("p.hub") == F.col("q.hub")) & (F.col("p.hub_s1") == F.col("q.hub_s1")) & (F.col("p.comp") < F.col("q.comp"))
+    mixed = named.groupBy("hub", "hub_s1").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 <> c1")
+    # a hub's members in chunks of CELL: a cell compares two chunks, so no task holds a family or its square
+    cells = materialize(mixed.select("hub", "hub_s1", F.ceil(F.col("members") / CELL).cast("int").alias("chunks")), "cells")
+    rest = named.join(cells, ["hub", "hub_s1"]).withColumn("chunk", F.pmod(F.xxhash64("rep", "s1"), "chunks").cast("int"))
+    rest = materialize(rest.join(right, ["rep", "s1"]), "mixed")
+    p = rest.withColumn("a", F.col("chunk")).withColumn("b", F.explode(F.sequence("chunk", F.col("chunks") - 1)))
+    q = rest.withColumn("b", F.col("chunk")).withColumn("a", F.explode(F.sequence(F.lit(0), "chunk")))
+    one_cell = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in ("hub", "hub_s1", "a", "b")]
+    pairs = p.alias("p").join(
+        q.alias("q"),
+        functools.reduce(operator.and_, one_cell)
+        & (F.col("p.comp") != F.col("q.comp"))
+        & ((F.col("p.a") < F.col("p.b")) | (F.col("p.comp") < F.col("q.comp")))  # a chunk with itself: each pair once
         & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n"))
         & (F.abs(F.col("p.d") - F.col("q.d")) <= 1 - percent / 100 + 1e-9)  # the Jaccard distance is a metric
         & _linked(F.size(F.array_intersect("p.y", "q.y")), F.col("p.n"), F.col("q.n"), percent),
@@ -204,6 +216,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     # components merged by the second step may hold documents that the first left alone
     final = materialize(final.union(merged.join(comp.select("node"), "node", "left_anti")), "merged")
 
+    release(bucket, ids, sets, stars, named, cells, rest)
     of_class = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("comp"))
     of_class = of_class.groupBy("id").agg(F.min("comp").alias("comp"))
     out = sig.select("id", "n").join(of_class, "id", "left")
