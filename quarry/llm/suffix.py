@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, materialize, merge_spans, small_batches, utf8
+from .common import bitmap, materialize, merge_spans, release, small_batches, utf8
 
 MIN_WORDS, GRAM, SPAN, CORE = 50, 5, 20, 31
 #: Contexts of a core that are compared with each other; more meet by window hashes.
@@ -115,6 +115,7 @@ def suffixes(docs: DataFrame, doc_id: str, text: str, context: int) -> DataFrame
     if twice.count() > MAP_CORES:
         return materialize(_joined(source, twice, context), "suffixes")
     bits, n = bitmap(twice, "key")
+    release(twice)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,8 +373,13 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
     """
     if min_words < MIN_WORDS:
         raise ValueError(f"a passage has {MIN_WORDS} words at least")
-    made = contexts(suffixes(docs, doc_id, text, min_words - CORE + 1), min_words)
-    found = made.where("key is null").select(*SPANS.names).union(repeated(windows(made.where("key is not null"), min_words), min_words))
+    kept = suffixes(docs, doc_id, text, min_words - CORE + 1)
+    made = contexts(kept, min_words)
+    release(kept)
+    wide = windows(made.where("key is not null"), min_words)
+    again = repeated(wide, min_words)
+    release(wide)
+    found = made.where("key is null").select(*SPANS.names).union(again)
     return islands(found).select(F.col("id").alias(doc_id), "start", "end", "partner", "copy")
 
 
