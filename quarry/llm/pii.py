@@ -1,8 +1,9 @@
 """Personal data by weak supervision.
 
-Fixed patterns give the base spans (email, ip, card, phone). Every other token
-with a digit is a candidate: regex, gazetteer and context labelers vote on it
-(for, against, or not at all). Votes are counted over the whole corpus by
+Fixed patterns give the base spans (email, ip, card, phone). Candidates are all
+other tokens with a digit, what is assigned to a word like password, capital
+words after a title or a word like name, and street addresses: regex,
+gazetteer and context labelers vote on each (for, against, or not at all). Votes are counted over the whole corpus by
 their pattern; expectation-maximisation over the pattern counts estimates each
 labeler's reliability and the chance that a candidate is personal; a logistic
 span classifier is then fitted to those chances on span features and decides
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
 
-KINDS = ["email", "ip", "card", "phone", "secret", "number"]
+KINDS = ["email", "ip", "card", "phone", "secret", "number", "name", "address"]
 _host = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _dotted = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
@@ -44,7 +45,13 @@ _key_before = re.compile(r"(?i)(?:%s)[\"']?\s*(?:is|no\.?|number|#)?\s*[:=]?\s*[
 _unit_after = re.compile(r"(?i)\s?(?:%%|(?:%s)\b)" % "|".join(UNITS))
 _assigned = re.compile(r"[:=]\s*[\"']?$")
 
-VOTES, FEATURES = 8, 9
+# Given names, what stands before a name, and kinds of streets.
+GIVEN = frozenset("james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen anna peter paul laura marie hans klaus julia carlos juan jose maria luis ahmed ali fatima muhammad omar sara pierre jean sophie".split())
+_named = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|[Nn]ame|[Cc]ontact|[Ss]igned|[Bb]orn)\b[.:]?[ ]{1,3}((?:[A-Z][a-zà-ÿ]{1,30})(?:[ ][A-Z][a-zà-ÿ]{1,30}){0,2})")
+_street = re.compile(r"(?<![0-9])[0-9]{1,5}[A-Za-z]?[ ](?:[A-Z][a-zà-ÿ]{1,30}[ ]){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Square)\b")
+_set_to = re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|bearer|credential)\b[\"']?[ ]?[:=][ ]?[\"']?([A-Za-z_+/-]{6,128})(?![A-Za-z0-9_+/-])")
+
+VOTES, FEATURES = 11, 12
 THRESHOLD = 0.5
 
 
@@ -101,10 +108,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def votes(token: str, before: str, after: str) -> int:
+def votes(token: str, before: str, after: str, kind: int = 4) -> int:
     """The labelers' votes as digits of base 3: 0 none, 1 for, 2 against."""
     digits = sum(c.isdigit() for c in token)
     n = len(token)
+    words = token.split(" ")
     cast = [
         1 if n >= 24 and re.fullmatch(r"[0-9a-fA-F]+", token) else 0,
         1 if n >= 16 and digits >= 3 and re.search(r"[A-Za-z]", token) else 2 if n < 8 else 0,
@@ -114,37 +122,45 @@ def votes(token: str, before: str, after: str) -> int:
         2 if _unit_after.match(after) or re.fullmatch(r"(?:1[89]|20)[0-9][0-9]", token) else 0,
         1 if _assigned.search(before) else 0,
         1 if before[-1:] in "\"'`" and before and after[:1] == before[-1] else 0,
+        1 if kind == 6 and words[0].lower() in GIVEN else 2 if kind == 6 and len(words) == 1 else 0,
+        1 if kind == 7 else 0,
+        1 if kind == 4 and not digits and (re.search(r"[a-z][A-Z]|[A-Z]{2}[a-z]|[_+/-]", token) or n >= 16) else 2 if kind == 4 and token.isalpha() and (token.islower() or token.istitle()) else 0,
     ]
     return sum(v * 3**k for k, v in enumerate(cast))
 
 
-def features(token: str, before: str, after: str) -> int:
+def features(token: str, before: str, after: str, kind: int = 4) -> int:
     digits = sum(c.isdigit() for c in token)
     n = len(token)
-    bits = [n >= 8, n >= 16, n >= 24, digits >= 4, digits >= 9, token.isdigit(), bool(re.fullmatch(r"[0-9a-fA-F]+", token)), bool(before.strip()) and before.rstrip()[-1] in "=:\"'`", bool(_key_before.search(before))]
+    bits = [n >= 8, n >= 16, n >= 24, digits >= 4, digits >= 9, token.isdigit(), bool(re.fullmatch(r"[0-9a-fA-F]+", token)), bool(before.strip()) and before.rstrip()[-1] in "=:\"'`", bool(_key_before.search(before)), kind == 6, kind == 7, token.split(" ")[0].lower() in GIVEN]
     return sum(int(b) << k for k, b in enumerate(bits))
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, kind, votes, features) of the other tokens with a digit."""
-    out, taken = [], sorted((a, b) for a, _, b in base)
-    if not _digit.search(text):
-        return out
-    k, at = 0, 0
-    for d in _digit.finditer(text):
-        if d.start() < at:
-            continue
-        start = d.start()
-        while start > at and _token.match(text[start - 1]):
-            start -= 1
-        m = _token.match(text, start)
-        at = m.end()
-        while k < len(taken) and taken[k][1] <= start:
+    """(start, end, kind, votes, features) of what may be personal beside the base spans, none over another."""
+    found = [(m.start(1), m.end(1), 6) for m in _named.finditer(text)]
+    if "=" in text or ":" in text:
+        found += [(m.start(1), m.end(1), 4) for m in _set_to.finditer(text)]
+    if _digit.search(text):
+        found += [(m.start(), m.end(), 7) for m in _street.finditer(text)]
+        at = 0
+        for d in _digit.finditer(text):
+            if d.start() < at:
+                continue
+            start = d.start()
+            while start > at and _token.match(text[start - 1]):
+                start -= 1
+            at = _token.match(text, start).end()
+            found.append((start, at, 5 if text[start:at].isdigit() else 4))
+    out, taken, k, end = [], sorted((a, b) for a, _, b in base), 0, 0
+    for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1], -x[2])):
+        while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if any(a < at and start < b for a, b in taken[k : k + 4]):
+        if a < end or any(p < b and a < q for p, q in taken[k : k + 4]):
             continue
-        token, before, after = m[0], text[max(0, start - 32) : start], text[at : at + 12]
-        out.append((start, at, 5 if token.isdigit() else 4, votes(token, before, after), features(token, before, after)))
+        end = b
+        token, before, after = text[a:b], text[max(0, a - 32) : a], text[b : b + 12]
+        out.append((a, b, kind, votes(token, before, after, kind), features(token, before, after, kind)))
     return out
 
 
