@@ -6,7 +6,9 @@ compressed against every dictionary; the language with the smallest sum wins.
 Where the runner-up is nearly as small the operator rejects the text.
 
 Defined results
-    null, empty or letterless text: lang_pred ``und``, score 0, rejected.
+    null, empty or letterless text: lang_pred ``und``, score 0, rejected. A
+    letter is of a Unicode letter category: ``²``, ``½`` and ``①`` are none.
+    null doc_id: a row like any other (the query counts it as not held out).
     ties: the language with more training documents, then the smaller name.
     no training text: every text is ``und``.
     repeated rows: a row each. Extra columns are not read. Very long texts are
@@ -15,11 +17,11 @@ Defined results
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ BLOCK = 4096
 MARGIN = 0.004
 UND = "und"
 
-_letters = re.compile(r"[^\W\d_]+")
+_letters = regex.compile(r"\p{L}+")
 
 
 def normal(text: str | None) -> bytes:

@@ -1,18 +1,20 @@
 """Licence notices by Dice coefficient over word bigrams.
 
-Every line of a text, and every whole text, is a unit. A unit is normalised
-(lower case; ASCII letters and digits make words) and compared with the
-licence templates: Dice = 2 |common bigrams| / (|unit| + |template|) over
-distinct bigrams. A Dice of t needs sizes within a factor (2 - t) / t of each
-other, so a unit meets only templates within its size bounds, and a unit whose
-size fits none is dropped before its bigrams are made.
+A text is normalised (lower case; ASCII letters and digits make words, so line
+breaks inside a notice do not matter) and compared with the licence templates:
+Dice = 2 |common bigrams| / (|unit| + |template|) over distinct bigrams. A Dice
+of t needs (t / (2 - t)) of a template's bigrams in the text, so a template
+with fewer is pruned. For the others a unit is a window of words that begins
+at one of the template's bigrams and has its length, or STRETCH times less or
+more; a unit counts unless a better one overlaps it.
 
 The templates are a fixed list of a few dozen rows, and are broadcast as such.
 
 Defined results
-    null, empty or wordless text: no unit, no match. A unit of one word has no
-    bigram and matches nothing. Ties: the least licence name.
-    null doc_id: scanned; repeated rows: a row each. Extra columns aren't read.
+    null, empty or wordless text: no unit, no match. A text of one word has no
+    bigram and matches nothing. Ties: the earlier, then the shorter unit, then
+    the least licence name. null doc_id: scanned; repeated rows: a row each.
+    Extra columns aren't read. Very long texts: windows of them, all in one row.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.8
+THRESHOLD, STRETCH = 0.8, 1.25
 
 #: Licence name and the usual wording of its notice.
 TEMPLATES = [
@@ -49,6 +51,12 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("GPL", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("ISC", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
 ]
 
 
@@ -56,44 +64,52 @@ def normal_words(text) -> F.Column:
     return F.array_remove(F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " +"), "")
 
 
-def bigrams(words) -> F.Column:
-    pairs = F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
-    return F.array_distinct(F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+def pairs(words) -> F.Column:
+    """The bigrams of a word array, in order."""
+    both = F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+    return F.slice(both, 1, F.greatest(F.size(words) - 1, F.lit(0)))
 
 
 def templates(spark: SparkSession, rows=TEMPLATES) -> DataFrame:
-    """(template, license, size, grams)"""
+    """(template, license, n words, grams, size)"""
     t = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(rows)], "template int, license string, body string")
-    return t.select("template", "license", bigrams(normal_words(F.col("body"))).alias("grams")).withColumn("size", F.size("grams"))
+    t = t.withColumn("words", normal_words(F.col("body")))
+    return t.select("template", "license", F.size("words").alias("n"), F.array_distinct(pairs(F.col("words"))).alias("grams")).withColumn("size", F.size("grams"))
 
 
 def matches(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", rows=TEMPLATES) -> DataFrame:
-    """(doc_id, line, license, template, dice): units that reach the threshold; line -1 is the whole text.
-
-    A whole text is a unit only if it has more than one line.
-    """
-    spark = docs.sparkSession
-    known = templates(spark, rows)
-    sizes = [r["size"] for r in known.select("size").collect()]
-    bound = (2 - threshold) / threshold
-    low, high = min(sizes) / bound, max(sizes) * bound
-    lines = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("unit")))
-    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.col(text).alias("unit")))).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
-    rows_of = docs.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.concat(lines, whole).alias("all"))
-    units = rows_of.select("doc_id", "row", F.explode("all").alias("u"))
-    # explode(array(x)) keeps a filter on x from being moved below and evaluated anew for each element
-    units = units.select("doc_id", "row", "u.line", F.explode(F.array(normal_words(F.col("u.unit")))).alias("words")).where(F.size("words") - 1 >= low)
-    units = units.select("doc_id", "row", "line", F.explode(F.array(bigrams(F.col("words")))).alias("grams")).withColumn("size", F.size("grams")).where(F.col("size").between(low, high))
-    posting = F.broadcast(known.select("template", "license", F.col("size").alias("t_size"), F.explode("grams").alias("gram")))
-    met = units.select("doc_id", "row", "line", "size", F.explode("grams").alias("gram")).join(posting, "gram").where((F.col("size") <= bound * F.col("t_size")) & (F.col("t_size") <= bound * F.col("size")))
-    both = met.groupBy("row", "doc_id", "line", "size", "template", "license", "t_size").agg(F.count(F.lit(1)).alias("both"))
-    scored = both.withColumn("dice", 2 * F.col("both") / (F.col("size") + F.col("t_size"))).where(F.col("dice") >= threshold)
-    return scored.select(F.col("doc_id").alias(doc_id), "row", "line", "license", "template", "dice")
+    """(doc_id, row, start, end, license, template, dice): the units that count, in words."""
+    known = templates(docs.sparkSession, rows)
+    grams = sorted({g for r in known.select("grams").collect() for g in r["grams"]})
+    share = threshold / (2 - threshold)
+    texts = docs.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), normal_words(F.col(text)).alias("words"))
+    # explode(array(x)) keeps an expression from being moved into the next ones and evaluated anew there
+    texts = texts.select("row", "doc_id", F.explode(F.array(pairs(F.col("words")))).alias("g"))
+    places = F.filter(F.transform("g", lambda g, i: F.when(g.isin(grams), i)), lambda i: i.isNotNull())
+    texts = texts.select("row", "doc_id", "g", F.explode(F.array(places)).alias("at")).where(F.size("at") > 0)
+    texts = texts.withColumn("met", F.array_distinct(F.transform("at", lambda i: F.get("g", i))))
+    every = known.agg(F.collect_list(F.struct("template", "license", "n", "grams", "size")).alias("every"))  # one row
+    texts = texts.crossJoin(F.broadcast(every))
+    fits = F.filter("every", lambda t: F.size(F.array_intersect("met", t["grams"])) >= t["size"] * share)
+    texts = texts.select("row", "doc_id", "g", "at", F.explode(fits).alias("t"))
+    starts = F.filter("at", lambda i: F.array_contains("t.grams", F.get("g", i)))
+    n = F.col("t.n")
+    lengths = F.array_distinct(F.array(F.ceil(n / STRETCH).cast("int"), n, F.floor(n * STRETCH).cast("int")))
+    units = texts.select("row", "doc_id", "g", "t", F.explode(starts).alias("start"), lengths.alias("lengths")).withColumn("length", F.explode("lengths"))
+    units = units.select("row", "doc_id", "t", "start", F.explode(F.array(F.slice("g", F.col("start") + 1, F.col("length") - 1))).alias("unit"))
+    units = units.select("row", "doc_id", "t", "start", (F.col("start") + F.size("unit") + 1).alias("end"), F.explode(F.array(F.array_distinct("unit"))).alias("unit"))
+    dice = 2 * F.size(F.array_intersect("unit", "t.grams")) / (F.size("unit") + F.col("t.size"))
+    units = units.select("row", "doc_id", "start", "end", "t.license", "t.template", dice.alias("dice")).where(F.col("dice") >= threshold)
+    # the units of one text, best first: one counts if none before it overlaps it
+    best = F.array_sort(F.collect_set(F.struct((-F.col("dice")).alias("less"), "start", "end", "license", "template")))
+    each = units.groupBy("row", "doc_id").agg(best.alias("u"))
+    free = F.filter("u", lambda x, i: ~F.exists(F.slice("u", 1, i), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    found = each.select("row", "doc_id", F.inline(free))
+    return found.select(F.col("doc_id").alias(doc_id), "row", "start", "end", "license", "template", (-F.col("less")).alias("dice"))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", rows=TEMPLATES) -> DataFrame:
-    """(doc_id, licenses, best, best_dice, n_units) of each row with a match; a unit counts for its best template only."""
+    """(doc_id, licenses, best, best_dice, n_units) of each row with a match."""
     found = matches(docs, threshold, doc_id, text, rows)
-    units = found.groupBy("row", doc_id, "line").agg(F.min(F.struct((-F.col("dice")).alias("d"), F.col("license").alias("l"))).alias("top"))
-    per = units.groupBy("row", doc_id).agg(F.array_sort(F.collect_set("top.l")).alias("licenses"), F.min("top").alias("top"), F.count(F.lit(1)).alias("n_units"))
+    per = found.groupBy("row", doc_id).agg(F.array_sort(F.collect_set("license")).alias("licenses"), F.min(F.struct((-F.col("dice")).alias("d"), F.col("license").alias("l"))).alias("top"), F.count(F.lit(1)).alias("n_units"))
     return per.select(doc_id, "licenses", F.col("top.l").alias("best"), F.round(-F.col("top.d"), 6).alias("best_dice"), "n_units")

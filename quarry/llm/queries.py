@@ -27,7 +27,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     trained = langid.train(docs.where(~held_out))
-    return langid.predict(docs, trained).withColumn("held_out", held_out)
+    found = langid.predict(docs, trained).withColumn("held_out", held_out)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 @query
@@ -100,18 +101,18 @@ def _quoted(x: str) -> str:
 
 ORACLE["op3_license_scan"] = f"""
 with given(template, license, body) as (values {', '.join(f'({k}, {_quoted(n)}, {_quoted(t)})' for k, (n, t) in enumerate(licenses.TEMPLATES))}),
-units as (
-  select doc_id, unnest(string_split(text, chr(10))) as unit, unnest(range(len(string_split(text, chr(10))))) as line from documents where text is not null
-  union all select doc_id, text, -1 from documents where contains(text, chr(10))),
-words as (select doc_id, line, list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as w from units),
-t_words as (select template, license, list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as w from given),
-u as (select doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from words where len(w) > 1 and len(w) < 400),
-t as (select template, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from t_words),
-scored as (
-  select doc_id, line, license, 2 * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) as dice
-  from u join t on len(u.g) <= {(2 - licenses.THRESHOLD) / licenses.THRESHOLD!r} * len(t.g) and len(t.g) <= {(2 - licenses.THRESHOLD) / licenses.THRESHOLD!r} * len(u.g)),
-best as (select doc_id, line, license, dice from scored where dice >= {licenses.THRESHOLD} qualify row_number() over (partition by doc_id, line order by dice desc, license) = 1)
-select doc_id, list_sort(list(distinct license)) as licenses, first(license order by dice desc, license) as best, round(max(dice), 6) as best_dice, count(*) as n_units from best group by doc_id
+w as (select row_number() over () as row, doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as w from documents where text is not null),
+d as (select row, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as g from w where len(w) > 1),
+tw as (select template, license, list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as w from given),
+t as (select template, license, len(w) as n, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as tg from tw),
+c as (select row, doc_id, g, template, license, n, tg from d join t on len(list_intersect(g, tg)) >= len(tg) * {licenses.THRESHOLD / (2 - licenses.THRESHOLD)!r}),
+p as (select *, unnest(list_filter(range(1, len(g) + 1), lambda i: list_contains(tg, g[i]))) as p, list_distinct([ceil(n / {licenses.STRETCH})::int, n::int, floor(n * {licenses.STRETCH})::int]) as ns from c),
+l as (select *, unnest(ns) as n2 from p),
+u as (select row, doc_id, template, license, tg, p, least(p + n2 - 2, len(g)) + 2 as e, list_distinct(g[p : p + n2 - 2]) as u from l),
+s as (select distinct row, doc_id, template, license, p, e, 2 * len(list_intersect(u, tg)) / (len(u) + len(tg)) as dice from u),
+r as (select *, row_number() over (partition by row order by dice desc, p, e, license, template) as k from s where dice >= {licenses.THRESHOLD}),
+kept as (select * from r a where not exists (select 1 from r b where b.row = a.row and b.k < a.k and b.p < a.e and a.p < b.e))
+select doc_id, list_sort(list(distinct license)) as licenses, first(license order by dice desc, license) as best, round(max(dice), 6) as best_dice, count(*) as n_units from kept group by row, doc_id
 """
 
 #: Weights of the mix: source families, then languages, then single sources.
