@@ -91,3 +91,33 @@ def text_diff(df: DataFrame, keys: list[str], old: str, new: str, most: int = 20
 
     made = df.select(*keys, diff(old, new).alias("diff"))
     return made.select(*keys, F.slice("diff", 1, most).alias("diff"), (F.size("diff") > most).alias("truncated"))
+
+
+def mentions(docs: DataFrame, names: DataFrame, doc: str, text: str, entity: str, longest: int = 4) -> DataFrame:
+    """(doc, entity, start, length): where a name of ``names(entity, name)`` stands in a text, in words.
+
+    Names of up to ``longest`` words meet the texts' runs of words by an equi-join. Longer names take their words
+    first, then earlier ones; words taken are in no other mention. A name of several entities is a mention of each.
+    """
+    known = names.select(entity, F.array_join(tx.words(F.col("name")), " ").alias("phrase"), F.size(tx.words(F.col("name"))).alias("length"))
+    known = known.where(F.col("length").between(1, longest)).groupBy("phrase", "length").agg(F.sort_array(F.collect_set(entity)).alias("entities"))
+    runs = lambda ws: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0))), lambda i: i + n <= F.size(ws)), lambda i: F.struct(i.alias("start"), F.array_join(F.slice(ws, i + 1, n), " ").alias("phrase")))))
+    found = docs.select(doc, F.inline(tx.let(tx.words(F.col(text)), runs))).join(known, "phrase")
+    every = found.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("less"), "start", "length", "entities"))).alias("m"))
+    first = F.slice("m", 1, 0)
+
+    def take(taken, x):
+        free = ~F.exists(taken, lambda y: (y["start"] < x["start"] + x["length"]) & (x["start"] < y["start"] + y["length"]))
+        return F.when(free, F.concat(taken, F.array(x))).otherwise(taken)
+
+    chosen = every.select(doc, F.inline(F.aggregate("m", first, take)))
+    return chosen.select(doc, F.explode("entities").alias(entity), "start", "length")
+
+
+def grounded(answer: Column, evidence: Column) -> Column:
+    """The sentences of an answer whose acronyms, course numbers and titled names all stand in the evidence."""
+    number = lambda s: F.regexp_extract_all(s, F.lit("[A-Z]{2,4}[- ]?([0-9]{3})"), F.lit(1))
+    acronym = lambda s: F.regexp_extract_all(s, F.lit("(?:^|[^A-Za-z0-9])([A-Z]{2,6})(?:$|[^A-Za-z0-9-])"), F.lit(1))
+    person = lambda s: F.regexp_extract_all(s, F.lit("(?:Dr|Prof|Mr|Ms|Mrs|Engr)[.]? ([A-Z][A-Za-z]{2,})"), F.lit(1))
+    held = lambda found: F.forall(found, lambda x: F.contains(evidence, x))
+    return F.filter(tx.sentences(answer), lambda s: held(number(s)) & held(acronym(s)) & held(person(s)))

@@ -142,8 +142,14 @@ def snippet(text: Column, n: int = 240) -> Column:
     return F.left(one_space(F.regexp_replace(text, "[*#|`]", "")), F.lit(n))
 
 
+# What a full stop after it does not end.
+TITLES = ["Dr", "Mr", "Ms", "Mrs", "Prof", "Engr", "vs"]
+_SENTENCE_END = "(?<=[.!?])(?<!\\b(?:" + "|".join(TITLES) + ")\\.)(?<!\\be\\.g\\.)(?<!\\bi\\.e\\.)(?<!\\b[A-Z]\\.)\\s+"
+
+
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "(?<=[.!?])\\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    """Sentences; a title or an initial ends none."""
+    return F.filter(F.transform(F.split(text, _SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def fixed_chunks(text: Column, size: int, overlap: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities as en
 from ..functions import text as tx
+from ..operators import joins
 from ..tables import load
 from .registry import query
 
@@ -79,3 +80,37 @@ def text_diff(spark, d):
     c = load(spark, d, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     return en.text_diff(c.withColumn("before", before).where("before is not null"), ["conv_id", "turn"], "before", "text")
+
+
+@query()
+def mention_resolve(spark, d):
+    """The opening words of benchmark items as names, in every document."""
+    opening = lambda n: F.array_join(F.slice(tx.words(F.col("text")), 1, n), " ")
+    names = load(spark, d, "benchmark").select("item_id", F.explode(F.array(opening(2), opening(4))).alias("name")).distinct()
+    return en.mentions(load(spark, d, "documents"), names, "doc_id", "text", "item_id")
+
+
+@query()
+def ground_sentences(spark, d):
+    """What an assistant's turn keeps if the turn before it is the evidence; one sentence in three is made to name what nobody said."""
+    c = load(spark, d, "conversations")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    claim = F.when(F.col("turn") % 3 == 0, " Dr. Nobody of XYZ teaches CS-999. It stays.").otherwise(" It stays.")
+    c = c.withColumn("before", before).where("before is not null").select("conv_id", "turn", "before", F.concat("text", F.lit("."), claim).alias("answer"))
+    return c.select("conv_id", "turn", F.array_join(en.grounded(F.col("answer"), F.col("before")), " ").alias("kept"))
+
+
+_SESSIONS = "s as (select event_id, isodow(ts)::int as weekday, hour(ts) * 60 + minute(ts) as start, user_id % 25 as key, chr((65 + event_id % 4)::int) as section from events)"
+_CLASSES = "c as (select s_suppkey as class_id, s_suppkey % 25 as key, s_nationkey % 3 as program, s_suppkey % 8 + 1 as semester, [chr((65 + s_suppkey % 4)::int), chr((66 + s_suppkey % 4)::int)] as sections from supplier)"
+
+
+@query(f"""with {_SESSIONS}, {_CLASSES}, j as (select s.*, c.class_id, c.program, c.semester, list_contains(c.sections, s.section) as ok from s join c using (key) where weekday in (1, 3, 5) and start - 20 <= 660 and 660 < start + 90),
+r as (select * from j qualify ok or not bool_or(ok) over (partition by event_id)) select event_id, class_id from r where program = 1 and semester in (1, 2, 3, 4)""")
+def tt_select(spark, d):
+    """Sessions of the days and minute asked for, with the classes of their section (all of the course, if none has it), of the program and semesters asked for."""
+    s = load(spark, d, "events").select("event_id", ((F.dayofweek("ts") + 5) % 7 + 1).alias("weekday"), (F.hour("ts") * 60 + F.minute("ts")).alias("start"), (F.col("user_id") % 25).alias("key"), F.char(65 + F.col("event_id") % 4).alias("section"))
+    k = F.col("s_suppkey")
+    c = load(spark, d, "supplier").select(k.alias("class_id"), (k % 25).alias("key"), (F.col("s_nationkey") % 3).alias("program"), (k % 8 + 1).alias("semester"), F.array(F.char(65 + k % 4), F.char(66 + k % 4)).alias("sections"))
+    asked = s.where("weekday in (1, 3, 5) and start - 20 <= 660 and 660 < start + 90")
+    rows = joins.fallback_join(asked, c, ["key"], "event_id", F.array_contains("sections", F.col("section")))
+    return rows.where("program = 1 and semester in (1, 2, 3, 4)").select("event_id", "class_id")

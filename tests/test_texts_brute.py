@@ -20,7 +20,8 @@ def words(t):
 
 
 def sentences(t):
-    return [x for x in (s.strip(" ") for s in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", t)) if x]
+    guard = r"(?<!\bDr\.)(?<!\bMr\.)(?<!\bMs\.)(?<!\bMrs\.)(?<!\bProf\.)(?<!\bEngr\.)(?<!\bvs\.)(?<!\be\.g\.)(?<!\bi\.e\.)(?<!\b[A-Z]\.)"
+    return [x for x in (s.strip(" ") for s in re.split(rf"(?<=[.!?]){guard}[ \t\n\x0b\f\r]+", t)) if x]
 
 
 def test_rouge_l(spark, sf):
@@ -117,3 +118,27 @@ def test_split_passages_cover(spark, sf, texts):
     for i, t in texts.items():
         assert all(len(x) <= 1000 and x in t for x in got[i])
         assert set(t.split()) <= {w for x in got[i] for w in x.split()} | {w for w in t.split() if len(w) > 100}
+
+
+def test_mentions(spark, sf, texts):
+    names = defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r["text"])
+        for n in (2, 4):
+            names[tuple(w[:n])].add(r["item_id"])
+    got = defaultdict(set)
+    for r in QUERIES["mention_resolve"](spark, sf).collect():
+        got[r["doc_id"]].add((r["item_id"], r["start"], r["length"]))
+    for i, t in texts.items():
+        w, taken, want = words(t), set(), set()
+        for n in (4, 3, 2, 1):
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in names and not taken & set(range(k, k + n)):
+                    taken |= set(range(k, k + n))
+                    want |= {(e, k, n) for e in names[tuple(w[k : k + n])]}
+        assert got[i] == want
+
+
+def test_grounding(spark, sf):
+    for r in QUERIES["ground_sentences"](spark, sf).collect():
+        assert r["kept"].endswith("It stays.") and "Nobody" not in r["kept"]
