@@ -41,7 +41,7 @@ from .graph import components
 MISS = 1e-6
 #: Members of a family in a chunk; two chunks are compared in a cell of their own.
 CELL = 256
-MEMO = 200_000
+MEMO = 100_000
 
 
 def banding(threshold: float, rows: int | None = None) -> tuple[int, int]:
@@ -95,8 +95,8 @@ class MinMax:
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         """The bands' hashes as int64."""
         low, high = np.full(len(self.a), 2**64 - 1, np.uint64), np.zeros(len(self.a), np.uint64)
-        for k in range(0, len(shingles), 8192):
-            x = shingles[k : k + 8192, None] * self.a[None, :] + self.b[None, :]
+        for k in range(0, len(shingles), 2048):
+            x = shingles[k : k + 2048, None] * self.a[None, :] + self.b[None, :]
             np.minimum(low, x.min(0), out=low)
             np.maximum(high, x.max(0), out=high)
         values = np.stack([low, high], 1).reshape(self.bands, self.rows)
