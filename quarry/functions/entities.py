@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -82,6 +82,46 @@ def nearest_name(asked: DataFrame, names: DataFrame, query: str, item: str, leas
     return best.select(query, F.col("b.item").alias(item), F.round(-F.col("b.less"), 6).alias("ratio"))
 
 
+def _names(asked: DataFrame, names: DataFrame, query: str, item: str, shortest: int, skip: list[str]):
+    """(held, by_word, said): each name's words, a row for each of them, and each text's words with the number of names that have them, rarest first."""
+    found = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) >= shortest) & ~w.isin(skip)))
+    held = names.select(item, found(F.col("name")).alias("held"))
+    by_word = held.select(item, F.explode("held").alias("word"))
+    owners = by_word.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    said = asked.select(query, F.explode(found(F.col("text"))).alias("word")).join(owners, "word", "left")
+    return held, by_word, said.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("said"))  # as many as the text has
+
+
+def people(asked: DataFrame, names: DataFrame, query: str, item: str, most: int = 3) -> DataFrame:
+    """(query, item, score): the ``most`` best of ``names(item, name)`` for each ``asked(query, text)``.
+
+    A word of a name counts two if no other name has it, else one; a name needs a word of its own or three shared ones.
+    So texts meet names by their words of one owner and by all other words but the two most frequent, which loses none.
+    Ties go to the lesser item. Null texts and names have no words; a repeated (query, item) counts once.
+    """
+    held, by_word, said = _names(asked, names, query, item, 3, tx.TITLE_WORDS)
+    known = said.select(query, F.filter("said", lambda s: s["n"].isNotNull()).alias("said"))
+    rare = known.select(query, "said", F.explode(F.filter("said", lambda s, i: (s["n"] == 1) | (i < F.size("said") - 2))).alias("by"))
+    met = rare.select(query, "said", F.col("by.word").alias("word")).join(by_word, "word").dropDuplicates([query, item]).join(held, item)
+    met = met.select(query, item, F.filter("said", lambda s: F.array_contains("held", s["word"])).alias("both"))
+    own = F.size(F.filter("both", lambda s: s["n"] == 1))
+    met = met.withColumn("score", F.size("both") + own).where((own > 0) | (F.size("both") >= 3))
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), item))
+    return met.withColumn("_rank", rank).where(F.col("_rank") <= most).select(query, item, "score")
+
+
+def partial_names(asked: DataFrame, names: DataFrame, query: str, item: str, skip: list[str], most: int = 2) -> DataFrame:
+    """(query, item): the names that hold all of a text's words of four letters or more, if it has two such words and ``most`` names fit at most.
+
+    Texts meet names by their rarest word. A word in no name fits none; null texts and names have no words.
+    """
+    held, by_word, said = _names(asked, names, query, item, 4, skip)
+    full = said.where((F.size("said") >= 2) & F.forall("said", lambda s: s["n"].isNotNull()))
+    met = full.select(query, "said", F.get("said", F.lit(0))["word"].alias("word")).join(by_word, "word").join(held, item)
+    fits = met.where(F.forall("said", lambda s: F.array_contains("held", s["word"]))).select(query, item).distinct()
+    return fits.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(query))).where(F.col("_n") <= most).drop("_n")
+
+
 def text_diff(df: DataFrame, keys: list[str], old: str, new: str, most: int = 2000) -> DataFrame:
     """(keys, diff, truncated): the unified line diff of two texts, of ``most`` lines at most, as the report is defined."""
 

@@ -94,6 +94,14 @@ def tokens_sql(text: str) -> str:
     return f"list_concat(flatten(list_transform({runs}, lambda r: list_concat({whole}, {parts}))), list_transform({pairs}, lambda c: {canonical('c[1]', 'c[2]')}))"
 
 
+def code_list_sql(text: str) -> str:
+    """The codes of a text in the SQL that checks ``codes``, repeated ones too; word borders and \\s know ASCII only there."""
+    ascii_only = f"regexp_replace(regexp_replace({text}, '[^\\x00-\\x7F\\p{{L}}\\p{{N}}]', ' ', 'g'), '[^\\x00-\\x7F]', '__', 'g')"
+    part = lambda g: f"regexp_extract_all({ascii_only}, '{CODE.removeprefix('(?U)')}', {g})"
+    skip = "[" + ", ".join(f"'{w}'" for w in NO_CODES) + "]"
+    return f"list_transform(list_filter(list_zip({part(1)}, {part(2)}), lambda c: not list_contains({skip}, upper(c[1]))), lambda c: upper((case when upper(c[1]) = 'CS' then 'CSC' else c[1] end) || '-' || c[2]))"
+
+
 def evidence_tokens(text: Column, stop: list[str]) -> Column:
     """Word runs (with a number after a hyphen) that are no stop words and more than a letter, without a plural s."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[\\p{L}\\p{N}_]+(?:-[0-9]{3})?"), F.lit(0))
@@ -144,6 +152,8 @@ def snippet(text: Column, n: int = 240) -> Column:
 
 # What a full stop after it does not end.
 TITLES = ["Dr", "Mr", "Ms", "Mrs", "Prof", "Engr", "vs"]
+# The same in a list of words, with what else goes before a name.
+TITLE_WORDS = ["dr", "mr", "ms", "mrs", "prof", "professor", "engr", "sir", "madam"]
 _SENTENCE_END = "(?<=[.!?])(?<!\\b(?:" + "|".join(TITLES) + ")\\.)(?<!\\be\\.g\\.)(?<!\\bi\\.e\\.)(?<!\\b[A-Z]\\.)\\s+"
 
 

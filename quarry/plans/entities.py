@@ -114,3 +114,61 @@ def tt_select(spark, d):
     asked = s.where("weekday in (1, 3, 5) and start - 20 <= 660 and 660 < start + 90")
     rows = joins.fallback_join(asked, c, ["key"], "event_id", F.array_contains("sections", F.col("section")))
     return rows.where("program = 1 and semester in (1, 2, 3, 4)").select("event_id", "class_id")
+
+
+_ASKED = """n as (select p_partkey, p_name || ' ' || translate(lpad(p_partkey::varchar, 3, '0'), '0123456789', 'abcdefghij') as name from part where p_name is not null),
+q as (select p_partkey as query_id, case when p_partkey % 40 = 0 then 'Who is Dr. ' || name else 'Show me the ' || upper(name) || ' and small red gear' end as text from n where p_partkey % 20 = 0)"""
+_found = lambda c, n, skip: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z]+'), lambda w: length(w) >= {n} and not list_contains([{', '.join(map(repr, skip))}], w)))"
+
+
+@query(f"""with {_ASKED}, nw as (select p_partkey, unnest({_found('name', 3, tx.TITLE_WORDS)}) as word from n), o as (select word, count(*) as n from nw group by 1),
+qw as (select query_id, unnest({_found('text', 3, tx.TITLE_WORDS)}) as word from q),
+s as (select query_id, p_partkey, sum(case when o.n = 1 then 2 else 1 end)::int as score, bool_or(o.n = 1) as own, count(*) as c from qw join nw using (word) join o using (word) group by 1, 2),
+r as (select *, row_number() over (partition by query_id order by score desc, p_partkey) as k from s where own or c >= 3),
+pn as (select p_partkey, {_found('name', 4, tx.STOP_WORDS)} as held from n), pq as (select query_id, {_found('text', 4, tx.STOP_WORDS)} as said from q),
+f as (select query_id, p_partkey, count(*) over (partition by query_id) as k from pq join pn on len(said) >= 2 and list_has_all(held, said))
+select query_id, 'person' as kind, p_partkey, score from r where k <= 3 union all select query_id, 'partial', p_partkey, null from f where k <= 2""")
+def entity_match(spark, d):
+    """People by the words of their names and things by a part of theirs, for every id divisible by 20, against all names."""
+    k = F.col("p_partkey")
+    own = F.translate(F.lpad(k.cast("string"), 3, "0"), "0123456789", "abcdefghij")
+    n = load(spark, d, "part").where("p_name is not null").select("p_partkey", F.concat_ws(" ", "p_name", own).alias("name"))
+    text = F.when(k % 40 == 0, F.concat(F.lit("Who is Dr. "), "name")).otherwise(F.concat(F.lit("Show me the "), F.upper("name"), F.lit(" and small red gear")))
+    q = n.where("p_partkey % 20 = 0").select(k.alias("query_id"), text.alias("text"))
+    who = en.people(q, n, "query_id", "p_partkey").select("query_id", F.lit("person").alias("kind"), "p_partkey", "score")
+    return who.union(en.partial_names(q, n, "query_id", "p_partkey", tx.STOP_WORDS).select("query_id", F.lit("partial"), "p_partkey", F.lit(None).cast("int")))
+
+
+_SCHEDULE = """i as (select l_orderkey as o_orderkey, list_sort(list(distinct s_name)) as instructors from lineitem join supplier on s_suppkey = l_suppkey where s_acctbal > 0 group by 1),
+v as (select o_orderkey, o_orderpriority as session, dayname(o_orderdate) as day_of_week, o_orderkey % 8 as slot, 'R' || o_custkey % 50 as room, 'CSC-' || (o_custkey % 900 + 100) as code, coalesce(instructors, []) as instructors
+  from orders left join i using (o_orderkey) where o_orderstatus <> 'P')"""
+
+
+def _schedule(spark, d):
+    """The active entries of a timetable with their active instructors' names, sorted; none for an entry without."""
+    names = load(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    links = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey").join(names, "l_suppkey")
+    taught = links.groupBy("o_orderkey").agg(F.sort_array(F.collect_set("s_name")).alias("instructors"))  # the few of one entry
+    room, code = F.concat(F.lit("R"), (F.col("o_custkey") % 50).cast("string")), F.concat(F.lit("CSC-"), (F.col("o_custkey") % 900 + 100).cast("string"))
+    o = load(spark, d, "orders").where("o_orderstatus <> 'P'")
+    o = o.select("o_orderkey", F.col("o_orderpriority").alias("session"), F.date_format("o_orderdate", "EEEE").alias("day_of_week"), (F.col("o_orderkey") % 8).alias("slot"), room.alias("room"), code.alias("code"))
+    return o.join(taught, "o_orderkey", "left").withColumn("instructors", F.coalesce("instructors", F.array().cast("array<string>")))
+
+
+@query(f"with {_SCHEDULE} select * from v")
+def v_schedule(spark, d):
+    return _schedule(spark, d)
+
+
+@query(f"with {_SCHEDULE} select code, slot, room, list_sort(list_distinct(flatten(list(instructors)))) as instructors from v where day_of_week = 'Monday' and session = '2-HIGH' group by 1, 2, 3")
+def courses_by_day(spark, d):
+    """The courses of one day and session; entries of one course, slot and room are one row."""
+    day = _schedule(spark, d).where("day_of_week = 'Monday' and session = '2-HIGH'")
+    return day.groupBy("code", "slot", "room").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("instructors")))).alias("instructors"))
+
+
+@query(f"with {_SCHEDULE} select day_of_week, slot, code, room, session from v where code ilike '%r1%' or room ilike '%r1%'")
+def search_schedule(spark, d):
+    """Entries whose code or room holds the term, whatever its case."""
+    held = F.col("code").ilike("%r1%") | F.col("room").ilike("%r1%")
+    return _schedule(spark, d).where(held).select("day_of_week", "slot", "code", "room", "session")

@@ -228,3 +228,24 @@ def gold_contains(spark, d):
     grams = words.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 4), " ")))).alias("k"))
     met = grams.select("doc_id", "k").join(b, "k").join(words.select("doc_id", "text"), "doc_id")
     return met.where(F.contains("text", "gold")).select("item_id", "doc_id").distinct()
+
+
+_CODED = "text || ' See CS-' || lpad((doc_id % 900 + 100)::varchar, 3, '0') || ', math ' || (doc_id % 7 + 200) || ' and csc' || (doc_id % 900 + 100) || ' in ROOM 101.'"
+
+
+@query(f"""with c as (select doc_id, {tx.code_list_sql(_CODED)} as c from documents) select doc_id, list_filter(c, lambda x, i: list_position(c, x) = i) as codes from c""")
+def extract_codes(spark, d):
+    """Codes of every text, each of which names a course twice, another once and a room."""
+    k = F.col("doc_id")
+    said = F.concat("text", F.format_string(" See CS-%03d, math %d and csc%d in ROOM 101.", k % 900 + 100, k % 7 + 200, k % 900 + 100))
+    return load(spark, d, "documents").select("doc_id", tx.codes(said).alias("codes"))
+
+
+@query()
+def sentences(spark, d):
+    return load(spark, d, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query()
+def reflow(spark, d):
+    return chunks.explode(load(spark, d, "documents"), "doc_id", "text", lambda t: [("", x) for x in [chunks.reflow(t)] if x]).drop("heading", "ord")

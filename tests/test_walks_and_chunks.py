@@ -151,3 +151,38 @@ def test_shared_folder_is_not_local_on_a_cluster(spark, monkeypatch):
     store.release(t)
     with pytest.raises(Exception):
         t.collect()
+
+
+def test_reflow():
+    wrapped = "The rules of the depart-\nment are\nprinted here.\nThey hold.\n\n\n1. First\n(a) a clause that\ngoes on\nTABLE OF FEES\nAdmission 5000\nTuition 100\n"
+    want = "The rules of the department are printed here.\nThey hold.\n\n1. First\n(a) a clause that goes on\nTABLE OF FEES\nAdmission 5000\nTuition 100\n"
+    assert chunks.reflow(wrapped) == want
+    assert chunks.reflow(None) is None and chunks.reflow("") == "" and chunks.reflow("\n \na") == "a"
+    assert chunks.reflow("x\n" * 50_000).count("x x") == 25_000
+
+
+def test_sentences(spark):
+    text = "Dr. Ali met Prof. Khan.  J. Smith left, e.g. early! Really? Yes."
+    assert spark.range(1).select(tx.sentences(F.lit(text)).alias("s")).first()["s"] == ["Dr. Ali met Prof. Khan.", "J. Smith left, e.g. early!", "Really?", "Yes."]
+
+
+def test_people_and_partial_names(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["anna", "ben", "carl", "dora", "emil", "fritz", "gerd", "hans", "ida", "jens"]
+    names = [(k, " ".join(rng.choice(vocabulary, rng.integers(1, 5)))) for k in range(30)] + [(30, "unique name"), (31, None), (31, None)]
+    asked = [(k, "Dr. " + " ".join(rng.choice([*vocabulary, "zeno", "unique"], rng.integers(1, 6)))) for k in range(60)] + [(60, None), (61, "")]
+    n, q = spark.createDataFrame(names, "item long, name string"), spark.createDataFrame(asked, "query long, text string")
+    held = {k: set((x or "").split()) for k, x in names}
+    owners = {w: sum(w in h for h in held.values()) for h in held.values() for w in h}
+    people, partial = set(), set()
+    for k, t in asked:
+        said = set((t or "").lower().replace(".", "").split()) - {"dr"}
+        met = {i: said & h for i, h in held.items()}
+        scored = sorted((-len(m) - sum(owners[w] == 1 for w in m), i) for i, m in met.items() if len(m) >= 3 or any(owners[w] == 1 for w in m))
+        people |= {(k, i, -s) for s, i in scored[:3]}
+        content = {w for w in said if len(w) >= 4}
+        fits = [i for i, h in held.items() if content <= {w for w in h if len(w) >= 4}] if len(content) >= 2 else []
+        partial |= {(k, i) for i in fits} if len(fits) <= 2 else set()
+    assert people and partial
+    assert {tuple(r) for r in entities.people(q, n, "query", "item").collect()} == people
+    assert {tuple(r) for r in entities.partial_names(q, n, "query", "item", []).collect()} == partial
