@@ -116,7 +116,7 @@ def tt_select(spark, d):
     return rows.where("program = 1 and semester in (1, 2, 3, 4)").select("event_id", "class_id")
 
 
-_ASKED = """n as (select p_partkey, p_name || ' ' || translate(lpad(p_partkey::varchar, 3, '0'), '0123456789', 'abcdefghij') as name from part where p_name is not null),
+_ASKED = """n as (select p_partkey, p_name || ' ' || translate(lpad(p_partkey::varchar, 12, '0'), '0123456789', 'abcdefghij') as name from part where p_name is not null),
 q as (select p_partkey as query_id, case when p_partkey % 40 = 0 then 'Who is Dr. ' || name when p_partkey % 60 = 20 then 'Show me ' || name else 'Show me the ' || upper(name) || ' and small red gear' end as text from n where p_partkey % 20 = 0)"""
 _found = lambda c, n, skip: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z]+'), lambda w: length(w) >= {n} and not list_contains([{', '.join(map(repr, skip))}], w)))"
 
@@ -131,7 +131,7 @@ select query_id, 'person' as kind, p_partkey, score from r where k <= 3 union al
 def entity_match(spark, d):
     """People by the words of their names and things by a part of theirs, for every id divisible by 20, against all names."""
     k = F.col("p_partkey")
-    own = F.translate(F.lpad(k.cast("string"), 3, "0"), "0123456789", "abcdefghij")
+    own = F.translate(F.lpad(k.cast("string"), 12, "0"), "0123456789", "abcdefghij")
     n = load(spark, d, "part").where("p_name is not null").select("p_partkey", F.concat_ws(" ", "p_name", own).alias("name"))
     text = F.when(k % 40 == 0, F.concat(F.lit("Who is Dr. "), "name")).when(k % 60 == 20, F.concat(F.lit("Show me "), "name")).otherwise(F.concat(F.lit("Show me the "), F.upper("name"), F.lit(" and small red gear")))
     q = n.where("p_partkey % 20 = 0").select(k.alias("query_id"), text.alias("text"))
