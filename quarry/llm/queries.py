@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, linededup, minhash, mixing, pii, quality, sstable, suffix
+from . import decontam, langid, licenses, linededup, minhash, mixing, pii, quality, ranking, sstable, suffix, vectorcodes, vectordedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -165,3 +166,69 @@ ORACLE["op5_source_mixing"] = _mix_sql()
 @query
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(books.text().encode()).hexdigest()
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = vectorcodes.PARTS, entries: int = vectorcodes.ENTRIES, rounds: int = vectorcodes.ROUNDS, scale: int = vectorcodes.SCALE) -> str:
+    """Codebooks of each round as a table (part, entry, c), the assignment to them as another."""
+    square = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"near{k} as materialized (select r, part, x, entry, d::bigint as d from (select r, part, x, entry, {square} as d from p join book{k} using (part)) qualify row_number() over (partition by r, part order by d, entry) = 1)")
+        if k < rounds:
+            steps.append(f"sum{k} as (select part, entry, pos, sum(v)::bigint as s, count(*) as n from (select part, entry, unnest(x) as v, generate_subscripts(x, 1) as pos from near{k}) group by 1, 2, 3)")
+            steps.append(f"mean{k} as (select part, entry, list((s - ((s % n) + n) % n) // n order by pos) as m from sum{k} group by 1, 2)")
+            steps.append(f"book{k + 1} as materialized (select part, entry, coalesce(m, c) as c from book{k} left join mean{k} using (part, entry))")
+    return f"""
+with kept as (select row_number() over (order by vec_id nulls last, embedding) as r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+p as materialized (select r, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] as x from kept, range({parts}) t(part)),
+book0 as (select part, r - 1 as entry, x as c from p where r <= {entries}), {", ".join(steps)},
+coded as (select r, string_agg(printf('%02x', entry), '' order by part) as code, sum(d)::bigint as error from near{rounds} group by 1),
+digest as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as codebooks_sha256 from book{rounds})
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from kept join coded using (r), digest
+"""
+
+
+ORACLE["op11_vector_codes"] = _codes_sql()
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE["op12_ranked_search"] = f"""
+with d as (select row_number() over () as r, doc_id, {_TERMS} as w from documents), held as (select * from d where len(w) > 0),
+st as (select count(*) as n_docs, sum(len(w)) as n_terms from held),
+post as (select r, term, count(*) as tf from (select r, unnest(w) as term from held) group by 1, 2), df as (select term, count(*) as df from post group by 1),
+norm as (select r, doc_id, ({100 - ranking.B} + (({ranking.B} * len(w) * n_docs) // n_terms))::bigint as m from held, st),
+weight as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint as w from df, st),
+asked as (select item_id, term, count(*) as times from (select item_id, unnest({_TERMS}) as term from benchmark) group by 1, 2),
+s as (select item_id, r, any_value(doc_id) as doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from asked join weight using (term) join post using (term) join norm using (r) group by 1, 2),
+t as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last, r)::int as rank from s where score > 0)
+select item_id, rank, doc_id, score from t where rank <= 10
+"""
+
+
+@query
+def op13_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op13_vector_near_dedup"] = """
+with recursive rows as (select row_number() over () as r, vec_id, embedding::double[] as v from embeddings),
+good as (select r, vec_id, v from rows where vec_id is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+links as materialized (select a.r as a, b.r as b from good a join good b on a.r <> b.r and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(a, b) as (select r, r from rows union select reach.a, links.b from reach join links on links.a = reach.b),
+n as (select a, count(*) as n from links group by 1),
+c as (select a, min(vec_id) as component_id from reach join rows on r = b group by 1)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id is not distinct from component_id as kept from rows join c on c.a = r left join n on n.a = r
+"""
