@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import materialize, release
@@ -61,15 +61,19 @@ def shortest_paths(e: DataFrame, starts: DataFrame, directed: bool = True) -> Da
         levels.append(level)
 
 
+def rings(e: DataFrame) -> DataFrame:
+    """(node, ring): the nodes on cycles, with the least node that each reaches and is reached from."""
+    ahead = closure(e)
+    back = ahead.select(F.col("node").alias("start"), F.col("start").alias("node"))
+    return ahead.join(back, ["start", "node"], "left_semi").groupBy(F.col("start").alias("node")).agg(F.least(F.min("node"), F.col("start")).alias("ring"))
+
+
 def cycles(e: DataFrame) -> DataFrame:
-    """(path): each simple cycle once, from its least node."""
-    hop = e.select(F.col("child").alias("from"), F.col("parent").alias("to")).distinct()
-    while True:  # an edge that nothing leads to, or that leads on to nothing, is on no cycle
-        hop = materialize(hop, "hops")
-        on = hop.join(hop.select(F.col("to").alias("from")), "from", "left_semi").join(hop.select(F.col("from").alias("to")), "to", "left_semi").select("from", "to")
-        if on.count() == hop.count():
-            break
-        hop = on
+    """(path): each simple cycle once, from its least node. Only edges within one ring are walked, since no cycle leaves it."""
+    ring = materialize(rings(e), "rings")
+    side = lambda c: ring.select(F.col("node").alias(c), F.col("ring").alias(f"ring_{c}"))
+    hop = e.select(F.col("child").alias("from"), F.col("parent").alias("to")).distinct().join(side("from"), "from").join(side("to"), "to")
+    hop = materialize(hop.where("ring_from = ring_to").select("from", "to"), "hops")
     start = F.get("path", F.lit(0))
     walk = materialize(hop.where(F.col("to") >= F.col("from")).select(F.array("from", "to").alias("path")), "walks")
     closed = []
@@ -82,6 +86,90 @@ def cycles(e: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, closed or [walk])
 
 
+def levels(e: DataFrame) -> DataFrame:
+    """(node, depth): the edges of the longest chain from each node to a root, 0 at the roots; null in a cycle and for what needs one.
+
+    Nodes without an open prerequisite are peeled off level by level. An edge is
+    read until its parent has a level, and a level's table once more at the end.
+    """
+    left = materialize(e.select("child", "parent").where("child <> parent").distinct(), "open")
+    child = lambda df: df.select(F.col("child").alias("node")).distinct()
+    ready = left.select(F.col("parent").alias("node")).distinct().join(child(left), "node", "left_anti")
+    found = []
+    while True:
+        level = materialize(ready.withColumn("depth", F.lit(len(found))), "level")
+        found.append(level)
+        if level.isEmpty():
+            return reduce(DataFrame.union, found).union(child(left).withColumn("depth", F.lit(None).cast("int")))
+        gone = level.select(F.col("node").alias("parent"))
+        rest = materialize(left.join(gone, "parent", "left_anti"), "open")
+        ready = materialize(child(left.join(gone, "parent", "left_semi")).join(child(rest), "node", "left_anti"), "ready")
+        release(left)
+        left = rest
+
+
+def root_paths(e: DataFrame) -> DataFrame:
+    """(start, root, path): every path from each node that needs something to a root, the node first.
+
+    Paths grow from the roots, so every path made is a result and is written
+    once; a node is on a path once, so a cycle between a root and a node ends
+    them. As many rows as there are paths, which is what is asked for.
+    """
+    hop = materialize(e.select("child", "parent").where("child <> parent").distinct(), "hops")
+    roots = hop.select(F.col("parent").alias("start")).distinct().join(hop.select(F.col("child").alias("start")), "start", "left_anti")
+    level = materialize(roots.select("start", F.col("start").alias("root"), F.array("start").alias("path")), "paths")
+    found = []
+    while not level.isEmpty():
+        found.append(level)
+        step = level.join(hop, F.col("start") == F.col("parent")).where(~F.array_contains("path", F.col("child")))
+        level = materialize(step.select(F.col("child").alias("start"), "root", F.concat(F.array("child"), "path").alias("path")), "paths")
+    return reduce(DataFrame.union, found[1:] or [level])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp): the least node reachable either way, for every node of ``edges(a, b)``.
+
+    Alternating star contractions: each round hangs the larger neighbours of a
+    node, then the smaller ones, on its least neighbour. Edges become stars in a
+    logarithmic number of rounds, and rounds go on until one changes nothing; no
+    group is collected, only its minimum.
+    """
+    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    state = None
+    while True:
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        before, e = e, materialize(small, "stars")
+        release(before)
+        now = tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
+        if now == state:
+            break
+        state = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def documents(e: DataFrame, names: DataFrame, most: int = 200) -> DataFrame:
+    """(concept, kind, block, text) for search, of every concept that needs something: what it ``needs``, the whole
+    ``sequence`` of what leads to it, earliest first, and what it ``unlocks``; ``most`` names a row, so no row grows with the graph.
+
+    ``names(concept, name)`` has a row for each node of ``e``.
+    """
+    needs = e.select(F.col("child").alias("concept"), F.lit("needs").alias("kind"), F.col("parent").alias("other"), F.lit(0).alias("depth"))
+    sequence = closure(e).select(F.col("start").alias("concept"), F.lit("sequence").alias("kind"), F.col("node").alias("other"), "depth")
+    unlocks = e.select(F.col("parent").alias("concept"), F.lit("unlocks").alias("kind"), F.col("child").alias("other"), F.lit(0).alias("depth"))
+    unlocks = unlocks.join(needs.select("concept"), "concept", "left_semi")
+    place = F.row_number().over(Window.partitionBy("concept", "kind").orderBy(F.desc("depth"), "other"))
+    rows = needs.unionByName(sequence).unionByName(unlocks).withColumn("place", place)
+    told = rows.join(names.select(F.col("concept").alias("other"), "name"), "other")
+    told = told.groupBy("concept", "kind", F.expr(f"(place - 1) div {most}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("told"))
+    glue = F.when(F.col("kind") == "sequence", " > ").otherwise("; ")
+    body = F.aggregate("told", F.lit(""), lambda a, x: F.when(a == "", x["name"]).otherwise(F.concat(a, glue, x["name"])))
+    return told.join(names, "concept").select("concept", "kind", "block", F.concat("name", F.lit(" "), "kind", F.lit(": "), body).alias("text"))
+
+
 def missing(e: DataFrame, wanted: DataFrame, done: DataFrame) -> DataFrame:
     """(who, node, needs, missing): what each wanted node still needs, by ``done(who, node)``."""
     needs = wanted.join(e.select(F.col("child").alias("node"), F.col("parent").alias("need")), "node", "left")

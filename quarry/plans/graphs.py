@@ -1,10 +1,15 @@
-"""Graph queries: parts form a tree, p needs p div 2 (p >= 1)."""
+"""Graph queries: parts form a tree, p needs p div 2 (p >= 1).
+
+Where a second parent matters, small parts need p div 3 as well, so nodes have
+chains of several lengths to the root.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..store import materialize
 from ..tables import load
 from .registry import query
 
@@ -38,16 +43,27 @@ def closure_down(spark, d):
     return graph.closure(_edges(spark, d), down=True)
 
 
-@query(f"with recursive {_UP} select node, max(depth)::int as depth from (select start as node, depth from w) group by 1")
+_DAG = "e as (select p_partkey as child, p_partkey // 2 as parent from part where p_partkey >= 1 union select p_partkey, p_partkey // 3 from part where p_partkey >= 1 and p_size <= 10)"
+_CHAINS = f"{_DAG}, w(start, node, depth) as (select child, child, 0 from e union select parent, parent, 0 from e union select w.start, e.parent, w.depth + 1 from w join e on e.child = w.node)"
+
+
+def _dag(spark, d):
+    k, p = F.col("p_partkey"), load(spark, d, "part").where("p_partkey >= 1")
+    second = p.where("p_size <= 10").select(k.alias("child"), F.expr("p_partkey div 3").alias("parent"))
+    return graph.edges(p.select(k.alias("child"), F.expr("p_partkey div 2").alias("parent")).union(second))
+
+
+@query(f"with recursive {_CHAINS} select start as node, max(depth)::int as depth from w group by 1")
 def depth_levels(spark, d):
-    return graph.closure(_edges(spark, d)).groupBy(F.col("start").alias("node")).agg(F.max("depth").alias("depth"))
+    """The longest chain of each part, where parts have one or two parents."""
+    return graph.levels(_dag(spark, d))
 
 
-@query(f"with recursive {_UP}, l as (select start, max(depth) as depth from w group by 1), b as (select start, depth::int as depth, start // 500 as block from l) select depth, block, string_agg(start::varchar, ' ' order by start) as nodes from b group by 1, 2")
+@query(f"with recursive {_CHAINS}, l as (select start, max(depth) as depth from w group by 1), b as (select start, depth::int as depth, start // 500 as block from l) select depth, block, string_agg(start::varchar, ' ' order by start) as nodes from b group by 1, 2")
 def level_string(spark, d):
     """The nodes of each level as text, 500 numbers a row at most, so a wide level is many rows."""
-    levels = graph.closure(_edges(spark, d)).groupBy("start").agg(F.max("depth").alias("depth")).withColumn("block", F.expr("start div 500"))
-    return levels.groupBy("depth", "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list("start")), lambda x: x.cast("string")), " ").alias("nodes"))
+    levels = graph.levels(_dag(spark, d)).withColumn("block", F.expr("node div 500"))
+    return levels.groupBy("depth", "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list("node")), lambda x: x.cast("string")), " ").alias("nodes"))
 
 
 @query(f"with recursive {_DOWN} select start as node, count(*) filter (depth = 1) as direct, count(*) filter (depth > 1) as indirect from w where depth > 0 group by 1")
@@ -67,17 +83,50 @@ def shortest_path_undirected(spark, d):
     return graph.shortest_paths(_edges(spark, d), spark.createDataFrame([(9,)], "n long"), directed=False)
 
 
-@query(f"with recursive {_E}, w(node, path) as (select child, [child] from e union all select e.parent, list_append(w.path, e.parent) from w join e on e.child = w.node) select path from w where node not in (select child from e)")
+@query(f"with recursive {_DAG}, w(node, path) as (select distinct child, [child] from e union all select e.parent, list_append(w.path, e.parent) from w join e on e.child = w.node) select path from w where node not in (select child from e)")
 def all_paths(spark, d):
-    e = _edges(spark, d)
-    roots = e.select(F.col("parent").alias("node")).distinct().join(e.select(F.col("child").alias("node")), "node", "left_anti")
-    return graph.shortest_paths(e, e.select("child")).join(roots, "node").select("path")
+    """Every chain from every part to the root."""
+    return graph.root_paths(_dag(spark, d)).select("path")
+
+
+_WHEEL = "e as (select p_partkey as child, p_partkey // 16 * 16 + (p_partkey * 7 + p_size) % 16 as parent from part)"
 
 
-@query("select * from (values ([1::bigint, 2::bigint, 3::bigint, 1::bigint]), ([4::bigint, 5::bigint, 4::bigint])) t(path)")
+@query(f"""with recursive {_WHEEL}, w(start, node, path) as (select child, parent, [child, parent] from e where child <> parent union all select w.start, e.parent, list_append(w.path, e.parent) from w join e on e.child = w.node where not list_contains(w.path[1 : len(w.path) - 1], w.node))
+select path from w where node = start and start = list_min(path)""")
 def find_cycles(spark, d):
-    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (5, 4), (5, 6), (6, 7)], "child long, parent long")
-    return graph.cycles(e)
+    """Each part points at one of the sixteen around it; some of these chains come back."""
+    k = F.col("p_partkey")
+    return graph.cycles(graph.edges(load(spark, d, "part").select(k.alias("child"), F.expr("p_partkey div 16 * 16 + (p_partkey * 7 + p_size) % 16").alias("parent"))))
+
+
+_CONCEPTS = f"""{_DAG}, same as (select p_partkey as a, min(p_partkey) over (partition by p_name, p_brand, p_size) as b from part union select p_partkey, p_partkey + 1 from part where p_partkey % 50 = 0 and p_partkey + 1 in (select p_partkey from part)),
+pairs as (select a, b from same union select b, a from same), reach(node, other) as (select p_partkey, p_partkey from part union select r.node, b.b from reach r join pairs b on b.a = r.other),
+c as (select node, min(other) as concept from reach group by 1), n as (select concept, any_value(p_name order by p_partkey) as title, count(*) as members, 'CSC-' || concept as code from c join part on p_partkey = node group by 1),
+ce as (select distinct a.concept as child, b.concept as parent from e join c a on a.node = e.child join c b on b.node = e.parent where a.concept <> b.concept),
+up(start, node, depth) as (select child, parent, 1 from ce union select u.start, ce.parent, u.depth + 1 from up u join ce on ce.child = u.node where u.depth < 60 and ce.parent <> u.start),
+closure as (select start, node, min(depth) as depth from up group by 1, 2)"""
+
+
+@query(f"""with recursive {_CONCEPTS}, name as (select concept, title || ' (' || code || case when members > 1 then ' and ' || members - 1 || ' more' else '' end || ')' as name from n),
+rows as (select child as concept, 'needs' as kind, parent as other, 0 as depth from ce union all select start, 'sequence', node, depth from closure union all select parent, 'unlocks', child, 0 from ce where parent in (select child from ce)),
+placed as (select *, (row_number() over (partition by concept, kind order by depth desc, other) - 1) // 200 as block from rows)
+select p.concept, kind, block, any_value(m.name) || ' ' || kind || ': ' || replace(string_agg(o.name, '; ' order by depth desc, other), '; ', case when kind = 'sequence' then ' > ' else '; ' end) as text from placed p join name m on m.concept = p.concept join name o on o.concept = p.other group by 1, 2, 3""")
+def graph_documents(spark, d):
+    """Text for search: what each concept needs, its whole sequence (earliest first) and what it unlocks, 200 names a row at most.
+
+    Parts of one name, brand and size are one concept, and so are renumbered ones (p and p + 1 at each fiftieth).
+    """
+    k, part = F.col("p_partkey"), load(spark, d, "part")
+    first = part.groupBy("p_name", "p_brand", "p_size").agg(F.min("p_partkey").alias("b"))
+    same = part.join(first, ["p_name", "p_brand", "p_size"]).select(k.alias("a"), "b")
+    moved = part.where("p_partkey % 50 = 0").select(k.alias("a"), (k + 1).alias("b")).join(part.select(k.alias("b")), "b", "left_semi").select("a", "b")
+    canon = graph.components(same.union(moved)).withColumnsRenamed({"node": "code", "comp": "canonical"})
+    e = materialize(graph.edges(_dag(spark, d), canon), "concept-edges")
+    members = part.join(canon.withColumnRenamed("code", "p_partkey"), "p_partkey", "left").withColumn("concept", F.coalesce("canonical", "p_partkey"))
+    more = F.when(F.count(F.lit(1)) > 1, F.concat(F.lit(" and "), F.count(F.lit(1)) - 1, F.lit(" more"))).otherwise("")
+    names = members.groupBy("concept").agg(F.concat(F.min_by("p_name", "p_partkey"), F.lit(" (CSC-"), F.col("concept"), more, F.lit(")")).alias("name"))
+    return graph.documents(e, names)
 
 
 @query(f"with {_E}, s as (select p_partkey as n from part where p_size between 5 and 15) select child, parent from e where child in (select n from s) and parent in (select n from s)")

@@ -26,6 +26,45 @@ def test_walks_know_no_depth(spark):
     assert path == list(range(40, -1, -1))
 
 
+def test_levels_and_paths_where_nodes_have_several_parents(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 3), (1, 2)], "child long, parent long")
+    assert {tuple(r) for r in graph.levels(e).collect()} == {(3, 0), (2, 1), (1, 2)}
+    assert sorted(tuple(r["path"]) for r in graph.root_paths(e).collect()) == [(1, 2, 3), (1, 3), (2, 3)]
+    assert graph.levels(e.limit(0)).count() == 0 and graph.root_paths(e.limit(0)).count() == 0
+
+
+def test_levels_and_paths_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 40, (55, 2)) if a > b} | {(50, 51), (51, 50), (52, 50), (53, 52), (50, 3)}
+    parents = {}
+    for a, b in pairs:
+        parents.setdefault(a, []).append(b)
+
+    def paths(node, before=()):
+        here = (*before, node)
+        if node not in parents:
+            return [here]
+        return [p for b in parents[node] if b not in here for p in paths(b, here)]
+
+    stuck = {50, 51, 52, 53}
+    want = {n: None if n in stuck else max(map(len, paths(n))) - 1 for n in {x for p in pairs for x in p}}
+    e = spark.createDataFrame(sorted(pairs), "child long, parent long")
+    assert dict(map(tuple, graph.levels(e).collect())) == want
+    assert sorted(tuple(r["path"]) for r in graph.root_paths(e).collect()) == sorted(p for n in parents for p in paths(n))
+    assert {tuple(r) for r in graph.rings(e).collect()} == {(50, 50), (51, 50)}
+
+
+def test_components_and_documents(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 200), (7, 7)], "a long, b long")
+    comp = dict(map(tuple, graph.components(links).collect()))
+    assert {comp[k] for k in range(1, 61)} == {1} and comp[200] == 100
+    e = spark.createDataFrame([(k, 0) for k in range(1, 8)] + [(0, 9)], "child long, parent long")
+    names = spark.createDataFrame([(k, f"n{k}") for k in range(10)], "concept long, name string")
+    got = sorted(tuple(r) for r in graph.documents(e, names, most=3).collect())
+    assert [t for *_, t in got if t.startswith("n0")] == ["n0 needs: n9", "n0 sequence: n9", "n0 unlocks: n1; n2; n3", "n0 unlocks: n4; n5; n6", "n0 unlocks: n7"]
+    assert (5, "sequence", 0, "n5 sequence: n9 > n0") in got
+
+
 def test_walks_on_a_dense_graph_with_cycles(spark):
     rng = np.random.default_rng(0)
     pairs = {(int(a), int(b)) for a, b in rng.integers(0, 14, (45, 2)) if a != b}
