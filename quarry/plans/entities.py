@@ -14,8 +14,8 @@ from .registry import query
 # Words that say nothing in a question about the department.
 EVIDENCE_STOP = """
 a an the is are was were be been do does did what which who whom how can could should would i me my you your it its this that
-these those and or of for to in on at by with from about tell please show know want need qau university department computer
-sciences hai hain kya ki ka ke ko mein mujhe apko iska aur kitni kitne science cs quaid azam
+these those and or of for to in on at by with from about tell please show know want need university department computer
+sciences hai hain kya ki ka ke ko mein mujhe apko iska aur kitni kitne science cs
 """.split()
 
 _stop = "[" + ", ".join(f"'{w}'" for w in EVIDENCE_STOP) + "]"

@@ -146,26 +146,53 @@ def html_text_simple(spark, d):
     return html.page_text(load(spark, d, "pages"), hide=html.FURNITURE, marks=False)
 
 
-@query()
+_trimmed = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(rf"""with recursive t as (select doc_id, {_trimmed('text')} as t from documents where text is not null),
+p(doc_id, t, ord, start, n) as (select doc_id, t, -1, 0, 0 from t union all
+  select doc_id, t, ord + 1, onward, case when length(t) - onward <= 1000 then length(t) - onward when length(regexp_extract(w, '^(.*(?:\n|\. ))', 1, 's')) > 500 then length(regexp_extract(w, '^(.*(?:\n|\. ))', 1, 's')) when length(regexp_extract(w, '^(.* )', 1, 's')) > 500 then length(regexp_extract(w, '^(.* )', 1, 's')) else 1000 end
+  from (select *, t[onward + 1 : onward + 1000] as w from (select *, case when n = 0 then 0 when instr(t[start + n - 139 : start + n], ' ') between 1 and 139 then start + n - 140 + instr(t[start + n - 139 : start + n], ' ') else start + n end as onward from p where ord < 0 or start + n < length(t))) where onward < length(t))
+select doc_id, (row_number() over (partition by doc_id order by ord) - 1)::int as ord, x as text from (select doc_id, ord, {_trimmed('t[start + 1 : start + n]')} as x from p where ord >= 0) where x <> ''""")
 def split_passages(spark, d):
-    return chunks.explode(load(spark, d, "documents"), "doc_id", "text", lambda t: [("", x) for x in chunks.passages(t)]).drop("heading")
+    return load(spark, d, "documents").select("doc_id", F.posexplode(chunks.passages(F.col("text"))).alias("ord", "text"))
+
+
+def _page_blocks(spark, d):
+    return html.page_text(load(spark, d, "pages")).select("page_id", chunks.blocks(F.col("text")).alias("blocks"))
 
 
 @query()
 def md_blocks(spark, d):
     """Pages as Markdown, by heading path."""
-    return chunks.explode(html.page_text(load(spark, d, "pages")), "page_id", "text", chunks.blocks)
+    b = _page_blocks(spark, d).select("page_id", F.posexplode("blocks").alias("ord", "b"))
+    return b.select("page_id", "ord", "b.heading", "b.text")
+
+
+def _chunks(df, key, found):
+    c = df.select(key, F.posexplode(chunks.pack(found)).alias("ord", "c"))
+    return c.select(key, "ord", "c.heading", "c.text")
 
 
 @query()
 def chunk_blocks(spark, d):
-    return chunks.explode(html.page_text(load(spark, d, "pages")), "page_id", "text", lambda t: chunks.pack(chunks.blocks(t)))
+    return _chunks(_page_blocks(spark, d), "page_id", F.col("blocks"))
 
 
 @query()
 def chunk_documents(spark, d):
     """Documents as one block each."""
-    return chunks.explode(load(spark, d, "documents"), "doc_id", "text", lambda t: chunks.pack(chunks.blocks(t)))
+    return _chunks(load(spark, d, "documents"), "doc_id", chunks.blocks(F.col("text")))
+
+
+@query(rf"""with c as (select conv_id, turn, role, text, regexp_extract_all(text, '\b[A-Z]{{2,4}}[- ]?[0-9]{{3}}[A-Z]?\b') as codes from (select conv_id, turn, role, text || case when turn % 2 = 1 then ' CSC 211 and PHY-30' || turn % 10 else '' end as text from conversations where text is not null)),
+f as (select *, list_transform(codes, lambda c: regexp_extract(c, '^[A-Z]+')) as a, list_transform(codes, lambda c: regexp_extract(c, '[0-9].*$')) as n from c),
+s as (select *, flatten(list_transform(range(1, len(codes) + 1), lambda i: list_sort(list_distinct([a[i] || '-' || n[i], a[i] || n[i], case a[i] when 'CS' then 'CSC' when 'CSC' then 'CS' else a[i] end || '-' || n[i], case a[i] when 'CS' then 'CSC' when 'CSC' then 'CS' else a[i] end || n[i]])))) as every from f)
+select conv_id, turn, role || ' › turn ' || turn || chr(10) || text || case when len(every) > 0 then chr(10) || 'Course code forms: ' || array_to_string(list_filter(every, lambda x, i: list_position(every, x) = i)[:12], ' ') else '' end as text from s""")
+def chunk_index(spark, d):
+    """What a search reads of each turn; every second turn names two courses."""
+    said = F.concat("text", F.when(F.col("turn") % 2 == 1, F.concat(F.lit(" CSC 211 and PHY-30"), F.col("turn") % 10)).otherwise(""))
+    return load(spark, d, "conversations").where("text is not null").select("conv_id", "turn", chunks.index_text(F.col("role"), F.concat(F.lit("turn "), "turn"), said).alias("text"))
 
 
 @query()
@@ -246,6 +273,14 @@ def sentences(spark, d):
     return load(spark, d, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query()
+_clause, _ends = (x.replace("'", "''") for x in (chunks.CLAUSE_START, chunks.SENTENCE_END))
+_caps = lambda x: f"({x} = upper({x}) and {x} <> lower({x}))"
+_goes_on = f"""b <> '' and x <> '' and not (regexp_matches(x, '{_clause}') or {_caps('x')} or {_caps('b')} or contains(x, '  ') or (regexp_matches(b, '{chunks.CELL_END}') and length(b) < 50) or (regexp_matches(b, '{_ends}') and regexp_matches(x, '^[A-Z]')))"""
+
+
+@query(rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+p as (select doc_id, i, x, lag(x) over (partition by doc_id order by i) as b from (select doc_id, i, {_trimmed('x')} as x from l)),
+j as (select doc_id, string_agg(case when i = 1 then '' when not ({_goes_on}) then chr(10) when ends_with(b, '-') and regexp_matches(x, '^[a-z]') then chr(1) else ' ' end || x, '' order by i) as t from p group by 1)
+select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '-\x01', '', 'g'), '^\n+', ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '\n+$', chr(10)) as text from j""")
 def reflow(spark, d):
-    return chunks.explode(load(spark, d, "documents"), "doc_id", "text", lambda t: [("", x) for x in [chunks.reflow(t)] if x]).drop("heading", "ord")
+    return load(spark, d, "documents").where("text is not null").select("doc_id", chunks.reflow(F.col("text")).alias("text"))

@@ -107,31 +107,73 @@ def test_neighbours_in_cells(spark, monkeypatch):
         assert got[k] == order[:3]
 
 
-def test_passages():
+def made(spark, column, *texts):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    return [r[1] for r in sorted(df.select("k", column(F.col("t"))).collect())]
+
+
+def test_passages(spark):
     text = "First sentence here. Second one follows now.\n" * 60
-    got = chunks.passages(text, 200, 40)
-    assert all(len(x) <= 200 for x in got) and "".join(text.split()) in "".join(text.split())
-    assert all(x in text for x in got) and got[0].endswith(".") and len(got) > 10
+    got, none, blank, solid, long = made(spark, lambda t: chunks.passages(t, 200, 40), text, None, "  ", "x" * 500, "ab cd. " * 30_000)
+    assert all(len(x) <= 200 for x in got) and all(x in text for x in got) and got[0].endswith(".") and len(got) > 10
     at = 0
     for x in got:  # each begins before the one before it ends
         found = text.find(x)
         assert found <= at + 1
         at = max(at, found + len(x))
-    assert chunks.passages(None) == [] and chunks.passages("  ") == [] and len(chunks.passages("x" * 2500)) == 3
-
-
-def test_blocks_and_packing():
-    page = "intro\n# A\nalpha\n## B\nbeta\n# C\n" + "| h | k |\n|---|---|\n" + "".join(f"| {k} | {'v' * 60} |\n" for k in range(80))
-    blocks = chunks.blocks(page)
-    assert [h for h, _ in blocks] == ["", "A", "A › B", "C"]
-    packed = chunks.pack(blocks)
-    tables = [t for h, t in packed if h.startswith("C")]
-    assert len(tables) > 1 and all(t.startswith("| h | k |\n|---|---|\n| ") and len(t) <= chunks.ATOMIC for t in tables)
-    assert sum(t.count("v" * 60) for t in tables) == 80
-    prose = chunks.pack([("X › Y", "word " * 150), ("X › Y", "more " * 150), ("Z", "tail")])
-    assert [h for h, _ in prose] == ["X › Y", "X › Y"] and prose[1][1].endswith("tail")
-    assert all(len(t) <= chunks.MOST for _, t in chunks.pack([("", "A sentence of some words. " * 400)]))
-    assert [len(t) for _, t in chunks.pack([("", "x" * 4000)])] == [1500, 1500, 1000]
+    assert none == blank == [] and [len(x) for x in solid] == [200, 200, 100] and len(long) > 1000
+
+
+def plain_blocks(text):
+    path, held, out = {}, [], []
+
+    def close():
+        if body := "\n".join(held).strip():
+            out.append((" › ".join(path[k] for k in sorted(path)), body))
+        held.clear()
+
+    for line in (text or "").split("\n"):
+        marks = len(line.lstrip(" \t")) - len(line.lstrip(" \t").lstrip("#"))
+        if 0 < marks < 7 and line.lstrip(" \t")[marks:][:1] in (" ", "\t"):
+            close()
+            path = {k: v for k, v in path.items() if k < marks} | {marks: line.lstrip(" \t")[marks:].strip()}
+        else:
+            held.append(line)
+    close()
+    return out
+
+
+def test_blocks_and_chunks_of_all_pages(spark, sf):
+    pages = html.page_text(spark.read.parquet(f"{sf}/pages.parquet")).select("text", chunks.blocks(F.col("text")).alias("b"))
+    for text, found, packed in pages.select("text", "b", chunks.pack(F.col("b")).alias("c")).collect():
+        assert [tuple(b) for b in found] == plain_blocks(text)
+        words = [w for b in found if "|" not in b["text"] for w in b["text"].split()]
+        held = [w for c in packed for w in c["text"].split()]
+        assert set(words) <= set(held)
+        if not any("|" in b["text"] for b in found):
+            assert held == words and all(len(c["text"]) <= chunks.MOST for c in packed)
+            for a, b in zip(packed, packed[1:]):  # nothing small is left alone beside room for it
+                assert len(b["text"]) >= chunks.LEAST or len(a["text"]) + 2 + len(b["text"]) > chunks.MOST
+
+
+def test_blocks_and_packing(spark):
+    rows = "".join(f"| {k} | {'v' * 60} |\n" for k in range(80))
+    page = "intro\n# A\nalpha\n## B\nbeta\n# C\n" + "| h | k |\n|---|---|\n" + rows
+    assert [b["heading"] for b in made(spark, chunks.blocks, page)[0]] == ["", "A", "A › B", "C"]
+    both = lambda t: chunks.pack(chunks.blocks(t))
+    packed, none, prose, long, solid, mixed = made(spark, both, page, None, "# X\n## Y\n" + "word " * 150 + "\n\n" + "more " * 150 + "\n# Z\ntail", "A sentence of some words. " * 400, "x" * 4000, "before\n| a | b |\nafter")
+    tables = [c for c in packed if c["heading"].startswith("C")]
+    assert [c["heading"] for c in tables] == ["C", "C (part 2)", "C (part 3)"]
+    assert tables[0]["text"].startswith("| h | k |\n|---|---|\n| 0") and all(c["text"].startswith("| h | k | (continued)\n| h | k |\n|---|---|\n| ") for c in tables[1:])
+    assert all(len(c["text"]) <= chunks.ATOMIC for c in tables) and sum(c["text"].count("v" * 60) for c in tables) == 80
+    assert none == [] and [c["heading"] for c in prose] == ["X › Y", "X › Y"] and prose[1]["text"].endswith("tail")
+    assert all(len(c["text"]) <= chunks.MOST for c in long) and [len(c["text"]) for c in solid] == [1500, 1500, 1000]
+    assert [c["text"] for c in mixed] == ["before", "| a | b |", "after"]
+
+
+def test_index_text(spark):
+    got = made(spark, lambda t: chunks.index_text(F.lit("Site"), F.lit("Fees"), t), "CS-211 and PHY 301A", "nothing")
+    assert got == ["Site › Fees\nCS-211 and PHY 301A\nCourse code forms: CS-211 CS211 CSC-211 CSC211 PHY-301A PHY301A", "Site › Fees\nnothing"]
 
 
 def brute_tokens(text):
@@ -192,12 +234,12 @@ def test_shared_folder_is_not_local_on_a_cluster(spark, monkeypatch):
         t.collect()
 
 
-def test_reflow():
+def test_reflow(spark):
     wrapped = "The rules of the depart-\nment are\nprinted here.\nThey hold.\n\n\n1. First\n(a) a clause that\ngoes on\nTABLE OF FEES\nAdmission 5000\nTuition 100\n"
     want = "The rules of the department are printed here.\nThey hold.\n\n1. First\n(a) a clause that goes on\nTABLE OF FEES\nAdmission 5000\nTuition 100\n"
-    assert chunks.reflow(wrapped) == want
-    assert chunks.reflow(None) is None and chunks.reflow("") == "" and chunks.reflow("\n \na") == "a"
-    assert chunks.reflow("x\n" * 50_000).count("x x") == 25_000
+    assert made(spark, chunks.reflow, wrapped) == [want]
+    assert made(spark, chunks.reflow, None, "", "\n \na") == [None, "", "a"]
+    assert made(spark, chunks.reflow, "x\n" * 50_000)[0].count("x x") == 25_000
 
 
 def test_sentences(spark):
