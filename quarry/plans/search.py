@@ -199,17 +199,6 @@ def term_count_search(spark, d):
     return load(spark, d, "documents").select("doc_id", n.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@query("""with w as (select term, count(*) as freq from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents) where length(term) >= 5 group by 1 having count(*) >= 40), q(typo) as (values ('therr'), ('ofthh'), ('andth'), ('tiones'), ('xxxxxx'))
-select typo, arg_max(term, (conf, term)) as fix from (select typo, term, 1.0 / (levenshtein(typo, term) + 1) * (ln(freq + 1) / 5) as conf from q join w on abs(length(typo) - length(term)) <= 2 and levenshtein(typo, term) <= 2) group by 1""")
-def spell_fix(spark, d):
-    words = load(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")).where(F.length("term") >= 5)
-    freq = words.groupBy("term").agg(F.count(F.lit(1)).alias("freq")).where("freq >= 40")
-    typos = spark.createDataFrame([("therr",), ("ofthh",), ("andth",), ("tiones",), ("xxxxxx",)], "typo string")
-    near = freq.join(F.broadcast(typos), (F.abs(F.length("typo") - F.length("term")) <= 2) & (F.levenshtein("typo", "term", 2) >= 0))
-    conf = 1 / (F.levenshtein("typo", "term") + 1) * (F.log(F.col("freq") + 1) / 5)
-    return near.groupBy("typo").agg(F.max_by("term", F.struct(conf, "term")).alias("fix"))
-
-
 @query("""select label, cast(count(*) as bigint) as n, count(*) filter (rn <= least(3, greatest(0, n_all - 2))) as n_test from (select label, row_number() over (partition by label order by md5(vec_id::varchar), vec_id) as rn, count(*) over (partition by label) as n_all from embeddings) group by 1""")
 def stratified_split(spark, d):
     w = Window.partitionBy("label")
