@@ -47,6 +47,9 @@ def test_builds_are_checked(spark, tmp_path):
     os.rename(f"{root}/other/{stray}", f"{folder}/{stray}")
     assert [tuple(r) for r in bundle.problems(spark, root, "b3").collect()] == [(stray, "unknown")]
     os.replace(f"{folder}/{stray}", f"{folder}/{name}")
+    with pytest.raises(ValueError, match="can't be read"):  # the file system's own checksum
+        bundle.current(spark, root)
+    os.remove(f"{folder}/.{name}.crc")
     assert [tuple(r) for r in bundle.problems(spark, root, "b3").collect()] == [(name, "differs")]
     os.remove(f"{folder}/{name}")
     with pytest.raises(ValueError, match="missing"):
