@@ -37,3 +37,15 @@ def stream_latest(spark, d):
 @query()
 def rate_limit(spark, d):
     return st.rate_limit(_events(spark, d), "user_id")
+
+
+@query("""with a as (select user_id as key, epoch_us(ts) as tm, event_id + event_id * 37 % 400 * 3 + event_id * 1000000 * (event_id % 50 = 7)::int as arrival, event_id, value from events),
+o as (select *, row_number() over (order by arrival, event_id) as place from a), t as (select *, tm - tm % 21600000000 as start, max(tm) over (partition by key order by place rows between unbounded preceding and 1 preceding) - 43200000000 as clock from o),
+l as (select *, coalesce(start + 21600000000 <= clock, false) as late from t), c as (select key, max(tm) - 43200000000 as last from l group by 1)
+select key, 'window' as kind, make_timestamp(start) as start, count(*) as n, round(sum(value), 4) as total, null::bigint as arrival, null::timestamp as ts from l join c using (key) where not late group by key, start, last having start + 21600000000 <= last
+union all select key, 'late', null, null, null, arrival, make_timestamp(tm) from l where late""")
+def stream_late(spark, d):
+    """Windows of six hours a user, closed twelve hours behind the latest event, and the events that came after that; every fiftieth event is very late."""
+    arrival = F.expr("event_id + event_id * 37 % 400 * 3 + event_id * 1000000 * cast(event_id % 50 = 7 as int)")
+    found = st.with_late_batch(_events(spark, d).withColumn("arrival", arrival), "user_id", 6 * 3600, 12 * 3600)
+    return found.select("key", "kind", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"), "arrival", F.col("ts").cast("timestamp_ntz").alias("ts"))

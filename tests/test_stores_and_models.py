@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import bayes
-from quarry.sources import bundle, objects
+from quarry.sources import bundle, html, objects
+from quarry.sources import timetable as tt
+from quarry.streaming import windows as st
 
 
 def test_objects(spark, tmp_path):
@@ -80,3 +82,39 @@ def test_naive_bayes_against_brute_force(spark):
     assert {r["id"]: (r["label"], round(r["confidence"], 3)) for r in bayes.predict(q, model, labels, "id").collect()} == {i: best(t) for i, t in asked}
     model, labels = bayes.train(rows.limit(0))
     assert [r["label"] for r in bayes.predict(q, model, labels, "id").collect()] == [None] * 4
+
+
+def test_late_rows_of_a_stream(spark, tmp_path, sf):
+    """Shuffled files, few at a time: windows and late rows as in one batch, wherever batches end."""
+    arrival = F.expr("event_id + event_id * 37 % 400 * 3")
+    events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "value", "event_id").withColumn("arrival", arrival * 10_000 + F.col("event_id"))
+    for k, (a, b) in enumerate([(0, 150), (150, 700), (700, 701), (701, 10**6)]):
+        events.withColumn("k", F.expr("event_id + event_id * 37 % 400 * 3")).where(f"k >= {a} and k < {b}").drop("k").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+        spark.read.parquet(f"{tmp_path}/in/{k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/all")
+    s = st.events(spark, f"{tmp_path}/all", spark.read.parquet(f"{tmp_path}/all").schema, files=1)
+    q = st.with_late(s, "user_id", 3600, 1800).writeStream.format("memory").queryName("late").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    plain = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")) if c != "total" else F.coalesce("total", F.lit(0.0)) for c in df.columns)).collect())
+    got, want = plain(spark.table("late")), plain(st.with_late_batch(events, "user_id", 3600, 1800))
+    assert got == want and {r[1] for r in want} == {"window", "late"}
+
+
+def test_timetable_documents(spark):
+    good = '{"courses":[{"course_code":"CS-1","course_title":"Old"},{"course_code":"CS-1","course_title":"Logic","abbreviation":"LG (R)","program_semester":"BS Semester IV","instructors":["Ann","Bo"]}],"schedule_slots":[{"course_code":"CS-1","course_title":"Logic (S)","day":"Monday","room":"R1","time_slot":"8:00-9:00"},{"course_code":"XX-2","course_title":"Other (Rep)","day":"Friday"},{"course_code":"YY-3","time_slot":"TBA"}]}'
+    df = spark.createDataFrame([(1, good), (2, good[:80]), (3, None), (4, '{"schedule_slots":[]}'), (5, "{}"), (6, "[1, 2]")], "doc int, raw string")
+    got = sorted(map(tuple, tt.entries(df, "doc", "raw").collect()), key=str)
+    assert [r for r in got if r[0] == 1] == [
+        (1, False, "CS-1", "Monday", "8:00", "9:00", "R1", "Self-Support", "Ann", "Logic", 4, "LG"), (1, False, "XX-2", "Friday", "00:00", "00:00", None, "Rep", "TBA", "Other (Rep)", None, ""), (1, False, "YY-3", None, "TBA", "TBA", None, "Regular", "TBA", "YY-3", None, ""),
+    ]
+    assert {r[:2] for r in got if r[0] != 1} == {(2, True), (3, True), (6, True)}
+    asked = spark.createDataFrame([(1, "when is CS-1 class"), (2, "semester four"), (3, "Friday"), (4, "time table for logic ann on monday"), (5, "logic on tuesday"), (6, None), (7, ""), (8, "semester 9")], "q int, text string")
+    found = sorted(tuple(r)[:2] + (r["rule"],) for r in tt.search(tt.entries(df.where("doc = 1"), "doc", "raw"), tt.questions(asked, "q", "text"), "q").collect())
+    assert found == [(1, "CS-1", 4), (2, "CS-1", 2), (3, "XX-2", 3)]
+
+
+def test_tables_of_pages(spark):
+    pages = ["<table><tr><th>a<th colspan=99>b|c</tr><tr><td>1<td>2</table>", "<table><tr><td></td></tr></table>", None, "", "<table><tr><td>x<script>no</script><p>y</p><td colspan='z'><a href='/u'>v <b>w</b></a>", "<nav><table><tr><td>no</td></tr></table></nav><table><tr><th>h</th></tr><tr><td>out<table><tr><td>in</td></tr></table></td></tr></table>", "<td>stray</td><tr>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, h string")
+    got = sorted(map(tuple, html.tables(df, "k", "h").collect()))
+    wide = "  |" * 6
+    assert got == [(0, 0, f"| a | b/c |  |{wide}\n|" + "---|" * 9 + f"\n| 1 | 2 |  |{wide}"), (4, 0, "x y | [v w](/u)"), (5, 0, "| h |\n|---|\n| out |"), (5, 1, "in")]
