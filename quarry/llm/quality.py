@@ -1,20 +1,24 @@
 """Quality rules whose thresholds come from the corpus.
 
-Each document's measures are taken inside its row. KLL sketches of each
-measure, one for a language and source, merge across tasks, and documents are
-joined with the fences of their group, in two rounds:
+Each document's measures are taken inside its row. A sketch of a measure counts
+documents in bins whose borders grow by the factor GAMMA, so a quantile is known
+to that factor; counts of a language and source merge across tasks, sources and
+languages by addition and are the same in whatever order rows come. Documents
+are joined with the fences of their language and source, in two rounds:
 
     shape   measures that every document has (mean word length, marks a word
             character): a fence lies REACH times the distance of the quartiles
             beyond each of them, sketched over what passes the base rules.
     tails   shares that are 0 in most documents (symbols, repeated lines,
             repeated words): the fence is the TAIL quantile and as far again
-            above the median, sketched over what is within the shape fences,
-            so that junk does not set it.
+            above the median of the documents where they aren't 0, sketched
+            over what is within the shape fences, so that junk does not set it.
 
-No threshold is fixed: a spread of 0 alone is raised, to LEAST. Groups of fewer
-than MIN_GROUP documents take the fences of their language, and those of rare
-languages the fences of all.
+No threshold is fixed, and no size of a group changes the rule: a group of n
+documents gives its own fence the weight n^2 / (n^2 + PRIOR^2), and the rest to
+the fence of its language, which is drawn toward the fence of all likewise.
+Where no document has a share there is no fence for it. A spread of 0 in a shape
+measure alone is raised, to LEAST.
 
 Defined results
     null, empty or wordless text: no words, all counts 0, base_failed.
@@ -25,7 +29,11 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import math
+import operator
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, words_col
@@ -35,7 +43,11 @@ SYMBOLS = r"[#*$%&|<>]"
 MARKS = r"[^\p{L}\p{N}\s]"
 WINDOW = 3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-REACH, TAIL, LEAST, MIN_GROUP, SKETCH_K = 4.0, 0.99, 0.001, 500, 400
+REACH, TAIL, LEAST = 4.0, 0.99, 0.001
+#: The size at which a group's own fence has half the weight, and the ratio of a bin's borders.
+PRIOR, GAMMA = 50, 1.01
+#: The bin of 0, below all others.
+ZERO = -1_000_000
 SHAPE = ["mean_word_chars", "mark_share"]
 TAILS = ["symbol_share", "dup_line_share", "repeat_share"]
 
@@ -74,28 +86,52 @@ def shares(m: DataFrame) -> DataFrame:
     return m.withColumns({"symbol_share": per("n_symbols", "word_chars"), "mark_share": per("n_marks", "word_chars"), "dup_line_share": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words"), "mean_word_chars": per("word_chars", "n_words")})
 
 
-def fences(m: DataFrame, names: list[str], bounds, min_group: int = MIN_GROUP, k: int = SKETCH_K) -> DataFrame:
-    """(f_lang, f_source, min_x and max_x of each measure x) from merged sketches of the rows of ``m``.
+def bin_of(x) -> F.Column:
+    """The bin of a share or mean: GAMMA ** bin is its upper border."""
+    return F.when(x > 0, F.ceil(F.round(F.log(x) / math.log(GAMMA), 6))).otherwise(ZERO).cast("int")
+
+
+def value_of(b) -> F.Column:
+    return F.when(b == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), b))
+
+
+def sketch(m: DataFrame, names: list[str], zeros: bool) -> DataFrame:
+    """(lang, source, measure, bin, n): the documents in each bin, which add up; without ``zeros`` only where the measure isn't 0."""
+    each = F.array(*(F.struct(F.lit(x).alias("measure"), bin_of(F.col(x)).alias("bin")) for x in names))
+    rows = m.select("lang", "source", F.inline(each))
+    return materialize((rows if zeros else rows.where(F.col("bin") != ZERO)).groupBy("lang", "source", "measure", "bin").agg(F.count(F.lit(1)).alias("n")), "sketches")
+
+
+def fences(counts: DataFrame, names: list[str], bounds, prior: float = PRIOR) -> DataFrame:
+    """(f_lang, f_source, min_x and max_x of each measure x) from merged sketches.
 
     ``bounds`` gives the lower and upper fence from a function of a quantile.
     """
-    # sketches of parts of a group first, so a hot group's rows meet as a few sketches
-    fine = m.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(x, k).alias(x) for x in names))
-    fine = materialize(fine, "sketches")
-    columns = [f"{side}_{x}" for x in names for side in ("min", "max")]
 
-    def level(keys: list[str]) -> DataFrame:
-        merged = fine.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(x, k).alias(x) for x in names))
-        out = []
-        for x in names:
-            q = lambda p, x=x: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(x, F.lit(p)))  # noqa: E731  an empty sketch has none
-            out += [b.alias(f"{side}_{x}") for side, b in zip(("min", "max"), bounds(q))]
-        return merged.select(*keys, "n", *out)
+    def level(keys: list[str], name: str) -> DataFrame:
+        merged = counts.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+        of = Window.partitionBy(*keys, "measure")
+        placed = merged.withColumn("upto", F.sum("n").over(of.orderBy("bin"))).withColumn("all", F.sum("n").over(of))
+        found = placed.groupBy(*keys, "measure").agg(F.max("all").alias("n"), *(value_of(F.min(F.when(F.col("upto") >= p * F.col("all"), F.col("bin")))).alias(f"q{round(100 * p)}") for p in (0.25, 0.5, 0.75, TAIL)))
+        low, high = bounds(lambda p: F.col(f"q{round(100 * p)}"))
+        return found.select(*keys, "measure", (F.col("n") ** 2 / (F.col("n") ** 2 + prior**2)).alias(f"w_{name}"), low.alias(f"min_{name}"), high.alias(f"max_{name}"))
+
+    same = lambda a, b, keys: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    groups = counts.select("lang", "source").distinct()
+    every = groups.join(F.broadcast(level([], "all")))  # a row a measure
+    every = every.alias("g").join(level(["lang"], "lang").alias("l"), functools.reduce(operator.and_, same("g", "l", ["lang", "measure"])), "left").select("g.*", "w_lang", "min_lang", "max_lang")
+    every = every.alias("g").join(level(["lang", "source"], "own").alias("o"), functools.reduce(operator.and_, same("g", "o", ["lang", "source", "measure"])), "left").select("g.*", "w_own", "min_own", "max_own")
+
+    def drawn(side: str) -> F.Column:
+        out = F.col(f"{side}_all")
+        for name in ("lang", "own"):
+            w = F.coalesce(f"w_{name}", F.lit(0.0))
+            out = w * F.coalesce(f"{side}_{name}", F.lit(0.0)) + (1 - w) * out
+        return out
 
-    own, langs, whole = level(["lang", "source"]), level(["lang"]), level([])
-    g = fine.select("lang", "source").alias("g").join(own.alias("o"), F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")) & (F.col("o.n") >= min_group), "left")
-    g = g.join(langs.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("l.n") >= min_group), "left").crossJoin(F.broadcast(whole.alias("w")))  # one row
-    return materialize(g.select(F.col("g.lang").alias("f_lang"), F.col("g.source").alias("f_source"), *(F.coalesce(f"o.{c}", f"l.{c}", f"w.{c}").alias(c) for c in columns)), "fences")
+    every = every.select("lang", "source", "measure", drawn("min").alias("low"), drawn("max").alias("high"))
+    columns = (F.max(F.when(F.col("measure") == x, F.col(c))).alias(f"{side}_{x}") for x in names for side, c in (("min", "low"), ("max", "high")))
+    return materialize(every.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*columns), "fences")
 
 
 def shape_bounds(q, reach: float = REACH):
@@ -103,8 +139,8 @@ def shape_bounds(q, reach: float = REACH):
     return q(0.25) - spread, q(0.75) + spread
 
 
-def tail_bounds(q, tail: float = TAIL):
-    return F.lit(0.0), q(tail) + F.greatest(q(tail) - q(0.5), F.lit(LEAST))
+def tail_bounds(q):
+    return F.lit(0.0), 2 * q(TAIL) - q(0.5)
 
 
 def within(m: DataFrame, f: DataFrame, names: list[str], flag: str) -> DataFrame:
@@ -116,13 +152,13 @@ def within(m: DataFrame, f: DataFrame, names: list[str], flag: str) -> DataFrame
     return joined.withColumn(flag, inside).drop("f_lang", "f_source")
 
 
-def rate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", reach: float = REACH, tail: float = TAIL, min_group: int = MIN_GROUP) -> DataFrame:
+def rate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", reach: float = REACH, prior: float = PRIOR) -> DataFrame:
     """Each row's measures and fences, base_failed, and kept: whether it is within every fence of its group."""
     m = measures(docs, doc_id, text, lang, source)
     m = m.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     m = materialize(shares(m), "measures")
-    m = within(m, fences(m.where("not base_failed"), SHAPE, lambda q: shape_bounds(q, reach), min_group), SHAPE, "in_shape")
-    m = within(m, fences(m.where("not base_failed and in_shape"), TAILS, lambda q: tail_bounds(q, tail), min_group), TAILS, "in_tails")
+    m = within(m, fences(sketch(m.where("not base_failed"), SHAPE, True), SHAPE, lambda q: shape_bounds(q, reach), prior), SHAPE, "in_shape")
+    m = within(m, fences(sketch(m.where("not base_failed and in_shape"), TAILS, False), TAILS, tail_bounds, prior), TAILS, "in_tails")
     return m.withColumn("kept", F.expr("not base_failed and in_shape and in_tails")).withColumnRenamed("doc_id", doc_id)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,42 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _quality_sql() -> str:
+    """Measures by plain counting, then both rounds of sketches and fences as tables."""
+    space = r"[^ \t\n\x0B\f\r]"
+
+    def fenced(name: str, rows: str, names: list[str], zeros: bool, low: str, high: str) -> str:
+        q = lambda p: f"(case when min(bin) filter (upto >= {p} * every) = {quality.ZERO} then 0.0::double else pow({quality.GAMMA}::double, min(bin) filter (upto >= {p} * every)) end)"
+        each = " union all ".join(f"select lang, source, '{x}' as measure, case when {x} > 0 then ceil(round(ln({x}) / {math.log(quality.GAMMA)!r}, 6))::int else {quality.ZERO} end as bin from {rows}" for x in names)
+        out = [f"c_{name} as (select lang, source, measure, bin, count(*) as n from ({each}) {'' if zeros else f'where bin <> {quality.ZERO}'} group by all)"]
+        for level, keys in (("all", ""), ("lang", "lang, "), ("own", "lang, source, ")):
+            out.append(f"""{name}_{level} as (select {keys}measure, max(every) ** 2 / (max(every) ** 2 + {quality.PRIOR**2}) as w, {low.format(a=q(0.25), b=q(0.75))} as low, {high.format(a=q(0.25), b=q(0.75), m=q(0.5), t=q(quality.TAIL))} as high
+  from (select {keys}measure, bin, sum(n) over (partition by {keys}measure order by bin) as upto, sum(n) over (partition by {keys}measure) as every from (select {keys}measure, bin, sum(n) as n from c_{name} group by {keys}measure, bin)) group by {keys}measure)""")
+        drawn = lambda c: f"coalesce(o.w, 0) * coalesce(o.{c}, 0) + (1 - coalesce(o.w, 0)) * (coalesce(l.w, 0) * coalesce(l.{c}, 0) + (1 - coalesce(l.w, 0)) * a.{c})"
+        out.append(f"""f_{name} as (select g.lang, g.source, a.measure, {drawn('low')} as low, {drawn('high')} as high from (select distinct lang, source from c_{name}) g cross join {name}_all a
+  left join {name}_lang l on l.lang is not distinct from g.lang and l.measure = a.measure left join {name}_own o on o.lang is not distinct from g.lang and o.source is not distinct from g.source and o.measure = a.measure)""")
+        inside = " and ".join(f"coalesce({x} between (select low from f_{name} f where f.lang is not distinct from m.lang and f.source is not distinct from m.source and measure = '{x}') and (select high from f_{name} f where f.lang is not distinct from m.lang and f.source is not distinct from m.source and measure = '{x}'), true)" for x in names)
+        out.append(f"in_{name} as (select r, {inside} as ok from m)")
+        return ", ".join(out)
+
+    spread = f"{quality.REACH} * greatest({{b}} - {{a}}, {quality.LEAST})"
+    return rf"""
+with d as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select r, i, count(*) over (partition by r, x) as times from (select r, unnest(range(1, len(w) - 1)) as i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as x from d where len(w) > 2)),
+rep as (select r, count(distinct i + k) as n from g, range(3) t(k) where times > 1 group by 1),
+b as (select r, doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(text, '{quality.SYMBOLS}')) as n_symbols, len(regexp_extract_all(text, '[^\p{{L}}\p{{N}} \t\n\x0B\f\r]')) as n_marks,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{space}')) as lines, coalesce(n, 0) as n_repeat_words from d left join rep using (r)),
+m as materialized (select *, len(lines) - len(list_distinct(lines)) as n_dup_lines, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed, coalesce(n_symbols / nullif(word_chars, 0), 0) as symbol_share, coalesce(n_marks / nullif(word_chars, 0), 0) as mark_share,
+  coalesce((len(lines) - len(list_distinct(lines))) / nullif(len(lines), 0), 0) as dup_line_share, coalesce(n_repeat_words / nullif(n_words, 0), 0) as repeat_share, coalesce(word_chars / nullif(n_words, 0), 0) as mean_word_chars from b),
+base as (select * from m where not base_failed), {fenced('shape', 'base', quality.SHAPE, True, "{a} - " + spread, "{b} + " + spread)},
+plain as (select base.* from base join in_shape using (r) where ok), {fenced('tails', 'plain', quality.TAILS, False, "0.0", "2 * {t} - {m}")}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and s.ok and t.ok as kept from m join in_shape s using (r) join in_tails t using (r)
+"""
+
+
+ORACLE["op4_quality_rules"] = _quality_sql()
+
+
 @query
 def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))

@@ -145,13 +145,28 @@ def test_fences_differ_between_groups(spark):
 
     rows = [(k, text(4 + rng.normal(0, 0.2)), "aa", "s") for k in range(120)] + [(1000 + k, text(8 + rng.normal(0, 0.6)), "bb", "s") for k in range(120)]
     rows += [(5000, text(8), "aa", "s"), (5001, text(4), "bb", "s")]
-    got = quality.rate(frame(spark, rows), min_group=50)
+    got = quality.rate(frame(spark, rows))
     kept = {r["doc_id"]: r["kept"] for r in got.collect()}
     assert not kept[5000] and not kept[5001] and sum(kept.values()) > 200
     top = {r["lang"]: (r["a"], r["b"]) for r in got.groupBy("lang").agg(F.max("max_mean_word_chars").alias("a"), F.max("max_mark_share").alias("b")).collect()}
     assert top["aa"][0] + 2 < top["bb"][0]
 
 
+def test_fences_of_two_sources_of_a_language(spark):
+    """At the registered settings a source has its own fences; a small one is drawn toward its language's, and no run differs."""
+    rng = np.random.default_rng(2)
+    text = lambda mean: " ".join("".join(map(chr, rng.integers(97, 123, max(1, int(n))))) for n in rng.normal(mean, 1, 120))
+    rows = [(k, text(4 + rng.normal(0, 0.2)), "aa", "s") for k in range(200)] + [(1000 + k, text(8 + rng.normal(0, 0.2)), "aa", "t") for k in range(200)] + [(2000 + k, text(6), "aa", "u") for k in range(3)]
+    rows += [(5000, text(8), "aa", "s"), (5001, text(4), "aa", "t")]
+    got = quality.rate(frame(spark, rows)).collect()
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert not kept[5000] and not kept[5001] and sum(kept.values()) >= 400
+    low = {r["source"]: (r["min_mean_word_chars"], r["max_mean_word_chars"]) for r in got}
+    assert low["s"][1] < 8 < low["t"][1] and low["u"][1] > low["t"][1]
+    again = quality.rate(frame(spark, rows[::-1]).repartition(7)).collect()
+    assert {r["doc_id"]: (r["kept"], r["max_mark_share"], r["max_mean_word_chars"]) for r in again} == {r["doc_id"]: (r["kept"], r["max_mark_share"], r["max_mean_word_chars"]) for r in got}
+
+
 def test_large_family(spark, monkeypatch):
     """A family that its hub does not link, dealt over many cells."""
     monkeypatch.setattr(minhash, "CELL", 32)
