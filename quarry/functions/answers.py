@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from .text import sentences, words
 
 
-def expand(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """The text with the words of every rule whose pattern it matches."""
-    return F.concat(text, *(F.when(F.lower(text).rlike(p), F.lit(" " + words)).otherwise("") for p, words in rules))
+def expand(text: Column, rules: list[tuple[str, str]], numbered: list[tuple[str, dict[str, int]]] = ()) -> Column:
+    """The text, 'semester n' for each number that a pattern of ``numbered`` finds in it, and the words of every rule whose pattern it matches."""
+
+    def counted(pattern: str, names: dict[str, int]) -> Column:
+        number = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+        return F.array_join(F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)), lambda w: F.concat(F.lit(" semester "), F.element_at(number, w))), "")
+
+    return F.concat(text, *(counted(p, names) for p, names in numbered), *(F.when(F.lower(text).rlike(p), F.lit(" " + words)).otherwise("") for p, words in rules))
 
 
 def normalize(text: Column, aliases: dict[str, str]) -> Column:

@@ -20,11 +20,32 @@ SCALES = {"hundred": 100, "thousand": 1000}
 COURSE_KINDS = ["GE", "CC", "DC", "DE", "MS", "ES"]
 COURSE_ROW = rf"^\s*([A-Z]{{2,4}}-[0-9]{{3}}):?\s+(.+?)\s+(?:{'|'.join(COURSE_KINDS)})\s+([0-9])(?:\+([0-9]))?\s*$"
 # How a student says that a course is done, failed or going on; the group holds the courses.
-_I = r"(?:i|i've|ive|i have|i'm|im|i am)"
 STATUS = {
-    "failed": [rf"{_I}\s+(?:failed|flunked)\s+([^.,;?!]+)", rf"{_I}\s+(?:didn't|didnt|did not|couldn't|couldnt|could not)\s+(?:pass|clear)\s+([^.,;?!]+)", rf"{_I}\s+(?:got|received)\s+(?:an?\s+)?[fd][+-]?\s+in\s+([^.,;?!]+)"],
-    "in_progress": [rf"{_I}\s+(?:currently\s+)?(?:taking|studying|enrolled in|doing|registered for)\s+([^.,;?!]+)"],
-    "completed": [rf"{_I}\s+(?:already\s+)?(?:passed|completed|done|finished|cleared)\s+([^.,;?!]+)", rf"{_I}\s+(?:got|received)\s+(?:an?\s+)?[a-c][+-]?\s+in\s+([^.,;?!]+)"],
+    "completed": [
+        r"(?:i|i've|ive|i have)\s+(?:already\s+)?(?:passed|completed|finished|done|cleared|taken)\s+([^.,;?!]+)",
+        r"(?:i|i've|ive|i have)\s+(?:successfully\s+)?(?:passed|completed)\s+([^.,;?!]+)",
+        r"(?:i|i've|ive|i have)\s+(?:already\s+)?done\s+(?:with\s+)?([^.,;?!]+)",
+        r"(?:i|i've|ive|i have)\s+(?:already\s+)?(?:taken|studied)\s+(?:and passed\s+)?([^.,;?!]+)",
+        r"(?:i|i've|ive)\s+(?:got|gotten|received)\s+(?:a\s+)?[a-cA-C][\+\-]?\s+in\s+([^.,;?!]+)",
+        r"([A-Z\-\s\d]+)\s+(?:is|was)\s+(?:already\s+)?(?:passed|completed|done|finished|cleared)",
+        r"([A-Z\-\s\d]+)\s+(?:has been|was)\s+(?:successfully\s+)?(?:completed|passed)",
+    ],
+    "failed": [
+        r"(?:i|i've|ive|i have)\s+(?:failed|flunked)\s+([^.,;?!]+)",
+        r"(?:i|i've|ive)\s+(?:didn't|didnt|did not)\s+pass\s+([^.,;?!]+)",
+        r"(?:i|i've|ive)\s+(?:couldn't|couldnt|could not)\s+(?:pass|clear)\s+([^.,;?!]+)",
+        r"(?:i|i've|ive)\s+(?:got|gotten|received)\s+(?:an?\s+)?[fFdD][\+\-]?\s+in\s+([^.,;?!]+)",
+        r"([A-Z\-\s\d]+)\s+(?:is|was)\s+(?:failed|not passed)",
+        r"([A-Z\-\s\d]+)\s+(?:has been|was)\s+(?:failed)",
+    ],
+    "in_progress": [
+        r"(?:i|i'm|im|i am)\s+(?:currently\s+)?(?:taking|studying|enrolled in|doing)\s+([^.,;?!]+)",
+        r"(?:i|i'm|im|i am)\s+(?:currently\s+)?(?:in|attending)\s+([^.,;?!]+)",
+        r"(?:i|i'm|im|i am)\s+(?:currently\s+)?(?:registered for)\s+([^.,;?!]+)",
+        r"(?:this semester|this term),?\s+(?:i|i'm|im|i am)\s+(?:taking|studying|doing)\s+([^.,;?!]+)",
+        r"(?:i|i'm|im|i am)\s+(?:taking|studying|doing)\s+([^.,;?!]+)\s+(?:this semester|this term|right now)",
+        r"([A-Z\-\s\d]+)\s+(?:is|are)\s+(?:my\s+)?(?:current|ongoing)\s+(?:course|class)",
+    ],
 }
 
 
@@ -60,7 +81,7 @@ def course_status(text: Column) -> dict[str, Column]:
     """failed, in_progress and completed: the codes a student names so; what is failed is nothing else, what goes on is not completed."""
     found = {}
     for status, patterns in STATUS.items():
-        said = F.flatten(F.array(*(F.regexp_extract_all(F.lower(text), F.lit(r"\b" + p), F.lit(1)) for p in patterns)))
+        said = F.flatten(F.array(*(F.regexp_extract_all(F.lower(text), F.lit("(?i)" + p), F.lit(1)) for p in patterns)))
         found[status] = F.array_distinct(F.flatten(F.transform(said, tx.codes)))
     going = F.array_except(found["in_progress"], found["failed"])
     done = F.array_except(F.array_except(found["completed"], found["failed"]), found["in_progress"])

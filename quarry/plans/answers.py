@@ -93,14 +93,37 @@ SYNONYMS = [
     (r"(mail|email|e-mail)", "email"),
     (r"(office|room|sit|sits|sitting)", "office room"),
     (r"(timetable|time ?table|schedule)", "timetable schedule"),
-    (r"(on|in|of)", "preposition"),
+    (r"(bscs|bs cs|bs\s*\(?cs\)?|undergrad\w*)", "BS Computer Science"),
+    (r"(mphil|m\.phil)", "MPhil"),
+    (r"(ms ?ds|data science masters?)", "MS Data Science"),
+    (r"(ist)", "Information Science Technology"),
+    (r"(ai)", "Artificial Intelligence"),
+    (r"(ml)", "Machine Learning"),
+    (r"(nlp)", "Natural Language Processing"),
+    (r"(os)", "Operating Systems"),
+    (r"(dbs|dbms|database)", "Database Systems"),
+    (r"(oop)", "Object Oriented Programming"),
+    (r"(ds)", "Data Structures"),
+    (r"(hci)", "Human Computer Interaction"),
+    (r"(fyp|final year project)", "Final Year Project"),
+    (r"(coa|coal)", "Computer Organization Assembly Language"),
 ]
+# How semesters are counted before and after the word.
+BEFORE = {"first": 1, "second": 2, "third": 3, "fourth": 4, "fifth": 5, "sixth": 6, "seventh": 7, "eighth": 8, "1st": 1, "2nd": 2, "3rd": 3, "4th": 4, "5th": 5, "6th": 6, "7th": 7, "8th": 8}
+AFTER = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "viii": 8, "vii": 7, "vi": 6, "iv": 4, "v": 5, "iii": 3, "ii": 2, "i": 1}
+SEMESTERS = [(rf"\b({'|'.join(BEFORE)})\s+(?:semester|sem)\b", BEFORE), (rf"\b(?:semester|sem)\s+({'|'.join(AFTER)})\b", AFTER)]
 _BORDER = "(^|[^\\p{L}\\p{N}_])%s($|[^\\p{L}\\p{N}_])"  # a word border that every engine takes alike
+_RULES = [(_BORDER % p, words) for p, words in SYNONYMS]
+_SAID = "text || case item_id % 4 when 0 then ' fees in the 3rd semester and Semester iv' when 1 then ' what is OOP; prereqs, FYP deadline' else '' end"
+_counted = lambda p, names: f"coalesce(array_to_string(list_transform(regexp_extract_all(lower(t), '{p}', 1), lambda w: ' semester ' || (MAP {{{', '.join(f'{k!r}: {v}' for k, v in names.items())}}})[w]), ''), '')"
 
 
-@query("select item_id, text || " + " || ".join(f"case when regexp_matches(lower(text), '{_BORDER % p}') then ' {words}' else '' end" for p, words in SYNONYMS) + " as expanded from benchmark")
+@query(f"select item_id, t || {' || '.join(_counted(p, names) for p, names in SEMESTERS)} || " + " || ".join(f"case when regexp_matches(lower(t), '{p}') then ' {words}' else '' end" for p, words in _RULES) + f" as expanded from (select item_id, {_SAID} as t from benchmark)")
 def expand_query(spark, d):
-    return load(spark, d, "benchmark").select("item_id", an.expand(F.col("text"), [(_BORDER % p, words) for p, words in SYNONYMS]).alias("expanded"))
+    """Every item as a question, some with a semester or a course's short name in it."""
+    k = F.col("item_id") % 4
+    said = F.concat("text", F.when(k == 0, " fees in the 3rd semester and Semester iv").when(k == 1, " what is OOP; prereqs, FYP deadline").otherwise(""))
+    return load(spark, d, "benchmark").select("item_id", an.expand(said, _RULES, SEMESTERS).alias("expanded"))
 
 
 @query("""select item_id, trim(regexp_replace(regexp_replace(lower(translate(text, '٠١٢٣٤٥٦٧٨٩', '0123456789')), '\\bu\\b', 'you', 'g'), '[ \\n]+', ' ', 'g'), ' ') as question from benchmark""")

@@ -49,12 +49,18 @@ def course_rows(spark, d):
     return load(spark, d, "part").where("p_name is not null").select("p_partkey", F.inline(en.course_rows(page)))
 
 
-@query("""with c as (select p_partkey, 'CSC-' || lpad((p_partkey % 900 + 100)::varchar, 3, '0') as a, 'MATH-' || lpad((p_size + 200)::varchar, 3, '0') as b, 'PHY-' || lpad((p_size + 300)::varchar, 3, '0') as e from part)
-select p_partkey, [b] as failed, [e] as in_progress, [a] as completed from c""")
+_STATUS_SAID = """concat(case p_partkey % 5 when 0 then concat('I''ve passed CS ', p_partkey % 900 + 100, ' and MATH-', p_size + 200, ', but I failed math', p_size + 200, '. I am currently taking PHY-', p_size + 300)
+ when 1 then concat('CS-', p_partkey % 900 + 100, ' is passed! PHY-', p_size + 300, ' was failed, and i did not pass BIO ', p_size + 400) when 2 then concat('This semester, I am doing CS-', p_size + 100, ' and CSC-', p_size + 110, '; CSC-', p_size + 110, ' is my current course')
+ when 3 then concat('i got a B+ in PHY-', p_size + 300, '; ive received an F in CHM-', p_size + 200, '. i have already done with STA-', p_partkey % 900 + 100) else concat('i could not clear CS ', p_size + 100, ' but CS ', p_size + 100, ' has been successfully completed') end, ' ', p_name)"""
+_status = lambda k: "list_concat(" + ", ".join("regexp_extract_all(t, '(?i)" + p.replace("'", "''") + "', 1)" for p in en.STATUS[k]) + ")"
+_named = lambda k: tx.code_list_sql(f"array_to_string({_status(k)}, ' ; ')")
+
+
+@query(f"""with s as (select p_partkey, lower({_STATUS_SAID}) as t from part where p_name is not null), c as (select p_partkey, list_distinct({_named('failed')}) as f, list_distinct({_named('in_progress')}) as g, list_distinct({_named('completed')}) as d from s)
+select p_partkey, list_sort(f) as failed, list_sort(list_filter(g, lambda x: not list_contains(f, x))) as in_progress, list_sort(list_filter(d, lambda x: not list_contains(f, x) and not list_contains(g, x))) as completed from c""")
 def status_parse(spark, d):
-    p = F.col("p_partkey") % 900 + 100
-    said = F.format_string("I've passed CS %d and MATH-%d, but I failed math%d. I am currently taking PHY-%d", p, F.col("p_size") + 200, F.col("p_size") + 200, F.col("p_size") + 300)
-    return load(spark, d, "part").select("p_partkey", *(c.alias(k) for k, c in en.course_status(said).items()))
+    """What students say of their courses, in five wordings, course first and last."""
+    return load(spark, d, "part").where("p_name is not null").select("p_partkey", F.expr(_STATUS_SAID).alias("said")).select("p_partkey", *(c.alias(k) for k, c in en.course_status(F.col("said")).items()))
 
 
 @query("""with c as (select p_partkey, p_brand as program, [p_size % 8 + 1, (p_size + 1) % 8 + 1] as semesters, [chr((65 + p_size % 4)::int), chr((82 + p_partkey % 2)::int)] as sections from part)
