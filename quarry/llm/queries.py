@@ -179,7 +179,7 @@ def _mix_sql() -> str:
         tokens, source = ("tokens", "leaf") if depth == 1 else ("l.tokens", f"leaf l join share{depth - 1} p using ({', '.join(above)})")
         steps.append(f"""
 node{depth} as (select {', '.join(keys)}, sum({tokens}) as tokens, {'(select sum(tokens) from leaf)' if depth == 1 else 'min(p.share)'} as given, {" || '/' || ".join(keys)} as path from {source} group by {', '.join(keys)}),
-cap{depth} as (select n.*, coalesce(w.weight, 1) as w, case when coalesce(w.weight, 1) > 0 then n.tokens * {MIX_EPOCHS} else 0 end as cap from node{depth} n left join weights w using (path)),
+cap{depth} as (select n.*, coalesce(w.weight, 1) as w, c.cap from node{depth} n join caps{depth} c using ({', '.join(keys)}) left join weights w using (path)),
 run{depth} as (select *, sum(cap) over (a rows unbounded preceding) as cap_upto, sum(w) over (a rows unbounded preceding) as w_upto, sum(w) over (b) as w_all from cap{depth}
   window a as ({over} order by case when w > 0 then cap / w else -1 end, path), b as ({over})),
 full{depth} as (select *, cap_upto * w + cap * (w_all - w_upto) <= given * w or w <= 0 as filled from run{depth}),
@@ -189,7 +189,10 @@ share{depth} as (select {', '.join(keys)}, cast(case when filled then cap else l
     return f"""
 with weights(path, weight) as (values {', '.join(f'({_quoted(p)}, {w})' for p, w in MIX_WEIGHTS)}),
 docs as (select doc_id, lang, source, [{names}][cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4 + 1] as domain, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as tokens from documents),
-leaf as (select domain, lang, source, cast(sum(tokens) as bigint) as tokens from docs group by all), {','.join(steps)},
+leaf as (select domain, lang, source, cast(sum(tokens) as bigint) as tokens from docs group by all),
+caps3 as (select domain, lang, source, case when coalesce(weight, 1) > 0 then tokens * {MIX_EPOCHS} else 0 end as cap from leaf left join weights on path = domain || '/' || lang || '/' || source),
+caps2 as (select domain, lang, case when coalesce(any_value(weight), 1) > 0 then sum(cap) else 0 end as cap from caps3 left join weights on path = domain || '/' || lang group by 1, 2),
+caps1 as (select domain, case when coalesce(any_value(weight), 1) > 0 then sum(cap) else 0 end as cap from caps2 left join weights on path = domain group by 1), {','.join(steps)},
 planned as (select l.*, s.share, least({MIX_EPOCHS}, coalesce(s.share // nullif(l.tokens, 0), 0)) as whole from leaf l join share3 s using (domain, lang, source)),
 ordered as (select d.doc_id, d.domain, d.lang, d.source, d.tokens, p.share, p.whole, p.share - p.whole * p.tokens as spare,
   sum(d.tokens) over (partition by d.domain, d.lang, d.source order by md5('{MIX_SEED}|' || p.whole || '|' || d.doc_id) rows unbounded preceding) as upto from docs d join planned p using (domain, lang, source))
