@@ -6,15 +6,20 @@ Dice = 2 |common bigrams| / (|unit| + |template|) over distinct bigrams. A Dice
 of t needs (t / (2 - t)) of a template's bigrams in the text, so a template
 with fewer is pruned. For the others a unit is a window of words that begins
 at one of the template's bigrams and has its length, or STRETCH times less or
-more; a unit counts unless a better one overlaps it.
+more. Units are taken from left to right: one that overlaps the last one taken
+takes its place if it is better, and falls if not.
+
+A text that meets a template is cut into segments of SEGMENT places, each with
+what the longest window needs beyond it, so a row that a window is cut from is
+short however long the text is, and texts take time in proportion to length.
 
 The templates are a fixed list of a few dozen rows, and are broadcast as such.
 
 Defined results
     null, empty or wordless text: no unit, no match. A text of one word has no
-    bigram and matches nothing. Ties: the earlier, then the shorter unit, then
-    the least licence name. null doc_id: scanned; repeated rows: a row each.
-    Extra columns aren't read. Very long texts: windows of them, all in one row.
+    bigram and matches nothing. Ties: the earlier unit; of those with one
+    beginning the better, then the shorter, then the least licence name. null doc_id: scanned; repeated rows: a row each.
+    Extra columns aren't read. Very long texts: segments of them; the units of a text are put in order in one row.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD, STRETCH = 0.8, 1.25
+#: Places of a text that a row holds, before what their windows reach beyond them.
+SEGMENT = 256
 
 #: Licence name and the usual wording of its notice.
 TEMPLATES = [
@@ -85,26 +92,45 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id
     texts = docs.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), normal_words(F.col(text)).alias("words"))
     # explode(array(x)) keeps an expression from being moved into the next ones and evaluated anew there
     texts = texts.select("row", "doc_id", F.explode(F.array(pairs(F.col("words")))).alias("g"))
+    texts = texts.where(F.exists("g", lambda g: g.isin(grams)))
+    widest = known.agg(F.coalesce(F.max(F.floor(F.col("n") * STRETCH)), F.lit(0))).first()[0]
+    cut = F.transform(F.sequence(F.lit(0), F.size("g") - 1, F.lit(SEGMENT)), lambda k: F.struct(k.alias("offset"), F.slice("g", k + 1, F.lit(SEGMENT + int(widest))).alias("g")))
+    texts = texts.select("row", "doc_id", F.inline(cut))
     places = F.filter(F.transform("g", lambda g, i: F.when(g.isin(grams), i)), lambda i: i.isNotNull())
-    texts = texts.select("row", "doc_id", "g", F.explode(F.array(places)).alias("at")).where(F.size("at") > 0)
+    texts = texts.select("row", "doc_id", "offset", "g", F.explode(F.array(places)).alias("at")).where(F.coalesce(F.get("at", F.lit(0)) < SEGMENT, F.lit(False)))
     texts = texts.withColumn("met", F.array_distinct(F.transform("at", lambda i: F.get("g", i))))
     every = known.agg(F.collect_list(F.struct("template", "license", "n", "grams", "size")).alias("every"))  # one row
     texts = texts.crossJoin(F.broadcast(every))
     fits = F.filter("every", lambda t: F.size(F.array_intersect("met", t["grams"])) >= t["size"] * share)
-    texts = texts.select("row", "doc_id", "g", "at", F.explode(fits).alias("t"))
-    starts = F.filter("at", lambda i: F.array_contains("t.grams", F.get("g", i)))
+    texts = texts.select("row", "doc_id", "offset", "g", "at", F.explode(fits).alias("t"))
+    starts = F.filter("at", lambda i: (i < SEGMENT) & F.array_contains("t.grams", F.get("g", i)))
     n = F.col("t.n")
     lengths = F.array_distinct(F.array(F.ceil(n / STRETCH).cast("int"), n, F.floor(n * STRETCH).cast("int")))
-    units = texts.select("row", "doc_id", "g", "t", F.explode(starts).alias("start"), lengths.alias("lengths")).withColumn("length", F.explode("lengths"))
-    units = units.select("row", "doc_id", "t", "start", F.explode(F.array(F.slice("g", F.col("start") + 1, F.col("length") - 1))).alias("unit"))
+    units = texts.select("row", "doc_id", "offset", "g", "t", F.explode(starts).alias("start"), lengths.alias("lengths")).withColumn("length", F.explode("lengths"))
+    units = units.select("row", "doc_id", "t", (F.col("offset") + F.col("start")).alias("start"), F.explode(F.array(F.slice("g", F.col("start") + 1, F.col("length") - 1))).alias("unit"))
     units = units.select("row", "doc_id", "t", "start", (F.col("start") + F.size("unit") + 1).alias("end"), F.explode(F.array(F.array_distinct("unit"))).alias("unit"))
     dice = 2 * F.size(F.array_intersect("unit", "t.grams")) / (F.size("unit") + F.col("t.size"))
     units = units.select("row", "doc_id", "start", "end", "t.license", "t.template", dice.alias("dice")).where(F.col("dice") >= threshold)
-    # the units of one text, best first: one counts if none before it overlaps it
-    best = F.array_sort(F.collect_set(F.struct((-F.col("dice")).alias("less"), "start", "end", "license", "template")))
-    each = units.groupBy("row", "doc_id").agg(best.alias("u"))
-    free = F.filter("u", lambda x, i: ~F.exists(F.slice("u", 1, i), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    found = each.select("row", "doc_id", F.inline(free))
+    # the units of one text by place; the last of ``taken`` is the only one that the next can overlap
+    kind = "struct<start:int,less:double,end:int,license:string,template:int>"
+    ordered = F.sort_array(F.collect_set(F.struct("start", (-F.col("dice")).alias("less"), "end", "license", "template").cast(kind)))
+    each = units.groupBy("row", "doc_id").agg(ordered.alias("u"))
+
+    def take(s, x):
+        last = s["last"]
+        apart = last.isNull() | (x["start"] >= last["end"])
+        taken = F.when(apart & last.isNotNull(), F.concat(s["taken"], F.array(last))).otherwise(s["taken"])
+        return F.struct(taken.alias("taken"), F.when(apart | (x["less"] < last["less"]), x).otherwise(last).alias("last"))
+
+    state = lambda taken, last: F.struct(taken.cast(f"array<{kind}>").alias("taken"), last.cast(kind).alias("last"))
+
+    def some(s, part):
+        """``part`` taken up in an array of its own, so the long one is added to once for all of it."""
+        one = F.aggregate(part, state(F.array(), s["last"]), take)
+        return F.get(F.transform(F.array(one), lambda x: state(F.concat(s["taken"], x["taken"]), x["last"])), F.lit(0))
+
+    parts = F.transform(F.sequence(F.lit(0), F.size("u") - 1, F.lit(SEGMENT)), lambda k: F.slice("u", k + 1, SEGMENT))
+    found = each.select("row", "doc_id", F.inline(F.aggregate(parts, state(F.array(), F.lit(None)), some, lambda s: F.concat(s["taken"], F.array(s["last"])))))
     return found.select(F.col("doc_id").alias(doc_id), "row", "start", "end", "license", "template", (-F.col("less")).alias("dice"))
 
 

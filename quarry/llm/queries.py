@@ -138,7 +138,7 @@ def _quoted(x: str) -> str:
 
 
 ORACLE["op3_license_scan"] = f"""
-with given(template, license, body) as (values {', '.join(f'({k}, {_quoted(n)}, {_quoted(t)})' for k, (n, t) in enumerate(licenses.TEMPLATES))}),
+with recursive given(template, license, body) as (values {', '.join(f'({k}, {_quoted(n)}, {_quoted(t)})' for k, (n, t) in enumerate(licenses.TEMPLATES))}),
 w as (select row_number() over () as row, doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as w from documents where text is not null),
 d as (select row, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as g from w where len(w) > 1),
 tw as (select template, license, list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as w from given),
@@ -148,8 +148,10 @@ p as (select *, unnest(list_filter(range(1, len(g) + 1), lambda i: list_contains
 l as (select *, unnest(ns) as n2 from p),
 u as (select row, doc_id, template, license, tg, p, least(p + n2 - 2, len(g)) + 2 as e, list_distinct(g[p : p + n2 - 2]) as u from l),
 s as (select distinct row, doc_id, template, license, p, e, 2 * len(list_intersect(u, tg)) / (len(u) + len(tg)) as dice from u),
-r as (select *, row_number() over (partition by row order by dice desc, p, e, license, template) as k from s where dice >= {licenses.THRESHOLD}),
-kept as (select * from r a where not exists (select 1 from r b where b.row = a.row and b.k < a.k and b.p < a.e and a.p < b.e))
+r as (select *, row_number() over (partition by row order by p, dice desc, e, license, template) as k from s where dice >= {licenses.THRESHOLD}),
+walk(row, k, last, gone) as (select row, k, k, null::bigint from r where k = 1 union all
+  select r.row, r.k, case when r.p >= l.e or r.dice > l.dice then r.k else l.k end, case when r.p >= l.e then l.k end from walk w join r on r.row = w.row and r.k = w.k + 1 join r l on l.row = w.row and l.k = w.last),
+picked as (select row, gone as k from walk where gone is not null union select row, arg_max(last, k) from walk group by 1), kept as (select r.* from r join picked using (row, k))
 select doc_id, list_sort(list(distinct license)) as licenses, first(license order by dice desc, license) as best, round(max(dice), 6) as best_dice, count(*) as n_units from kept group by row, doc_id
 """
 

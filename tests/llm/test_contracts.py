@@ -135,6 +135,27 @@ def test_licence_inside_a_longer_text(spark):
     assert got[1] == (["Apache-2.0"], "Apache-2.0") and "Proprietary" in got[2][0] and 3 not in got
 
 
+def test_repeated_notices_in_a_long_text(spark):
+    """1 MB of one notice again and again: each of them once, in a time that grows with the length."""
+    took = {}
+    for n in (13_000, 52_000):
+        began = time.time()
+        got = licenses.scan(frame(spark, [(1, "all rights reserved " * n, "en", "a"), (2, "plain text", "en", "a")])).collect()
+        took[n] = time.time() - began
+        assert [(r["doc_id"], r["best"], r["best_dice"], r["n_units"]) for r in got] == [(1, "Proprietary", 1.0, n)]
+    assert took[52_000] < 60
+
+
+def test_apart_from_what_beats_its_neighbour(spark):
+    """Where A beats B and B beats C, A and C count if they lie apart; and units meet across the ends of segments."""
+    rows = [("X", "a b c d e f g h"), ("Y", "e f g h i j k l"), ("Z", "j k l m n o p q")]
+    text = "a b c d e f g h i j k x m n o p q"
+    got = sorted((r["license"], r["start"], r["end"]) for r in licenses.matches(frame(spark, [(1, text, "en", "a")]), threshold=0.6, rows=rows).collect())
+    assert [g[0] for g in got] == ["X", "Z"]
+    long = "w " * 250 + "a b c d e f g h " + "w " * 300
+    assert [(r["start"], r["end"]) for r in licenses.matches(frame(spark, [(1, long, "en", "a")]), rows=rows).collect()] == [(250, 258)]
+
+
 def test_fences_differ_between_groups(spark):
     """Each language has fences of its own, and they move with its distribution."""
     rng = np.random.default_rng(1)
