@@ -200,11 +200,20 @@ def html_sections(spark, d):
     return html.sections(load(spark, d, "pages"))
 
 
-@query("""select doc_id, case when text is null or text = '' then 'empty' when starts_with(text, '%PDF') then 'pdf' when length(text) - length(replace(text, chr(65533), '')) > 0.005 * length(text) then 'replacement' end as problem from documents""")
+_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+_DAMAGED = "case doc_id % 11 when 0 then concat(' ', chr(10), ' ') when 1 then concat('  %PDF-1.4 ', left(text, 50)) when 2 then concat(left(text, 90), ' endobj ') when 3 then concat(chr(2), chr(3), left(text, 120)) when 4 then concat(chr(2), text) else text end"
+
+
+@query(rf"""select doc_id, case when starts_with(ltrim(t, chr(32) || chr(10)), '%PDF-') or regexp_matches(t, '\b(endobj|FlateDecode)\b') then 'pdf' when t is null or trim(t, chr(32) || chr(10)) = '' then 'empty'
+  when length(t) - length(replace(t, chr(65533), '')) > 0.005 * length(t) then 'replacement' when len(regexp_extract_all(t, '{_CONTROL}')) > 0.01 * length(t) then 'control' end as problem from (select doc_id, {_DAMAGED} as t from documents)""")
 def text_problem(spark, d):
-    t = F.col("text")
-    bad = F.length(t) - F.length(F.replace(t, F.lit("\ufffd"), F.lit("")))
-    return load(spark, d, "documents").select("doc_id", F.when(t.isNull() | (t == ""), "empty").when(F.startswith(t, F.lit("%PDF")), "pdf").when(bad > 0.005 * F.length(t), "replacement").alias("problem"))
+    """Why a text is none: PDF source, nothing, characters lost in decoding, or control characters; some documents are damaged so."""
+    t = F.col("t")
+    bad = F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit("")))
+    bare = F.regexp_replace(t, r"^[ \n]+", "")
+    pdf = F.startswith(bare, F.lit("%PDF-")) | t.rlike(r"\b(endobj|FlateDecode)\b")
+    problem = F.when(pdf, "pdf").when(t.isNull() | (bare == ""), "empty").when(bad > 0.005 * F.length(t), "replacement").when(F.regexp_count(t, F.lit(_CONTROL)) > 0.01 * F.length(t), "control")
+    return load(spark, d, "documents").select("doc_id", F.expr(_DAMAGED).alias("t")).select("doc_id", problem.alias("problem"))
 
 
 @query(r"""select doc_id, len(regexp_extract_all(text, '[0-9]+')) as n_numbers, case when len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) > 0 then 'contact' when len(regexp_extract_all(text, '[0-9]+')) >= 3 then 'table' else 'prose' end as kind from documents""")
@@ -284,3 +293,16 @@ j as (select doc_id, string_agg(case when i = 1 then '' when not ({_goes_on}) th
 select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '-\x01', '', 'g'), '^\n+', ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '\n+$', chr(10)) as text from j""")
 def reflow(spark, d):
     return load(spark, d, "documents").where("text is not null").select("doc_id", chunks.reflow(F.col("text")).alias("text"))
+
+
+_SCRIPTS = "case doc_id % 6 when 0 then 'مجھے فیس کے بارے میں بتائیں ' || left(text, 20) when 1 then 'mujhe fees batao ' || left(text, 60) when 2 then 'داخلہ ' || left(text, 80) else text end"
+_hints = "[" + ", ".join(f"'{w}'" for w in tx.ROMAN_URDU) + "]"
+
+
+@query(rf"""with t as (select doc_id, {_SCRIPTS} as t from documents where text is not null), n as (select doc_id, regexp_replace(t, '\P{{L}}', '', 'g') as letters, len(list_filter(regexp_extract_all(lower(t), '[a-z]+'), lambda w: list_contains({_hints}, w))) as hints from t)
+select doc_id, case when length(letters) > 0 and length(regexp_replace(letters, '[^\x{{0600}}-\x{{06FF}}]', '', 'g')) / length(letters) > 0.3 then 'ur' when hints >= 2 then 'roman-ur' else 'en' end as lang from n""")
+def detect_lang(spark, d):
+    """Urdu by its script, romanised Urdu by two of its words, else English; half of the documents begin with some."""
+    k, left = F.col("doc_id") % 6, lambda n: F.left("text", F.lit(n))
+    said = F.when(k == 0, F.concat(F.lit("مجھے فیس کے بارے میں بتائیں "), left(20))).when(k == 1, F.concat(F.lit("mujhe fees batao "), left(60))).when(k == 2, F.concat(F.lit("داخلہ "), left(80))).otherwise(F.col("text"))
+    return load(spark, d, "documents").where("text is not null").select("doc_id", said.alias("said")).select("doc_id", tx.language(F.col("said")).alias("lang"))
