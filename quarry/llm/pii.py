@@ -47,9 +47,9 @@ _assigned = re.compile(r"[:=]\s*[\"']?$")
 
 # Given names, what stands before a name, and kinds of streets.
 GIVEN = frozenset("james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen anna peter paul laura marie hans klaus julia carlos juan jose maria luis ahmed ali fatima muhammad omar sara pierre jean sophie".split())
-_named = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|[Nn]ame|[Cc]ontact|[Ss]igned|[Bb]orn)\b[.:]?[ ]{1,3}((?:[A-Z][a-zà-ÿ]{1,30})(?:[ ][A-Z][a-zà-ÿ]{1,30}){0,2})")
-_street = re.compile(r"(?<![0-9])[0-9]{1,5}[A-Za-z]?[ ](?:[A-Z][a-zà-ÿ]{1,30}[ ]){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Square)\b")
-_set_to = re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|bearer|credential)\b[\"']?[ ]?[:=][ ]?[\"']?([A-Za-z_+/-]{6,128})(?![A-Za-z0-9_+/-])")
+_named = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|[Nn]ame|[Cc]ontact|[Ss]igned|[Bb]orn)\b[.:]?[ ]{1,3}([A-Z][a-zà-ÿ]++(?:[ ][A-Z][a-zà-ÿ]++)*+)")
+_street = re.compile(r"(?<![0-9])[0-9]{1,5}[A-Za-z]?[ ](?:[A-Z][a-zà-ÿ]++[ ])+(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Square)\b")
+_set_to = re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|bearer|credential)\b[\"']?[ ]?[:=][ ]?[\"']?([A-Za-z_+/-]{6,}+)(?![A-Za-z0-9_+/-])")
 
 VOTES, FEATURES = 11, 12
 THRESHOLD = 0.5

@@ -122,6 +122,17 @@ def test_op10_names_addresses_and_letter_secrets():
     assert kinds["Anna Miller"] == "name" and kinds["12 Long Meadow Street"] == "address" and kinds["correctHorseBattery"] == "secret" and "Spring" not in kinds
 
 
+def test_op10_candidates_of_any_length():
+    secret, word = "correctHorse" * 20, "A" + "b" * 60
+    text = f"password: {secret} and name: Anna {word} Maria Miller; lives at 7 Old North {word} Long Meadow Street."
+    kinds = {text[a:b]: pii.KINDS[k] for a, b, k, *_ in pii.candidates(text, [])}
+    assert kinds == {secret: "secret", f"Anna {word} Maria Miller": "name", f"7 Old North {word} Long Meadow Street": "address"}
+    began = time.process_time()
+    for t in ("name: " + "Ab " * 300_000, "password=" + "x" * 1_000_000, "7 " + "Ab " * 300_000, "7 Ab " * 200_000, "password=" * 100_000):
+        pii.candidates(t, [])
+    assert time.process_time() - began < 30
+
+
 @pytest.mark.parametrize("name", ["op1_line_dedup", "op3_license_scan", "op5_source_mixing", "op9_suffix_array_dedup"])
 def test_others_run(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
