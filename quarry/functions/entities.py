@@ -154,24 +154,35 @@ def text_diff(df: DataFrame, keys: list[str], old: str, new: str, most: int = 20
     return made.select(*keys, F.slice("diff", 1, most).alias("diff"), (F.size("diff") > most).alias("truncated"))
 
 
-def mentions(docs: DataFrame, names: DataFrame, doc: str, text: str, entity: str, longest: int = 4) -> DataFrame:
+def mentions(docs: DataFrame, names: DataFrame, doc: str, text: str, entity: str, lead: int = 4) -> DataFrame:
     """(doc, entity, start, length): where a name of ``names(entity, name)`` stands in a text, in words.
 
-    Names of up to ``longest`` words meet the texts' runs of words by an equi-join. Longer names take their words
-    first, then earlier ones; words taken are in no other mention. A name of several entities is a mention of each.
+    Names meet the texts' runs of words by an equi-join, by their first ``lead`` words if they have more; the rest of
+    such a name is then compared with the text. Longer names take their words first, then earlier ones; words taken
+    are in no other mention. That is decided within each stretch of overlapping names by itself. A name of several
+    entities is a mention of each. ``doc`` is unique; null texts and names have no words.
     """
-    known = names.select(entity, F.array_join(tx.words(F.col("name")), " ").alias("phrase"), F.size(tx.words(F.col("name"))).alias("length"))
-    known = known.where(F.col("length").between(1, longest)).groupBy("phrase", "length").agg(F.sort_array(F.collect_set(entity)).alias("entities"))
-    runs = lambda ws: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0))), lambda i: i + n <= F.size(ws)), lambda i: F.struct(i.alias("start"), F.array_join(F.slice(ws, i + 1, n), " ").alias("phrase")))))
+    told = names.select(entity, tx.words(F.col("name")).alias("words")).where("size(words) > 0")
+    known = told.groupBy("words").agg(F.sort_array(F.collect_set(entity)).alias("entities"))
+    known = known.select(F.array_join(F.slice("words", 1, lead), " ").alias("phrase"), F.size("words").alias("length"), F.array_join("words", " ").alias("whole"), "entities")
+    starts = lambda ws, n: F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0))), lambda i: i + n <= F.size(ws))
+    runs = lambda ws: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(lead)), lambda n: F.transform(starts(ws, n), lambda i: F.struct(i.alias("start"), F.array_join(F.slice(ws, i + 1, n), " ").alias("phrase")))))
     found = docs.select(doc, F.inline(tx.let(tx.words(F.col(text)), runs))).join(known, "phrase")
-    every = found.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("less"), "start", "length", "entities"))).alias("m"))
+    short = found.where(F.col("length") <= lead).select(doc, "start", "length", "entities")
+    long = found.where(F.col("length") > lead).join(docs.select(doc, tx.words(F.col(text)).alias("words")), doc)
+    long = long.where(F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " ") == F.col("whole")).select(doc, "start", "length", "entities")
+    place = Window.partitionBy(doc).orderBy("start", F.desc("length"))
+    ends = F.max(F.col("start") + F.col("length")).over(place.rowsBetween(Window.unboundedPreceding, -1))
+    every = short.unionByName(long).withColumn("_open", F.when(F.col("start") >= F.coalesce(ends, F.lit(0)), 1).otherwise(0))
+    every = every.withColumn("_stretch", F.sum("_open").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    each = every.groupBy(doc, "_stretch").agg(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("less"), "start", "length", "entities"))).alias("m"))
     first = F.slice("m", 1, 0)
 
     def take(taken, x):
         free = ~F.exists(taken, lambda y: (y["start"] < x["start"] + x["length"]) & (x["start"] < y["start"] + y["length"]))
         return F.when(free, F.concat(taken, F.array(x))).otherwise(taken)
 
-    chosen = every.select(doc, F.inline(F.aggregate("m", first, take)))
+    chosen = each.select(doc, F.inline(F.aggregate("m", first, take)))
     return chosen.select(doc, F.explode("entities").alias(entity), "start", "length")
 
 

@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def index_percentiles(df: DataFrame, keys: list[str], value: str, percents: dict[str, float]) -> DataFrame:
+def index_percentiles(df: DataFrame, keys: list[str], value: str, percents: dict[str, float], parts: int = 64) -> DataFrame:
     """sorted[min(n - 1, floor(n * p))] of each key: an element, never interpolated.
 
-    By row number against the count, so no group is held as an array.
+    Equal values are one row with a count. A mergeable sketch splits each key's values into ``parts`` runs of about
+    equal size, whose exact counts tell the run that holds each element; only those runs are put in order, each by
+    itself, so no task orders a whole key. The sketch decides the cuts alone and the result is exact whatever they are.
+    Nulls are left out; a key of nulls only has no row.
     """
-    rows = df.where(F.col(value).isNotNull())
-    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1).join(n, keys)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = F.array_distinct(F.percentile_approx(value, [k / parts for k in range(1, parts)], 16 * parts))
+    split = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"), cuts.alias("_cuts"))
+    placed = counted.join(split, keys).withColumn("_run", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    runs = placed.groupBy(*keys, "_run").agg(F.sum("_c").alias("_held"), F.first("_n").alias("_n"))
+    runs = runs.withColumn("_before", F.sum("_held").over(Window.partitionBy(*keys).orderBy("_run")) - F.col("_held"))  # at most ``parts`` rows a key
     at = {name: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p))) for name, p in percents.items()}
-    return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("_r") == place, F.col(value))).alias(name) for name, place in at.items()))
+    met = functools.reduce(operator.or_, (place.between(F.col("_before"), F.col("_before") + F.col("_held") - 1) for place in at.values()))
+    near = placed.drop("_n").join(runs.where(met), [*keys, "_run"])
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_run").orderBy(value))
+    ranked = near.withColumn("_upto", upto)
+    return ranked.groupBy(*keys).agg(*(F.max(F.when(place.between(F.col("_upto") - F.col("_c"), F.col("_upto") - 1), F.col(value))).alias(name) for name, place in at.items()))
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:

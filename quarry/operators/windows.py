@@ -22,6 +22,25 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], version: str
     return first_per(both, keys, [F.desc("_new"), F.desc(version)]).drop("_new")
 
 
+def keyed_upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: str, insert_only: list[str]) -> DataFrame:
+    """``current`` after each change in ``order``: a new key is inserted, a known one updated but for ``insert_only``.
+
+    So ``insert_only`` columns are those of a key's first row and all others those of its last, nulls included; rows
+    of ``changes`` come after all of ``current``. One aggregation, combined before the shuffle, however often a key
+    comes. ``order`` is unique in a key and a table; columns that ``changes`` has beyond ``current`` are not read.
+    """
+    latest = [c for c in current.columns if c not in keys and c not in insert_only]
+    both = current.withColumn("_new", F.lit(0)).unionByName(changes.select(*current.columns).withColumn("_new", F.lit(1)))
+    at = F.struct("_new", order)
+    made = both.groupBy(*keys).agg(F.min_by(F.struct(*insert_only), at).alias("_first"), F.max_by(F.struct(*latest), at).alias("_last"))
+    return made.select(*keys, "_first.*", "_last.*").select(*current.columns)
+
+
+def replace_children(children: DataFrame, parents: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``children`` with all rows of the keys in ``parents`` taken out and the rows of ``new`` put in; a parent without new rows loses its own."""
+    return children.join(parents.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
 def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: float = 0) -> DataFrame:
     """Intervals of a key merged where the next starts less than ``gap`` after all before have ended (0: touching merge)."""
     w = Window.partitionBy(*keys).orderBy(start, end)

@@ -18,11 +18,23 @@ def read(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
         head = spark.read.text(path).first()
         line = head["value"] if head else ""
         sep = max(";\t,", key=line.count)
-    raw = spark.read.option("header", True).option("sep", sep).csv(path)
+    raw = spark.read.option("header", True).option("sep", sep).option("escape", '"').csv(path)
     names = {alias: name for name, all_of in ALIASES.items() for alias in all_of}
     return raw.select(*(F.col(f"`{c}`").alias(names.get(c.lower().strip("\ufeff ").replace(" ", "_"), c)) for c in raw.columns))
 
 
+def registry(spark: SparkSession, path: str, key: str, names: Column | None = None) -> DataFrame:
+    """A registry with a header, all strings, a row for each key: cells may hold quotes, separators and line breaks.
+
+    Rows without a key are left out. ``names`` turns the key into what others go by (default: as it is). Of several
+    rows of one key the greatest counts, column by column, so neither the order of files nor a repeated task matters.
+    """
+    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    rows = raw.where(F.coalesce(F.trim(key), F.lit("")) != "").withColumn(key, F.trim(key) if names is None else names)
+    rest = [c for c in raw.columns if c != key]
+    return rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*")
+
+
 def validate(rows: DataFrame) -> DataFrame:
     """Adds start_min, end_min and errors; a row is good if it has no error."""
     has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
@@ -35,4 +47,4 @@ def validate(rows: DataFrame) -> DataFrame:
 
 def write(df: DataFrame, path: str) -> None:
     text = [c for c, t in df.dtypes if t == "string"]
-    df.withColumns({c: csv_safe(F.col(c)) for c in text}).write.mode("overwrite").option("header", True).csv(path)
+    df.withColumns({c: csv_safe(F.col(c)) for c in text}).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
