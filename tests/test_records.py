@@ -100,3 +100,13 @@ def test_registry_keeps_one_row_a_key(spark, tmp_path):
     assert sorted(map(tuple, got), key=repr) == [("c", None), ("http://a.b/", "zz")]
     (tmp_path / "h.csv").write_text("url,title\n")
     assert csvio.registry(spark, str(tmp_path / "h.csv"), "url").count() == 0
+
+
+def test_containing_pairs_blocks_and_shuffles_no_result(spark):
+    items = spark.range(3000).select(F.col("id").alias("i"), F.when(F.col("id") % 3 == 0, "Ash").otherwise("Oak").alias("name"))
+    asked = spark.range(2500).select(F.col("id").alias("q"), F.when(F.col("id") % 2 == 0, "AS").otherwise("none").alias("text"))
+    got = search.containing(items, asked, "i", "q")
+    assert got.agg(F.count(F.lit(1)), F.countDistinct("q"), F.countDistinct("i"), F.sum(F.col("i") % 3 + F.col("q") % 2)).first() == (1250 * 1000, 1250, 1000, 0)
+    assert search._blocks(asked, "text", "q", "b").agg(F.max(F.size("b"))).first()[0] < 2 * search.BLOCK
+    plan = got._jdf.queryExecution().optimizedPlan().toString()  # both lists are spread out after the last join
+    assert plan.index("Generate explode(_found") < plan.index("Generate explode(_asked") < plan.index("Join")
