@@ -267,3 +267,16 @@ def test_people_and_partial_names(spark):
     assert people and partial
     assert {tuple(r) for r in entities.people(q, n, "query", "item").collect()} == people
     assert {tuple(r) for r in entities.partial_names(q, n, "query", "item", []).collect()} == partial
+
+
+def test_names_alike_are_met_as_one(spark):
+    names = spark.range(6000).select(F.col("id").alias("i"), F.when(F.col("id") < 5000, F.concat(F.lit("small red gear "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("xyz"))).otherwise("small red gear").alias("name"))
+    asked = spark.range(900).select(F.col("id").alias("q"), F.concat(F.lit("a small old RED gear "), F.when(F.col("id") % 3 == 0, F.concat(F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("xyz"))).otherwise("")).alias("text"))
+    _, said, classes = entities._meet(asked, names, "q", "i", 3, [], 3)
+    assert classes.count() == 1 and entities._alike(said, classes, 3).count() == 1  # not a row for each text and name
+    got = entities.people(asked, names, "q", "i")
+    want = {(q, i, 5 if i == q and q % 3 == 0 else 3) for q in range(900) for i in (([q] if q % 3 == 0 else []) + [x for x in range(4) if x != q or q % 3])[:3]}
+    assert {tuple(r) for r in got.collect()} == want
+    few = spark.createDataFrame([(1, "small gear"), (2, "grey wolf"), (3, "grey wolf cubs")], "q long, text string")
+    wolves = names.where("i < 9").union(spark.createDataFrame([(8001, "grey wolf"), (8002, "wolf grey")], "i long, name string"))
+    assert {tuple(r) for r in entities.partial_names(few, wolves, "q", "i", []).collect()} == {(2, 8001), (2, 8002)}
