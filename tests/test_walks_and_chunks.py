@@ -269,6 +269,17 @@ def test_people_and_partial_names(spark):
     assert {tuple(r) for r in entities.partial_names(q, n, "query", "item", []).collect()} == partial
 
 
+def test_equal_names_are_compared_once(spark):
+    import time
+
+    began = time.time()
+    asked = spark.range(4000).select(F.col("id").alias("q"), F.concat(F.lit("Old grey Gea"), F.when(F.col("id") % 2 == 0, "r").otherwise("")).alias("text"))
+    names = spark.range(20000).select((F.col("id") + 5).alias("i"), F.when(F.col("id") % 4 == 0, "OLD GREY GEAR").when(F.col("id") % 4 == 1, "grey").otherwise("old grey sea").alias("name"))
+    got = entities.nearest_name(asked, names, "q", "i")
+    assert sorted(map(tuple, got.groupBy("i", "ratio").count().collect())) == [(5, 0.96, 2000), (5, 1.0, 2000)]
+    assert time.time() - began < 60  # 80 million pairs, one by one, take minutes
+
+
 def test_names_alike_are_met_as_one(spark):
     names = spark.range(6000).select(F.col("id").alias("i"), F.when(F.col("id") < 5000, F.concat(F.lit("small red gear "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("xyz"))).otherwise("small red gear").alias("name"))
     asked = spark.range(900).select(F.col("id").alias("q"), F.concat(F.lit("a small old RED gear "), F.when(F.col("id") % 3 == 0, F.concat(F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("xyz"))).otherwise("")).alias("text"))
