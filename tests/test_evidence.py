@@ -64,3 +64,14 @@ def test_citations_and_claims(spark):
     claims = [(1, "It is 5000 in 2024 [1, 2]", 1, "programme is 5,000 rupees"), (2, "It is 6000", 1, "programme is 5,000 rupees"), (3, "x", 1, "fee"), (4, "x", 1, "is not printed there"), (5, "x", 7, "programme is 5,000 rupees"), (6, "18 weeks", 1, "rupees for eighteen weeks"), (7, "x", 1, None), (8, None, 1, "programme is 5,000 rupees")]
     told = dict(map(tuple, quotes.claim_problems(spark.createDataFrame(claims, "claim long, text string, source long, quote string"), sources).collect()))
     assert told == {1: None, 2: "number without support", 3: "no quote", 4: "quote not in source", 5: "unknown source", 6: None, 7: "no quote", 8: None}
+
+
+def test_quotes_meet_the_sources_they_name_alone(spark):
+    n, text = 500, "the same words stand in each of these texts"
+    sources = spark.range(n).select(F.col("id").alias("source"), F.lit("t").alias("title"), F.lit(text).alias("text"))
+    cited = spark.range(n).select((F.col("id") % 2).alias("answer"), F.col("id").alias("source"), F.sha2(F.lit(text).cast("binary"), 256).alias("sha256"), F.array(F.lit("SAME  words stand"), F.lit("SAME  words stand")).alias("quotes"))
+    claims = spark.range(n).select(F.col("id").alias("claim"), F.lit("x").alias("text"), F.col("id").alias("source"), F.lit("in each of these").alias("quote"))
+    for got, want in ((quotes.citation_integrity(cited, sources), {(0, 250, 250, 1.0), (1, 250, 250, 1.0)}), (quotes.claim_problems(claims, sources), {(k, None) for k in range(n)})):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and "quote_id" not in plan and "-held" not in plan  # 500 quotes by 500 copies met before
+        assert {tuple(r) for r in got.collect()} == want
