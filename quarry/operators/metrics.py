@@ -8,6 +8,8 @@ import operator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import materialize
+
 
 def index_percentiles(df: DataFrame, keys: list[str], value: str, percents: dict[str, float], parts: int = 64) -> DataFrame:
     """sorted[min(n - 1, floor(n * p))] of each key: an element, never interpolated.
@@ -15,11 +17,12 @@ def index_percentiles(df: DataFrame, keys: list[str], value: str, percents: dict
     Equal values are one row with a count. A mergeable sketch splits each key's values into ``parts`` runs of about
     equal size, whose exact counts tell the run that holds each element; only those runs are put in order, each by
     itself, so no task orders a whole key. The sketch decides the cuts alone and the result is exact whatever they are.
+    The cuts are written down, since a sketch merged in another order, as when it is read twice, may cut elsewhere.
     Nulls are left out; a key of nulls only has no row.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     cuts = F.array_distinct(F.percentile_approx(value, [k / parts for k in range(1, parts)], 16 * parts))
-    split = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"), cuts.alias("_cuts"))
+    split = materialize(counted.groupBy(*keys).agg(F.sum("_c").alias("_n"), cuts.alias("_cuts")), "cuts")
     placed = counted.join(split, keys).withColumn("_run", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
     runs = placed.groupBy(*keys, "_run").agg(F.sum("_c").alias("_held"), F.first("_n").alias("_n"))
     runs = runs.withColumn("_before", F.sum("_held").over(Window.partitionBy(*keys).orderBy("_run")) - F.col("_held"))  # at most ``parts`` rows a key
