@@ -86,4 +86,5 @@ def unique_quote(spark, d):
 def candidates(spark, d):
     s = load(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 1000).alias("k"))
     p = load(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 1000).alias("k"))
-    return windows.first_per(s.join(p, "k"), ["s_suppkey"], [F.col("p_partkey")], 8).select("s_suppkey", "p_partkey")
+    first = windows.first_per(p, ["k"], [F.col("p_partkey")], 8)  # no later part of a remainder is among the first of a supplier
+    return windows.first_per(s.join(first, "k"), ["s_suppkey"], [F.col("p_partkey")], 8).select("s_suppkey", "p_partkey")
