@@ -70,9 +70,13 @@ def search(found: DataFrame, asked: DataFrame, query: str) -> DataFrame:
     title, code, instructor and abbreviation, all but one of which must hold (4).
     A named day must be the entry's as well. Codes, semesters and days meet by
     equi-joins, words by their first two letters, so no question meets all entries.
+    Questions that ask the same are answered once and joined with what they got.
     """
+    same = F.sha2(F.to_json(F.struct("q_day", "q_code", "q_semester", "tokens")), 256)
+    by_text = asked.select(query, same.alias("_same"))
+    asked = asked.select(same.alias("_same"), "q_day", "q_code", "q_semester", "tokens").dropDuplicates(["_same"])
     e = found.where(~F.col("corrupt")).select("code", "day", "start", "section", "semester", F.lower(F.concat_ws(" ", "title", "code", "instructor", "abbreviation")).alias("held")).distinct()
-    columns = [query, "rule", "code", "day", "start", "section"]
+    columns = ["_same", "rule", "code", "day", "start", "section"]
     own_day = F.col("q_day").isNull() | F.contains(F.lower("day"), F.col("q_day"))
     only_day = F.coalesce((F.size("tokens") == 1) & (F.get("tokens", F.lit(0)) == F.col("q_day")), F.lit(False))
     q = asked.withColumn("only_day", only_day)
@@ -88,6 +92,7 @@ def search(found: DataFrame, asked: DataFrame, query: str) -> DataFrame:
     met = open_.join(texts, "pair").where((n > 0) & (n >= F.size("tokens") - 1)).drop("pair").distinct()
     by_words = rule(met.join(e, "held"), 4)
     every = by_code.union(by_semester).union(by_day).union(by_words)
-    return every.groupBy(query, "code", "day", "start", "section").agg(F.min("rule").alias("rule"))
+    found = every.groupBy("_same", "code", "day", "start", "section").agg(F.min("rule").alias("rule"))
+    return by_text.join(found, "_same").select(query, "code", "day", "start", "section", "rule")
 
 
