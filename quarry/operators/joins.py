@@ -19,6 +19,22 @@ def fallback_join(left: DataFrame, right: DataFrame, keys: list[str], row: str,
     return joined.withColumn("_any", any_ok).where(F.col("_ok") | ~F.col("_any")).drop("_ok", "_any")
 
 
+def fallback_alike(left: DataFrame, right: DataFrame, keys: list[str], compatible, by: list[str]) -> DataFrame:
+    """``fallback_join`` of each left row by itself.
+
+    ``by`` names the columns of ``left`` that ``compatible`` reads: left rows alike in those and the keys have the same
+    matches, so these are found once for all of them, and the rows of the result are not shuffled.
+    """
+    alike = [*keys, *by]
+    joined = left.select(*alike).distinct().join(right, keys).withColumn("_ok", F.coalesce(compatible, F.lit(False)))
+    any_ok = F.max("_ok").over(Window.partitionBy(*alike))
+    kept = joined.withColumn("_any", any_ok).where(F.col("_ok") | ~F.col("_any")).drop("_ok", "_any")
+    null_safe = F.lit(True)
+    for c in alike:
+        null_safe = null_safe & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return left.alias("l").join(kept.alias("r"), null_safe).select(*(F.col(f"l.{c}") for c in left.columns), *(F.col(f"r.{c}") for c in right.columns if c not in keys))
+
+
 def unique_link(left: DataFrame, right: DataFrame, keys: list[str], row: str, target: str) -> DataFrame:
     """Each left row with its only match's ``target``, or null and ``ambiguous`` or ``missing``."""
     found = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(target).alias("_t"))
