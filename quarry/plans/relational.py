@@ -298,11 +298,14 @@ def log_grouping_sets(spark, d):
 @query("""with m as (select distinct l_orderkey, l_suppkey, l_linenumber, l_quantity from lineitem)
 select l_suppkey, count(distinct l_orderkey) as n_meetings, count(distinct l_linenumber) as n_courses, count(distinct (l_orderkey, l_linenumber)) as n_pairs, count(*) as n_rows, sum(l_quantity) as minutes from m group by 1""")
 def weekly_load(spark, d):
-    m = load(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity").distinct()
-    return m.groupBy("l_suppkey").agg(
-        F.countDistinct("l_orderkey").alias("n_meetings"), F.countDistinct("l_linenumber").alias("n_courses"), F.countDistinct("l_orderkey", "l_linenumber").alias("n_pairs"),
-        F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("minutes"),
-    )
+    # dealt out by supplier once; pairs and meetings are then counted on their way up, without a copy of the rows for each distinct count
+    m = load(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity").repartition("l_suppkey").distinct()
+    pairs = m.groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("minutes"))
+    meetings = pairs.groupBy("l_suppkey", "l_orderkey").agg(F.sum("n_rows").alias("n_rows"), F.sum("minutes").alias("minutes"), F.count("l_linenumber").alias("n_pairs"))
+    total = meetings.groupBy("l_suppkey").agg(F.count("l_orderkey").alias("n_meetings"), F.sum(F.when(F.col("l_orderkey").isNotNull(), F.col("n_pairs")).otherwise(0)).alias("n_pairs"), F.sum("n_rows").alias("n_rows"), F.sum("minutes").alias("minutes"))
+    courses = load(spark, d, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_linenumber").alias("n_courses"))
+    out = total.alias("t").join(courses.alias("c"), F.col("t.l_suppkey").eqNullSafe(F.col("c.l_suppkey")))
+    return out.select("t.l_suppkey", "n_meetings", "n_courses", "n_pairs", "n_rows", "minutes")
 
 
 @query("""select l_orderkey, case when count(distinct l_linenumber) >= 4 then sum(l_quantity) end as total from lineitem group by 1""")
