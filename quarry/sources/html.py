@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,8 @@ FORMS = frozenset({"form"})
 _BLOCK = {"p", "div", "li", "tr", "section", "article", "br", "h1", "h2", "h3", "h4", "h5", "h6", "table", "ul", "ol"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Pages read at once: only so many are Python strings beside the batch.
+PAGES = 64
 
 
 class _Page(HTMLParser):
@@ -67,11 +68,13 @@ def page_text(pages: DataFrame, key: str = "page_id", html: str = "html", hide:
     """(key, text)"""
     rows = pages.select(F.col(key), F.col(html).alias("html"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "text": [to_text(x, hide, marks) for x in b["html"]]})
+            for k in range(0, b.num_rows, PAGES):
+                part = b.slice(k, PAGES)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_text(x.as_py(), hide, marks) for x in part.column(1)], pa.string())], names=[key, "text"])
 
-    return rows.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")
 
 
 def sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
