@@ -188,7 +188,8 @@ def l2_normalize(spark, d):
 
 @query(f"""with {_BASE}, {_G3}, {_KW}, {_top('g3', 20, 'a')}, k as (select item_id, doc_id, score / max(score) over (partition by item_id) as kw from a), f as (select coalesce(k.item_id, s.item_id) as item_id, coalesce(k.doc_id, s.doc_id) as doc_id, round(0.6 * coalesce(kw, 0) + 0.4 * coalesce(greatest(s.score, 0), 0), 6) as score from k full join (select * from kwn where score > 0.5) s on k.item_id = s.item_id and k.doc_id = s.doc_id), {_top('f', 10, 'r')} select item_id, doc_id, score, rank from r""")
 def weighted_fuse(spark, d):
-    fused = op.weighted_fuse(_bm25(spark, d, k=20), _keyword(spark, d).where("score > 0.5"), "item_id", "doc_id")
+    docs = _docs(spark, d)  # cut into words once for both
+    fused = op.weighted_fuse(_bm25(spark, d, k=20, docs=docs), _keyword(spark, d, docs).where("score > 0.5"), "item_id", "doc_id")
     return op.rank(fused, "item_id", "doc_id", 10)
 
 
