@@ -16,8 +16,8 @@ def ngrams(words: Column, most: int = 2) -> Column:
     """Words and runs of up to ``most`` words, repeats included."""
 
     def of(ws: Column) -> Column:
-        run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
-        return F.concat(ws, *(F.when(F.size(ws) >= n, run(n)).otherwise(F.array().cast("array<string>")) for n in range(2, most + 1)))
+        run = lambda n: F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(0))), lambda w, i: F.concat_ws(" ", w, *(F.get(ws, i + k) for k in range(1, n))))
+        return F.concat(ws, *(run(n) for n in range(2, most + 1)))
 
     return let(words, of)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bayes
 from ..sources import bundle, objects
-from ..store import fresh_path
+from ..store import fresh_path, materialize
 from ..tables import load
 from .registry import query
 
@@ -54,6 +54,7 @@ select doc_id, any_value(actual) as actual, arg_min(label, (-score, label)) as l
 def nb_ngrams(spark, d):
     """Toxic or not, from words and pairs of words: learned from four fifths of the labelled documents, told of the others."""
     labelled = load(spark, d, "documents").where("text is not null").join(load(spark, d, "labels"), "doc_id")
+    labelled = materialize(labelled.select("doc_id", "toxic", "text"), "labelled")  # read six times
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     rows = labelled.select("doc_id", F.col("toxic").alias("label"), words.alias("words")).select("doc_id", "label", bayes.ngrams(F.col("words")).alias("grams"))
     model, labels = bayes.train(rows.where("doc_id % 5 <> 0"))
