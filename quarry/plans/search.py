@@ -17,6 +17,8 @@ _BASE = f"""docs as (select doc_id, {_W} as w from documents), stats as (select
 post as (select doc_id, term, count(*) as tf, any_value(l) as len from (select doc_id, len(w) as l, unnest(w) as term from docs) group by 1, 2), df as (select term, count(*) as df from post group by 1),
 asked as (select item_id, term, count(*) as qtf from (select item_id, unnest({_W}) as term from benchmark where item_id % 20 = 0) group by 1, 2)"""
 
+_ALL = _BASE.replace(" where item_id % 20 = 0", "")  # asked by every item
+
 
 def _bm25_sql(k1: float, b: float, bonus: str, name: str) -> str:
     return f"""{name} as (select item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * {bonus} * tf * {k1 + 1} / (tf + {k1} * ({1 - b} + {b} * len / avg_len))), 6) as score from asked join df using (term) join post using (term), stats group by 1, 2)"""
@@ -38,8 +40,8 @@ def _asked(spark, d):
     return load(spark, d, "benchmark").where("item_id % 20 = 0").select("item_id", F.col("text").alias("question"))  # the query set
 
 
-def _bm25(spark, d, variant=op.G3, k=10, docs=None):
-    scores = op.bm25(docs or _docs(spark, d), "doc_id", _asked(spark, d), "item_id", tx.tokens(F.col("question")), variant)
+def _bm25(spark, d, variant=op.G3, k=10, docs=None, asked=None):
+    scores = op.bm25(docs or _docs(spark, d), "doc_id", asked or _asked(spark, d), "item_id", tx.tokens(F.col("question")), variant)
     return op.rank(scores, "item_id", "doc_id", k)
 
 
@@ -62,8 +64,8 @@ def bm25_g1(spark, d):
 _KW = f"kw as (select item_id, doc_id, sum(tf)::double / any_value(len) as score from asked join post using (term) group by 1, 2), kwn as (select item_id, doc_id, round(score / max(score) over (partition by item_id), 6) as score from kw)"
 
 
-def _keyword(spark, d, docs=None):
-    asked = _asked(spark, d).select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("question")))).alias("term"))
+def _keyword(spark, d, docs=None, asked=None):
+    asked = (asked or _asked(spark, d)).select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("question")))).alias("term"))
     post = op.postings(docs or _docs(spark, d), "doc_id", asked.select("term").distinct())
     kw = asked.join(post, "term").groupBy("item_id", "doc_id").agg((F.sum("tf") / F.first("len")).alias("score"))
     return kw.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy("item_id")), 6))
@@ -186,10 +188,11 @@ def l2_normalize(spark, d):
     return load(spark, d, "embeddings").select("vec_id", F.round(op.dot(unit, unit), 4).alias("squared"), (F.size(v) == 64).alias("fits"))
 
 
-@query(f"""with {_BASE}, {_G3}, {_KW}, {_top('g3', 20, 'a')}, k as (select item_id, doc_id, score / max(score) over (partition by item_id) as kw from a), f as (select coalesce(k.item_id, s.item_id) as item_id, coalesce(k.doc_id, s.doc_id) as doc_id, round(0.6 * coalesce(kw, 0) + 0.4 * coalesce(greatest(s.score, 0), 0), 6) as score from k full join (select * from kwn where score > 0.5) s on k.item_id = s.item_id and k.doc_id = s.doc_id), {_top('f', 10, 'r')} select item_id, doc_id, score, rank from r""")
+@query(f"""with {_ALL}, {_G3}, {_KW}, {_top('g3', 20, 'a')}, k as (select item_id, doc_id, score / max(score) over (partition by item_id) as kw from a), f as (select coalesce(k.item_id, s.item_id) as item_id, coalesce(k.doc_id, s.doc_id) as doc_id, round(0.6 * coalesce(kw, 0) + 0.4 * coalesce(greatest(s.score, 0), 0), 6) as score from k full join (select * from kwn where score > 0.5) s on k.item_id = s.item_id and k.doc_id = s.doc_id), {_top('f', 10, 'r')} select item_id, doc_id, score, rank from r""")
 def weighted_fuse(spark, d):
     docs = _docs(spark, d)  # cut into words once for both
-    fused = op.weighted_fuse(_bm25(spark, d, k=20, docs=docs), _keyword(spark, d, docs).where("score > 0.5"), "item_id", "doc_id")
+    asked = load(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))  # every item
+    fused = op.weighted_fuse(_bm25(spark, d, k=20, docs=docs, asked=asked), _keyword(spark, d, docs, asked).where("score > 0.5"), "item_id", "doc_id")
     return op.rank(fused, "item_id", "doc_id", 10)
 
 
