@@ -47,8 +47,8 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(prepared: DataFrame, doc: str, queries: DataFrame, query: str, query_words: Column, variant: tuple[float, float, bool] = G3) -> DataFrame:
-    """(query, doc, score) of every document with a query word."""
+def bm25(prepared: DataFrame, doc: str, queries: DataFrame, query: str, query_words: Column, variant: tuple[float, float, bool] = G3, **more: Column) -> DataFrame:
+    """(query, doc, score) of every document with a query word, and ``more`` sums over the words met, of tf and len."""
     k1, b, once = variant
     asked = queries.select(query, F.explode(query_words).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qtf"))
     post = postings(prepared, doc, asked.select("term").distinct())
@@ -56,7 +56,7 @@ def bm25(prepared: DataFrame, doc: str, queries: DataFrame, query: str, query_wo
     hit = asked.join(term_stats(post, stats).drop("df"), "term").join(post, "term").crossJoin(F.broadcast(stats))  # one row
     bonus = F.lit(1.0) if once else 1 + 0.15 * F.least(F.col("qtf") - 1, F.lit(2))
     part = F.col("idf") * bonus * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return hit.groupBy(query, doc).agg(F.sum(part).alias("score"))
+    return hit.groupBy(query, doc).agg(F.sum(part).alias("score"), *(c.alias(name) for name, c in more.items()))
 
 
 def bm25_fielded(fields: list[tuple[DataFrame, float]], doc: str, queries: DataFrame, query: str, query_words: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import metrics
 from ..operators import search as op
+from ..store import materialize
 from ..tables import load
 from .registry import query
 
@@ -40,8 +41,8 @@ def _asked(spark, d):
     return load(spark, d, "benchmark").where("item_id % 20 = 0").select("item_id", F.col("text").alias("question"))  # the query set
 
 
-def _bm25(spark, d, variant=op.G3, k=10, docs=None, asked=None):
-    scores = op.bm25(docs or _docs(spark, d), "doc_id", asked or _asked(spark, d), "item_id", tx.tokens(F.col("question")), variant)
+def _bm25(spark, d, variant=op.G3, k=10, docs=None):
+    scores = op.bm25(docs or _docs(spark, d), "doc_id", _asked(spark, d), "item_id", tx.tokens(F.col("question")), variant)
     return op.rank(scores, "item_id", "doc_id", k)
 
 
@@ -64,8 +65,8 @@ def bm25_g1(spark, d):
 _KW = f"kw as (select item_id, doc_id, sum(tf)::double / any_value(len) as score from asked join post using (term) group by 1, 2), kwn as (select item_id, doc_id, round(score / max(score) over (partition by item_id), 6) as score from kw)"
 
 
-def _keyword(spark, d, docs=None, asked=None):
-    asked = (asked or _asked(spark, d)).select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("question")))).alias("term"))
+def _keyword(spark, d, docs=None):
+    asked = _asked(spark, d).select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("question")))).alias("term"))
     post = op.postings(docs or _docs(spark, d), "doc_id", asked.select("term").distinct())
     kw = asked.join(post, "term").groupBy("item_id", "doc_id").agg((F.sum("tf") / F.first("len")).alias("score"))
     return kw.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy("item_id")), 6))
@@ -190,9 +191,12 @@ def l2_normalize(spark, d):
 
 @query(f"""with {_ALL}, {_G3}, {_KW}, {_top('g3', 20, 'a')}, k as (select item_id, doc_id, score / max(score) over (partition by item_id) as kw from a), f as (select coalesce(k.item_id, s.item_id) as item_id, coalesce(k.doc_id, s.doc_id) as doc_id, round(0.6 * coalesce(kw, 0) + 0.4 * coalesce(greatest(s.score, 0), 0), 6) as score from k full join (select * from kwn where score > 0.5) s on k.item_id = s.item_id and k.doc_id = s.doc_id), {_top('f', 10, 'r')} select item_id, doc_id, score, rank from r""")
 def weighted_fuse(spark, d):
-    docs = _docs(spark, d)  # cut into words once for both
     asked = load(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))  # every item
-    fused = op.weighted_fuse(_bm25(spark, d, k=20, docs=docs, asked=asked), _keyword(spark, d, docs, asked).where("score > 0.5"), "item_id", "doc_id")
+    scores = op.bm25(_docs(spark, d), "doc_id", asked, "item_id", tx.tokens(F.col("question")), share=F.sum("tf") / F.first("len"))
+    scores = materialize(scores, "scores")  # words are met once for both
+    best = scores.groupBy("item_id").agg(F.max("share").alias("best"))
+    share = scores.join(best, "item_id").select("item_id", "doc_id", F.round(F.col("share") / F.col("best"), 6).alias("score")).where("score > 0.5")
+    fused = op.weighted_fuse(op.rank(scores, "item_id", "doc_id", 20), share, "item_id", "doc_id")
     return op.rank(fused, "item_id", "doc_id", 10)
 
 
